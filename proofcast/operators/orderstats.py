@@ -120,11 +120,11 @@ def split_crowded(df: DataFrame, keys: Sequence[str], limit: int = CROWDED) -> t
 def place_gathered(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Places of values within ordinary groups: one shuffle and a local sort."""
     group = Window.partitionBy(*keys)
-    return df.select(
+    return df.select(*keys, F.col(value).alias("_x")).select(
         *keys,
-        F.col(value).alias("_x"),
+        "_x",
         F.lit(1).alias("_w"),
-        (F.row_number().over(group.orderBy(value)) - 1).alias("_before"),
+        (F.row_number().over(group.orderBy("_x")) - 1).alias("_before"),
         F.count(F.lit(1)).over(group).alias("_n"),
     )
 
