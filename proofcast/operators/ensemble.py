@@ -17,10 +17,10 @@ DRAWS = 100
 SEED = 20230101
 
 
-def _relevant(
+def relevant(
     forecasts: DataFrame,
-    variable: str | None,
-    issue_dates: Sequence[str] | None,
+    variable: str | None = None,
+    issue_dates: Sequence[str] | None = None,
     omit: Sequence[str] = (),
     name: str | None = None,
 ) -> DataFrame:
@@ -45,9 +45,10 @@ def submissions(rows: DataFrame, h: int) -> DataFrame:
         .agg(
             F.max(F.col("prediction").isNull()).alias("_gap"),
             F.max(C.lead_days() <= h).alias("_in_reach"),
+            F.max(F.col("family") == "normal").alias("_normal"),
         )
         .filter(~F.col("_gap") & F.col("_in_reach"))
-        .select(*SUBMISSION)
+        .select(*SUBMISSION, "_normal")
     )
 
 
@@ -58,7 +59,7 @@ def load_forecast(
     h: int = 30,
 ) -> DataFrame:
     """Usable forecast rows up to lead time h, without helper columns."""
-    rows = _relevant(forecasts, variable, issue_dates)
+    rows = relevant(forecasts, variable, issue_dates)
     gaps = rows.filter(F.col("prediction").isNull()).select(*SUBMISSION).distinct()
     return (
         join_null_safe(rows, gaps, SUBMISSION, "left_anti")
@@ -94,48 +95,61 @@ def quotas(usable: DataFrame, n: int) -> DataFrame:
     return counted.withColumn("sample", F.bround(F.lit(float(n)) / F.col("n_models"), 0).cast("int"))
 
 
-def _candidates(rows: DataFrame, draws: int) -> DataFrame:
-    """Ensemble members as they are, normal forecasts as numbered draws to come."""
-    names = [*SUBMISSION, "datetime", "parameter", "prediction", "mu", "sigma"]
-    members = rows.filter(F.col("family") == "sample").select(
-        *SUBMISSION,
-        "datetime",
-        F.col("parameter").cast("string").alias("parameter"),
-        "prediction",
-        F.lit(None).cast("double").alias("mu"),
-        F.lit(None).cast("double").alias("sigma"),
+def _digest(seed: int):
+    return C.draw_key(seed, *[F.col(k) for k in SUBMISSION], F.col("parameter"))
+
+
+def _sampled_members(rows: DataFrame, quota: DataFrame, n: int, seed: int) -> DataFrame:
+    """Members of ensemble submissions, with all their valid dates.
+
+    No quota exceeds n, so the dense rank is cut at n on the map side: whatever
+    its size, a submission leaves each task with the rows of n members at most.
+    """
+    by_digest = Window.partitionBy(*SUBMISSION).orderBy("_digest", "parameter")
+    shuffled = (
+        rows.filter(F.col("family") == "sample")
+        .select(*SUBMISSION, "datetime", F.col("parameter").cast("string").alias("parameter"), "prediction")
+        .withColumn("_digest", _digest(seed))
+        .withColumn("_place", F.dense_rank().over(by_digest))
+        .filter(F.col("_place") <= n)
     )
-    drawn = (
-        normal_parameters(rows.filter(F.col("family") == "normal"), [*SUBMISSION, "datetime"])
+    return join_null_safe(shuffled, quota, SUBMISSION).filter(F.col("_place") <= F.col("sample"))
+
+
+def _sampled_draws(rows: DataFrame, quota: DataFrame, draws: int, seed: int) -> DataFrame:
+    """Draws from normal submissions: the names first, then their values per date."""
+    by_digest = Window.partitionBy(*SUBMISSION).orderBy("_digest", "parameter")
+    names = (
+        quota.filter("_normal")
         .withColumn("parameter", F.explode(F.sequence(F.lit(1), F.lit(draws))))
         .withColumn("parameter", F.col("parameter").cast("string"))
-        .withColumn("prediction", F.lit(None).cast("double"))
+        .withColumn("_digest", _digest(seed))
+        .withColumn("_place", F.row_number().over(by_digest))
+        .filter(F.col("_place") <= F.col("sample"))
+    )
+    normal = normal_parameters(rows.filter(F.col("family") == "normal"), [*SUBMISSION, "datetime"])
+    return join_null_safe(normal, names, SUBMISSION).withColumn(
+        "prediction", F.col("mu") + F.col("sigma") * _draw(seed)
     )
-    return members.select(*names).unionByName(drawn.select(*names))
 
 
 def sample_members(
     rows: DataFrame, n: int, h: int, draws: int = DRAWS, seed: int = SEED
 ) -> DataFrame:
-    """Draw each model's quota of members, with all their valid dates.
+    """Take each model's quota of members without replacement, all dates of each.
 
-    Members are ordered by a digest of their name, which is a reproducible
-    shuffle. No quota exceeds n, so a dense rank up to n is cut on the map side
-    and a submission of any size leaves every task as n members at most.
+    Members are ordered by a digest of their name, a reproducible shuffle. A
+    submission is either an ensemble or normal.
     """
     usable = submissions(rows, h)
     quota = join_null_safe(usable, quotas(usable, n), SITE)
-
-    by_digest = Window.partitionBy(*SUBMISSION).orderBy("_digest", "parameter")
-    shuffled = (
-        _candidates(rows.filter(C.lead_days() <= h), draws)
-        .withColumn("_digest", C.draw_key(seed, *[F.col(k) for k in SUBMISSION], F.col("parameter")))
-        .withColumn("_place", F.dense_rank().over(by_digest))
-        .filter(F.col("_place") <= n)
+    within = rows.filter(C.lead_days() <= h)
+    names = [*SUBMISSION, "datetime", "parameter", "prediction", "sample"]
+    return (
+        _sampled_members(within, quota, n, seed)
+        .select(*names)
+        .unionByName(_sampled_draws(within, quota, draws, seed).select(*names))
     )
-    chosen = join_null_safe(shuffled, quota, SUBMISSION).filter(F.col("_place") <= F.col("sample"))
-    value = F.coalesce(F.col("prediction"), F.col("mu") + F.col("sigma") * _draw(seed))
-    return chosen.select(*SUBMISSION, "datetime", "parameter", value.alias("prediction"), "sample")
 
 
 def build_mme(
@@ -155,7 +169,7 @@ def build_mme(
     replacement, with all their valid dates; members are renumbered per date.
     An ensemble already stored under the same name is not an input.
     """
-    rows = _relevant(forecasts, variable, issue_dates, omit, name)
+    rows = relevant(forecasts, variable, issue_dates, omit, name)
     members = sample_members(rows, n, h, draws, seed)
     per_date = Window.partitionBy(*SITE, "datetime").orderBy("model_id", "parameter")
     return members.select(

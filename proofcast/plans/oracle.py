@@ -389,7 +389,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
         """SELECT model_id, reference_datetime, datetime, site_id, round(skill_crps, 6) AS skill_crps FROM t_skill s
 WHERE NOT EXISTS (SELECT 1 FROM leaders l WHERE l.model_id = s.model_id)""",
     ),
-    "complete_rows_only": (
+    "complete_rows": (
         ("fx_known",),
         "SELECT datetime, site_id, variable, round(observation, 6) AS observation FROM fx_known",
     ),
@@ -674,7 +674,7 @@ WHERE horizon BETWEEN 0 AND 30 AND model_id IN (SELECT model_id FROM best) GROUP
         f"""SELECT CAST({_rank_bins(R.RANKS_PER_SITE)} AS INT) AS group_rank, site_id, model_id, horizon, round(SUM(proportion), 6) AS proportion
 FROM rank_site_full WHERE model_id IN {RANKED} GROUP BY 1, 2, 3, 4""",
     ),
-    "latest_scored_date": (
+    "latest_scored": (
         ("fx_scores",),
         "SELECT model_id, MAX(datetime) AS latest FROM fx_scores WHERE observation IS NOT NULL GROUP BY 1",
     ),
@@ -800,7 +800,7 @@ SELECT reference_datetime, variable, site_id, concat(model_id, '_normal'), datet
   round(mu - sigma * {C.Z_975}, 6), round(mu - sigma * {C.Z_900}, 6), round(mu + sigma * {C.Z_900}, 6), round(mu + sigma * {C.Z_975}, 6),
   CAST({HORIZON} AS DOUBLE), CAST(NULL AS DOUBLE), CAST(datetime AS VARCHAR) FROM normal_scored""",
     ),
-    "forecast_validation": (
+    "validation_report": (
         ("fx_forecasts",),
         f"""SELECT rule, n_rows, n_rows = 0 AS passed FROM (
   SELECT 'unknown_family' AS rule, COUNT(*) FILTER (family NOT IN ('sample', 'ensemble', 'normal')) AS n_rows FROM fx_forecasts

@@ -44,7 +44,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register a query under its name; a trailing underscore avoids an import."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -167,7 +168,7 @@ def other_model_rows(spark, sf):
 
 
 @query
-def complete_rows_only(spark, sf):
+def complete_rows_(spark, sf):
     return rounded(complete_rows(B.targets(spark, sf)))
 
 
@@ -545,13 +546,13 @@ def rank_deciles_site(spark, sf):
 
 
 @query
-def latest_scored_date(spark, sf):
+def latest_scored_(spark, sf):
     return latest_scored(B.scores(spark, sf).filter(F.col("observation").isNotNull()))
 
 
 @query
 def ensemble_quota(spark, sf):
-    usable = E.submissions(E._relevant(B.unnumbered(spark, sf), None, None), 30)
+    usable = E.submissions(E.relevant(B.unnumbered(spark, sf)), 30)
     return E.quotas(usable, ENSEMBLE_SIZE)
 
 
@@ -583,7 +584,7 @@ def top5_per_site(spark, sf):
 
 @query
 def sites_without_gaps(spark, sf):
-    return E.submissions(E._relevant(B.unnumbered(spark, sf), "temperature", None), 30)
+    return E.submissions(E.relevant(B.unnumbered(spark, sf), "temperature"), 30).select(*E.SUBMISSION)
 
 
 @query
@@ -593,7 +594,7 @@ def ensemble_members(spark, sf):
 
 @query
 def ensemble_sample(spark, sf):
-    rows = E._relevant(B.forecasts(spark, sf), "temperature", None, OMITTED)
+    rows = E.relevant(B.forecasts(spark, sf), "temperature", omit=OMITTED)
     members = E.sample_members(rows, ENSEMBLE_SIZE, 30)
     return members.select(*E.SUBMISSION, "parameter", "sample").distinct()
 
@@ -759,7 +760,7 @@ def score_forecasts(spark, sf):
 
 
 @query
-def forecast_validation(spark, sf):
+def validation_report_(spark, sf):
     return validation_report(B.forecasts(spark, sf))
 
 
