@@ -123,12 +123,13 @@ def depth_part(name: str = "site_id") -> Column:
 # --- binning ---------------------------------------------------------------
 
 
-def order_bin(value: Column, per_octave: int = 1024) -> Column:
+def order_bin(value: Column, per_octave: int = 1 << 16) -> Column:
     """Integer that never decreases as the value grows.
 
     Logarithmic in the magnitude, mirrored for negative values. It depends on
-    the value alone, so recomputed tasks always agree, and there are at most
-    2 * 2200 * per_octave different results whatever the data.
+    the value alone, so recomputed tasks always agree. The default resolves
+    values to one part in 10^5, so even values close together spread over many
+    bins.
     """
     magnitude = F.floor(F.log2(F.abs(value)) * float(per_octave)) + F.lit(1100 * per_octave)
     return F.when(value > 0, magnitude).when(value < 0, -magnitude).when(value == 0, F.lit(0)).cast("bigint")

@@ -158,6 +158,31 @@ def between_picks(probs: Mapping[str, float], n: str) -> list[Column]:
     return [F.expr(f"{interpolate(name, p, n)} AS `{name}`") for name, p in probs.items()]
 
 
+# Rows written out together when a repeated value is numbered.
+PIECE = 1_000_000
+
+
+def numbered_values(df: DataFrame, keys: Sequence[str], value: str, name: str, limit: int = CROWDED) -> DataFrame:
+    """Number the values 1, 2, 3, ... in each group, smallest first, nulls last.
+
+    Equal values are interchangeable, so in crowded groups they are counted
+    first and written out again in pieces, spread over tasks.
+    """
+    ordinary, large = split_crowded(df.select(*keys, value), keys, limit)
+    in_group = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+    gathered = ordinary.withColumn(name, F.row_number().over(in_group).cast("bigint"))
+
+    counts = distinct_counts(large, keys, value)
+    placed = place_values(counts, bin_offsets(counts, keys), keys)
+    pieces = placed.withColumn("_piece", F.expr(f"explode(sequence(0L, (_w - 1) div {PIECE}L))"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = f"least(_w, (_piece + 1) * {PIECE}L)"
+    written = pieces.repartition(tasks, *keys, "_x", "_piece").withColumn(
+        name, F.expr(f"explode(sequence(_before + _piece * {PIECE}L + 1, _before + {last}))")
+    )
+    return gathered.unionByName(written.select(*keys, F.col("_x").alias(value), name))
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str
 ) -> DataFrame:

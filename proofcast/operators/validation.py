@@ -38,7 +38,7 @@ def validation_report(df: DataFrame) -> DataFrame:
     forecasts = members.groupBy(*keys).agg(
         *[F.sum(n).alias(n) for n in bad],
         F.sum(F.col("_n") - 1).alias("duplicate_member"),
-        F.count(F.when(F.col("parameter").isin("mu", "sigma"), F.lit(1))).alias("_named"),
+        F.count(F.when(F.col("parameter").cast("string").isin("mu", "sigma"), F.lit(1))).alias("_named"),
     )
     incomplete = (F.col("family") == "normal") & (F.col("_named") < 2)
     rules = [*bad, "duplicate_member", "incomplete_normal"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from proofcast.functions.columns import LAKE_SITES
 from proofcast.operators.ensemble import SUBMISSION
-from proofcast.operators.orderstats import numbered
+from proofcast.operators.orderstats import numbered_values
 from proofcast.operators.scoring import normal_parameters, score
 
 # Size of an issue week and first issue date.
@@ -22,17 +22,6 @@ FIRST_DATE = "2023-01-01"
 FOCAL_YEAR = 2000
 
 CELL_KEYS = [*SUBMISSION, "datetime"]
-MEMBER_ORDER = (
-    "l_orderkey",
-    "l_linenumber",
-    "l_partkey",
-    "l_suppkey",
-    "l_extendedprice",
-    "l_discount",
-    "l_tax",
-    "l_shipdate",
-    "l_quantity",
-)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +70,8 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ensemble members where their number does not matter."""
     number = F.col("l_suppkey") % 10
     site = F.col("l_partkey") % 7
     days = F.col("l_quantity").cast("int")
@@ -101,25 +91,13 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") % 2 == 0, "oxygen").otherwise("temperature").alias("variable"),
         F.lit("sample").alias("family"),
         F.when(~lost, 1.5 + 2.0 * F.log(F.col("l_extendedprice") / 900.0) + offset).alias("prediction"),
-        *MEMBER_ORDER,
     )
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ensemble members, numbered within each forecast."""
-    rows = numbered(
-        _members(spark, sf_dir),
-        CELL_KEYS,
-        [F.col(c).asc_nulls_last() for c in MEMBER_ORDER],
-        F.expr("l_orderkey div 1000000"),
-        "parameter",
-    )
-    return rows.drop(*MEMBER_ORDER)
-
-
-def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ensemble members where their number does not matter."""
-    return _members(spark, sf_dir).drop(*MEMBER_ORDER)
+    """Ensemble members, numbered within each forecast by their value."""
+    rows = unnumbered(spark, sf_dir)
+    return numbered_values(rows, [*CELL_KEYS, "family"], "prediction", "parameter")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

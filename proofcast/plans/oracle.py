@@ -85,8 +85,7 @@ SELECT CASE k WHEN 0 THEN 'climatology' WHEN 1 THEN 'persistenceRW' ELSE concat(
   {SITE_CASE.format(key='l_partkey')} AS site_id,
   CASE WHEN l_linenumber % 2 = 0 THEN 'oxygen' ELSE 'temperature' END AS variable, 'sample' AS family,
   CASE WHEN l_discount = 0.1 AND l_tax = 0.08 THEN NULL
-    ELSE 1.5 + 2.0 * ln(l_extendedprice / 900.0) + CASE WHEN k = 0 THEN 2.0 ELSE 0.4 * k - 0.5 END END AS prediction,
-  l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax, l_shipdate, l_quantity
+    ELSE 1.5 + 2.0 * ln(l_extendedprice / 900.0) + CASE WHEN k = 0 THEN 2.0 ELSE 0.4 * k - 0.5 END END AS prediction
 FROM (SELECT *, l_suppkey % 10 AS k, l_partkey % 7 AS s, CAST(l_quantity AS INT) AS days,
   CAST(DATE '2023-01-01' + CAST((l_orderkey // {ORDERS_PER_WEEK}) * 7 AS INT) AS DATE) AS issued FROM lineitem) t""",
     ),
@@ -94,7 +93,7 @@ FROM (SELECT *, l_suppkey % 10 AS k, l_partkey % 7 AS s, CAST(l_quantity AS INT)
         ("fx_members",),
         """
 SELECT model_id, reference_datetime, datetime, site_id, variable, family, prediction,
-  CAST(ROW_NUMBER() OVER (PARTITION BY model_id, reference_datetime, datetime, site_id, variable ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax, l_shipdate, l_quantity) AS INT) AS parameter
+  ROW_NUMBER() OVER (PARTITION BY model_id, reference_datetime, datetime, site_id, variable ORDER BY prediction NULLS LAST) AS parameter
 FROM fx_members""",
     ),
     "fx_observations": (
@@ -767,8 +766,10 @@ FROM fx_forecasts f JOIN usable u USING (reference_datetime, variable, site_id,
     ),
     "normal_to_ensemble": (
         ("fx_normal",),
-        f"""SELECT {CELL}, parameter, round(mu + sigma * {_normal_draw(DRAW_KEY)}, 6) AS prediction FROM (
-  SELECT n.*, CAST(d.d AS VARCHAR) AS parameter FROM fx_normal n, (SELECT UNNEST(range(1, 101)) AS d) d) t""",
+        f"""SELECT {CELL}, COUNT(DISTINCT parameter) AS n_draws, round(MIN(v), 6) AS lowest, round(MAX(v), 6) AS highest,
+  round(AVG(v), 6) AS mean_draw, MAX_BY(parameter, v) AS highest_draw FROM (
+  SELECT *, mu + sigma * {_normal_draw(DRAW_KEY)} AS v FROM (
+    SELECT n.*, CAST(d.d AS VARCHAR) AS parameter FROM fx_normal n, (SELECT UNNEST(range(1, 101)) AS d) d) t) u GROUP BY {CELL}""",
     ),
     "multi_model_ensemble": (
         ("mme", "fx_observations"),

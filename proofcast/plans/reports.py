@@ -675,7 +675,16 @@ def usable_forecasts(spark, sf):
 @query
 def normal_to_ensemble(spark, sf):
     drawn = E.normal_to_ensemble(B.normal_forecasts(spark, sf))
-    return rounded(drawn.select(*E.SUBMISSION, "datetime", "parameter", "prediction"))
+    # every draw is computed; the output describes them per forecast
+    return rounded(
+        drawn.groupBy(*E.SUBMISSION, "datetime").agg(
+            F.count_distinct("parameter").alias("n_draws"),
+            F.min("prediction").alias("lowest"),
+            F.max("prediction").alias("highest"),
+            F.avg("prediction").alias("mean_draw"),
+            F.max_by("parameter", "prediction").alias("highest_draw"),
+        )
+    )
 
 
 def _mme(spark, sf):

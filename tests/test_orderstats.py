@@ -74,3 +74,17 @@ def test_median_of_two_and_of_one(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 3.0)], "k string, x double")
     got = {r.k: r.m for r in O.exact_quantiles(df, ["k"], "x", {"m": 0.5}).collect()}
     assert got == {"a": 2.5, "b": 3.0}
+
+
+@pytest.mark.parametrize("limit", [O.CROWDED, 500, 0])
+def test_values_are_numbered_on_every_route(skewed, monkeypatch, limit):
+    df, pdf = skewed
+    monkeypatch.setattr(O, "PIECE", 300)
+    out = O.numbered_values(df, ["k"], "x", "place", limit=limit).toPandas()
+    assert len(out) == len(pdf)
+    for k, part in out.groupby("k", dropna=False):
+        part = part.sort_values("place")
+        assert list(part.place) == list(range(1, len(part) + 1))
+        expected = np.sort(pdf.x[pdf.k.isna() if pd.isna(k) else pdf.k == k].dropna().to_numpy())
+        assert np.array_equal(part.x.dropna().to_numpy(), expected)
+        assert part.x.iloc[len(expected) :].isna().all()
