@@ -206,7 +206,10 @@ def score_normals(forecasts: DataFrame, targets: DataFrame, interval: float = 0.
     keys = present(forecasts, CELL)
     observed = normal_parameters(forecasts, keys).join(targets, present(forecasts, TARGET_KEYS), "left")
     mu, sigma, y = F.col("mu"), F.col("sigma"), F.col("observation")
-    z = {0.8: C.Z_900, 0.9: C.Z_950}[interval]
+    levels = {0.8: C.Z_900, 0.9: C.Z_950, 0.95: C.Z_975}
+    if interval not in levels:
+        raise ValueError(f"normal forecasts report central intervals {sorted(levels)}")
+    z = levels[interval]
     return observed.select(
         *keys,
         "observation",

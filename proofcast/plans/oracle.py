@@ -766,8 +766,8 @@ FROM fx_forecasts f JOIN usable u USING (reference_datetime, variable, site_id,
     ),
     "normal_to_ensemble": (
         ("fx_normal",),
-        f"""SELECT {CELL}, COUNT(DISTINCT parameter) AS n_draws, round(MIN(v), 6) AS lowest, round(MAX(v), 6) AS highest,
-  round(AVG(v), 6) AS mean_draw, MAX_BY(parameter, v) AS highest_draw FROM (
+        f"""SELECT {CELL}, COUNT(parameter) AS n_draws, round(MIN(v), 6) AS lowest, round(MAX(v), 6) AS highest,
+  round(AVG(v), 6) AS mean_draw FROM (
   SELECT *, mu + sigma * {_normal_draw(DRAW_KEY)} AS v FROM (
     SELECT n.*, CAST(d.d AS VARCHAR) AS parameter FROM fx_normal n, (SELECT UNNEST(range(1, 101)) AS d) d) t) u GROUP BY {CELL}""",
     ),

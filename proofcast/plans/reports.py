@@ -678,11 +678,10 @@ def normal_to_ensemble(spark, sf):
     # every draw is computed; the output describes them per forecast
     return rounded(
         drawn.groupBy(*E.SUBMISSION, "datetime").agg(
-            F.count_distinct("parameter").alias("n_draws"),
+            F.count("parameter").alias("n_draws"),
             F.min("prediction").alias("lowest"),
             F.max("prediction").alias("highest"),
             F.avg("prediction").alias("mean_draw"),
-            F.max_by("parameter", "prediction").alias("highest_draw"),
         )
     )
 

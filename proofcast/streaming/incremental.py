@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from proofcast.operators.scoring import score
+from proofcast.session import fresh_folder
 from proofcast.sources import schemas
 from proofcast.sources.readers import read_forecasts
 from proofcast.sources.writers import write_scores
@@ -46,12 +47,27 @@ def rescore(
     scores_path: str,
     touched: DataFrame,
 ) -> None:
-    """Score the touched model and date pairs from the archive and store them."""
+    """Score the touched model and date pairs from the archive and store them.
+
+    The pairs often come from the stored scores, which are about to change, so
+    they are written to the shared folder first.
+    """
+    fixed = fresh_folder(spark, "touched")
+    touched.write.parquet(fixed)
+    pairs = spark.read.schema(touched.schema).parquet(fixed)
     archive = read_forecasts(spark, forecasts_path)
-    rows = archive.join(touched, ["model_id", "date"], "left_semi").drop("date")
+    rows = archive.join(pairs, ["model_id", "date"], "left_semi").drop("date")
     write_scores(score(rows, targets), scores_path)
 
 
+def score_due(
+    spark: SparkSession, forecasts_path: str, targets: DataFrame, scores_path: str, scores: DataFrame
+) -> None:
+    """Batch form: score everything on or after each model's last scored date."""
+    due = due_for_scoring(read_forecasts(spark, forecasts_path), scores)
+    rescore(spark, forecasts_path, targets, scores_path, touched_partitions(due))
+
+
 def score_stream(
     spark: SparkSession,
     forecasts_path: str,
