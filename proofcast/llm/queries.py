@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofcast.llm.bpe import round_trip
-from proofcast.llm.common import table
+from proofcast.llm.common import held_out, table
+from proofcast.llm.decontaminate import leaks
 from proofcast.llm.exact_dedup import exact_dedup
+from proofcast.llm.langid import fit_languages, predict
 from proofcast.llm.line_dedup import line_dedup
+from proofcast.llm.quality import fit_quality, quality
 from proofcast.llm.simhash import simhash_classes
+from proofcast.llm.toxicity import fit_toxicity, toxicity
 from proofcast.llm.warc import archive, page_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +31,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", round_trip(F.col("text"), tokenizer_path()).alias("r")).select("doc_id", "r.*")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"))
+    model = fit_languages(docs.where(~apart))
+    return docs.select("doc_id", apart.alias("held_out"), predict(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; `kept` is what a filter at one half keeps."""
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", quality(F.col("text"), fit_quality(docs)).alias("score"))
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,6 +60,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the words that line up."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash_classes(table(spark, sf_dir, "documents"), size=3, bits=3)
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,12 +75,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_warc": op6_warc,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
