@@ -13,6 +13,7 @@ from proofcast.llm.langid import fit_languages, predict
 from proofcast.llm.line_dedup import line_dedup
 from proofcast.llm.quality import fit_quality, quality
 from proofcast.llm.simhash import simhash_classes
+from proofcast.llm.substring_dedup import passages
 from proofcast.llm.toxicity import fit_toxicity, toxicity
 from proofcast.llm.warc import archive, page_of
 
@@ -49,6 +50,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive(table(spark, sf_dir, "pages"))
     return read.select(
@@ -87,6 +92,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
