@@ -20,8 +20,9 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
-@F.pandas_udf("struct<n_lines: bigint, n_dropped: bigint, kept: string>")
-def _reassemble(text: pd.Series, dropped: pd.Series) -> pd.DataFrame:
+def _reassembled(text: Column, dropped: Column) -> Column:
+    """struct(n_lines, n_dropped, kept) of a text without the lines at some positions."""
+
     def one(whole: str, gone) -> tuple:
         lines = whole.split("\n")
         if gone is None or not len(gone):
@@ -29,7 +30,11 @@ def _reassemble(text: pd.Series, dropped: pd.Series) -> pd.DataFrame:
         out = set(gone.tolist())
         return len(lines), len(out), "\n".join(line for i, line in enumerate(lines) if i not in out)
 
-    return pd.DataFrame([one(t, g) for t, g in zip(text, dropped, strict=True)], columns=["n_lines", "n_dropped", "kept"])
+    @F.pandas_udf("struct<n_lines: bigint, n_dropped: bigint, kept: string>")
+    def of(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t, g) for t, g in zip(texts, gone, strict=True)], columns=["n_lines", "n_dropped", "kept"])
+
+    return of(text, dropped)
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, threshold: int = 2) -> DataFrame:
@@ -71,6 +76,6 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     )
     return (
         rows.join(gone, ["id", "print"], "left")
-        .withColumn("result", _reassemble("text", "dropped"))
+        .withColumn("result", _reassembled(F.col("text"), F.col("dropped")))
         .select("row", "result.n_lines", "result.n_dropped", "result.kept")
     )

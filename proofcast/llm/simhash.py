@@ -64,6 +64,10 @@ def _ball(value: Column, width: int, radius: int) -> Column:
     return F.transform(F.array(*(F.lit(f).cast("bigint") for f in flips)), lambda f: value.bitwiseXOR(f))
 
 
+def _tagged(values: Column, quarter: int) -> Column:
+    return F.transform(values, lambda x: F.struct(F.lit(quarter).alias("quarter"), x.alias("bits16")))
+
+
 def _verified(pairs: DataFrame, bits: int) -> DataFrame:
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits
     return pairs.where((F.col("u") > F.col("v")) & near)
@@ -94,9 +98,7 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
 
     def quarters(df: DataFrame, radius: int) -> DataFrame:
         low, high = F.col("rest").bitwiseAND(0xFFFF), F.shiftrightunsigned("rest", 16)
-        longer = F.concat(
-            *(F.transform(_ball(q, 16, radius), lambda x, i=i: F.struct(F.lit(i).alias("quarter"), x.alias("bits16"))) for i, q in enumerate((low, high)))
-        )
+        longer = F.concat(*(_tagged(_ball(q, 16, radius), i) for i, q in enumerate((low, high))))
         return df.select("side", "key", "fp", F.explode(longer).alias("q")).select("side", "key", "fp", "q.*")
 
     keys = ["side", "key", "quarter", "bits16"]
