@@ -41,6 +41,8 @@ VOTERS = (
     ("bare_marks", 0.05, 0.20),
     ("same_lines", 0.20, 0.40),
 )
+#: Largest share of good texts that a voter is taken to call bad.
+FALSE_ALARMS = 0.01
 #: Words a text needs before shares of words say anything.
 LEAST_WORDS = 8
 
@@ -131,8 +133,9 @@ def posteriors(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
 
     Each voter has, for either class, its own chance of each vote. It starts from
     bad wherever anyone votes bad, since voters call bad only what is far from
-    usual and each knows one kind of it; a voter is held to be better than chance
-    on good texts, which fixes which class is which. A pattern without votes keeps
+    usual and each knows one kind of it; for the same reason no voter is taken to
+    call more than FALSE_ALARMS of the good texts bad, which also fixes which class
+    is which. A pattern without votes keeps
     the share of good.
     """
     if not counts:
@@ -148,8 +151,9 @@ def posteriors(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
             for cls, share in ((BAD, 1 - good), (GOOD, good)):
                 chance = np.array([(weight * share * (votes[:, j] == v)).sum() for v in (BAD, GOOD, NONE)]) + 1.0
                 given = chance[:2] / chance[:2].sum()
-                given[cls] = max(given[cls], 0.5 if cls == GOOD else 0.02)
-                log[cls] += np.where(votes[:, j] == NONE, 0.0, np.log(given / given.sum())[np.minimum(votes[:, j], 1)])
+                if cls == GOOD:
+                    given = np.array([min(given[BAD], FALSE_ALARMS), 1 - min(given[BAD], FALSE_ALARMS)])
+                log[cls] += np.where(votes[:, j] == NONE, 0.0, np.log(given)[np.minimum(votes[:, j], 1)])
         top = log.max(axis=0)
         new = np.exp(log[1] - top) / np.exp(log - top).sum(axis=0)
         if np.abs(new - good).max() < 1e-6:

@@ -1,7 +1,7 @@
 """Toxicity of a text: a bidirectional gated recurrent network over all its windows.
 
-A word is the sum of two views: an embedding of the word itself and the mean of
-its hashed letter n-grams, so an unseen form of a known stem is still known. Two
+A word has two views: an embedding of the word itself and the means of its
+hashed letter n-grams and beginnings, so an unseen form of a known stem is still known. Two
 gated recurrent layers read a window from either end, attention pools their
 states, and a document is as toxic as its most toxic window.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from proofcast.llm.sample import labelled_sample
 
-WORD_BITS, LETTER_BITS = 15, 14
+WORD_BITS, LETTER_BITS = 15, 16
 WIDTH = 8
 HIDDEN = 8
 #: Words in a window and between the starts of two windows: every word but the
@@ -31,8 +31,10 @@ ROWS = 4096
 #: Training texts that must hold a word before it gets a view of its own; until
 #: then its letters speak for it.
 COMMON = 8
-#: A clean window above this logit is learned again.
-HARD = -4.0
+#: Share of words left out of a window while it is learned, and how fast views of words fade.
+DROPPED, FADE = 0.25, 0.01
+#: Steps of training: small samples are gone through more often.
+STEPS = 450
 #: Words whose projections a task remembers; beyond, the memory is emptied.
 REMEMBERED = 200_000
 _words = re.compile(r"\w+").findall
@@ -53,25 +55,47 @@ def word_buckets(words: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1) for w in words), np.int64, len(words))
 
 
-def letter_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte n-grams of orders 3 and 4 of every bordered word, and whose they are."""
+def letter_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed parts of every bordered word, whose they are, and their weights.
+
+    Byte n-grams of orders 3 and 4 from anywhere, and beginnings of 5 to 9 bytes,
+    which know a stem from the same letters inside another word. Either kind
+    counts as its mean.
+    """
     raw = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
-    buckets, owners = [], []
+    sizes = np.array([len(r) for r in raw], np.int64)
+    owner = np.repeat(np.arange(len(raw)), sizes)
+    first = np.cumsum(sizes) - sizes
+    buckets, owners, weights = [], [], []
+
+    def hashed(key: np.ndarray, kind: int) -> np.ndarray:
+        return (((key + np.uint64(kind << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - LETTER_BITS)).astype(np.int64)
+
+    inside = np.maximum(sizes - 2, 0) + np.maximum(sizes - 3, 0)
     for n in (3, 4):
         if len(data) < n:
             continue
-        inside = owner[: len(owner) - n + 1] == owner[n - 1 :]
+        own = owner[: len(owner) - n + 1] == owner[n - 1 :]
         key = data[: len(data) - n + 1].copy()
         for i in range(1, n):
             key = (key << np.uint64(8)) | data[i : len(data) - n + 1 + i]
-        key = ((key + np.uint64(n << 44)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - LETTER_BITS)
-        buckets.append(key[inside].astype(np.int64))
-        owners.append(owner[: len(owner) - n + 1][inside])
+        whose = owner[: len(owner) - n + 1][own]
+        buckets.append(hashed(key[own], n))
+        owners.append(whose)
+        weights.append(1 / inside[whose])
+    key = np.zeros(len(raw), np.uint64)
+    starts = np.clip(sizes - 4, 0, 5)
+    for n in range(min(9, int(sizes.max(initial=0)))):
+        live = np.flatnonzero(sizes > n)
+        key[live] = (key[live] * np.uint64(0x100000001B3)) ^ data[first[live] + n]
+        if n >= 4:
+            buckets.append(hashed(key[live] ^ (key[live] >> np.uint64(31)), 5 + n))
+            owners.append(live)
+            weights.append(1 / starts[live])
     if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(owners)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(buckets), np.concatenate(owners), np.concatenate(weights)
 
 
 def sigmoid(x):
@@ -135,10 +159,9 @@ class ToxicityModel:
     def embedded(self, words: list[str]) -> np.ndarray:
         x = np.zeros((len(words), 2 * WIDTH), np.float32)
         x[:, :WIDTH] = self.p["word"][word_buckets(words)]
-        buckets, owner = letter_buckets(words)
-        count = np.bincount(owner, minlength=len(words)).astype(np.float32)
+        buckets, owner, weight = letter_buckets(words)
         for k in range(WIDTH):
-            x[:, WIDTH + k] = np.bincount(owner, self.p["letter"][buckets, k], len(words)) / np.maximum(count, 1)
+            x[:, WIDTH + k] = np.bincount(owner, self.p["letter"][buckets, k] * weight, len(words))
         return x
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -262,11 +285,12 @@ def _gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple
     return g, dx
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 5, batch: int = 256, rate: float = 0.02, per_text: int = 6, seed: int = 11) -> ToxicityModel:
+def train(rows: list[tuple[str, int]], batch: int = 128, rate: float = 0.02, per_text: int = 4, seed: int = 11) -> ToxicityModel:
     """Back-propagation through time on windows; every fifth text calibrates the score.
 
-    A window has its text's label. After each epoch the windows of clean texts
-    that look most toxic are learned again, since the largest window decides.
+    A toxic text may be clean almost everywhere, so only the windows that look
+    worst to the model so far stand for it, once it has seen all kinds in a first
+    round. Clean texts teach their worst window and some at random.
     """
     rng = np.random.default_rng(seed)
     model = ToxicityModel(_fresh(rng))
@@ -275,43 +299,48 @@ def train(rows: list[tuple[str, int]], epochs: int = 5, batch: int = 256, rate:
         model.slope, model.shift = 0.0, -4.0
         return model
     learn, apart = [x for i, x in enumerate(texts) if i % 5 < 4], [x for i, x in enumerate(texts) if i % 5 == 4]
-
-    def windows_of(words: list[str]) -> list[list[str]]:
-        return [words[s : s + LENGTH] for s in starts_of(len(words)).tolist()]
-
-    data = []
-    for words, y in learn:
-        found = windows_of(words)
-        picked = range(len(found)) if len(found) <= per_text else rng.choice(len(found), per_text, replace=False)
-        data += [(found[i], y) for i in picked]
-    clean = [words for words, y in learn if not y]
+    cuts = [starts_of(len(words)).tolist() for words, _ in learn]
     spread = Counter(w for words, _ in learn for w in set(words))
     common = {w for w, n in spread.items() if n >= COMMON}
     p = model.p
     moments = {k: [np.zeros_like(v, dtype=np.float32), np.zeros_like(v, dtype=np.float32)] for k, v in p.items() if k not in ("word", "letter")}
     sums = {"word": np.full(1 << WORD_BITS, 1e-4, np.float32), "letter": np.full(1 << LETTER_BITS, 1e-4, np.float32)}
+    size = sum(2 if y else per_text for _, y in learn)
+    rounds = min(14, max(6, STEPS * batch // size))
     t = 0
-    hard: list[tuple[list[str], int]] = []
-    for epoch in range(epochs):
-        both = data + hard
-        order = rng.permutation(len(both))
+    for turn in range(rounds):
+        data = []
+        logits = _chunked(model, [words for words, _ in learn]) if turn else [np.zeros(len(c)) for c in cuts]
+        for (words, y), starts, seen in zip(learn, cuts, logits, strict=True):
+            some = rng.permutation(len(starts))[:per_text].tolist()
+            worst = np.argsort(-seen)[: 2 if y else 1].tolist()
+            picked = set(some if not turn else worst if y else [*worst, *some[:-1]])
+            if turn and y:  # the second only if it looks toxic itself
+                picked = {i for i in picked if i == worst[0] or seen[i] > 0}
+            data += [(words[starts[i] : starts[i] + LENGTH], y) for i in sorted(picked)]
+        order = rng.permutation(len(data))
         for start in range(0, len(order), batch):
-            part = [both[i] for i in order[start : start + batch]]
             t += 1
-            _learn(p, part, common, moments, sums, rate / (1 + epoch), t)
-        model.known, model.rows = {}, None
-        for at in range(0, len(clean), 200):
-            some = clean[at : at + 200]
-            for words, logits in zip(some, model.window_logits(some), strict=True):
-                found = windows_of(words)
-                hard += [(found[i], 0) for i in np.argsort(-logits)[:2] if logits[i] > HARD]
-    model.known, model.rows = {}, None
-    top = [(x.max(), y) for x, (_, y) in zip(model.window_logits([w for w, _ in apart]), apart, strict=True) if len(x)]
+            part = [(_without(*data[i], rng), data[i][1]) for i in order[start : start + batch]]
+            _learn(p, part, common, moments, sums, rate / (1 + 4 * turn / rounds), t)
+    top = [(x.max(), y) for x, (_, y) in zip(_chunked(model, [w for w, _ in apart]), apart, strict=True)]
     _calibrate(model, np.array([x for x, _ in top]), np.array([y for _, y in top]))
     model.known, model.rows = {}, None
     return model
 
 
+def _without(words: list[str], y: int, rng: np.random.Generator) -> list[str]:
+    """A window that lacks some words, so that no combination of plain words is learned by heart."""
+    keep = rng.random(len(words)) > DROPPED
+    return [w for w, k in zip(words, keep.tolist(), strict=True) if k] or words
+
+
+def _chunked(model: ToxicityModel, texts: list[list[str]]) -> list[np.ndarray]:
+    """Window logits with the weights as they are now."""
+    model.known, model.rows = {}, None
+    return [x for at in range(0, len(texts), 200) for x in model.window_logits(texts[at : at + 200])]
+
+
 def _learn(p: dict, part: list, common: set, moments: dict, sums: dict, rate: float, t: int) -> None:
     vocab = sorted({w for words, _ in part for w in words})
     at = {w: i for i, w in enumerate(vocab)}
@@ -321,9 +350,9 @@ def _learn(p: dict, part: list, common: set, moments: dict, sums: dict, rate: fl
     ids, y = ids.T, np.array([y for _, y in part], np.float32)
     mask = ids >= 0
     wb = word_buckets(vocab)
-    lb, owner = letter_buckets(vocab)
-    count = np.maximum(np.bincount(owner, minlength=len(vocab)), 1).astype(np.float32)
-    x = np.concatenate([p["word"][wb], np.stack([np.bincount(owner, p["letter"][lb, k], len(vocab)) for k in range(WIDTH)], axis=1) / count[:, None]], axis=1).astype(np.float32)
+    lb, owner, weight = letter_buckets(vocab)
+    letters = np.stack([np.bincount(owner, p["letter"][lb, k] * weight, len(vocab)) for k in range(WIDTH)], axis=1)
+    x = np.concatenate([p["word"][wb], letters], axis=1).astype(np.float32)
     g, dx = _gradients(p, x[ids], mask, y)
     for k in g:
         g[k] = np.clip(g[k], -1, 1)
@@ -331,10 +360,11 @@ def _learn(p: dict, part: list, common: set, moments: dict, sums: dict, rate: fl
     flat, per_word = np.where(mask, ids, 0).ravel(), (dx * mask[:, :, None]).reshape(-1, 2 * WIDTH)
     back = np.stack([np.bincount(flat, per_word[:, k], len(vocab)) for k in range(2 * WIDTH)], axis=1)
     own = np.array([w in common for w in vocab])
-    for name, buckets, grad in (("word", wb[own], back[own, :WIDTH]), ("letter", lb, (back[:, WIDTH:] / count[:, None])[owner])):
+    for name, buckets, grad in (("word", wb[own], back[own, :WIDTH]), ("letter", lb, back[owner, WIDTH:] * weight[:, None])):
         used, slot = np.unique(buckets, return_inverse=True)
         total = np.stack([np.bincount(slot, grad[:, k], len(used)) for k in range(WIDTH)], axis=1)
         sums[name][used] += (total**2).mean(axis=1)
+        p[name][used] *= 1 - FADE
         p[name][used] -= (0.05 * total / np.sqrt(sums[name][used])[:, None]).astype(np.float32)
 
 
