@@ -120,7 +120,9 @@ def item_windows(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory = Templates()
         for b in batches:
-            yield _emit(b["id"], b["text"], None, None, memory)
+            found = _emit(b["id"], b["text"], None, None, memory)
+            if len(found):
+                yield found
 
     return items.mapInPandas(run, WINDOWS)
 
@@ -133,7 +135,9 @@ def document_windows(docs: DataFrame, sizes: list[int], allowed: bytes) -> DataF
         for b in batches:
             for at in range(0, len(b), 512):
                 part = b.iloc[at : at + 512]
-                yield _emit(part["id"], part["text"], sizes, table, memory)
+                found = _emit(part["id"], part["text"], sizes, table, memory)
+                if len(found):  # an empty column of lists has no type to convert
+                    yield found
 
     return docs.mapInPandas(run, WINDOWS)
 
