@@ -136,12 +136,12 @@ def order_bin(value: Column, per_octave: int = 1 << 16) -> Column:
 
 
 def rank_bin(rank: Column, most: int, bins: int = 10) -> Column:
-    """Right-closed bins 1..bins over ranks 1..most; null beyond."""
+    """Right-closed bins 1..bins over ranks 1..most; bins + 1 holds the ranks beyond."""
     edges = [math.ceil(most * i / bins) for i in range(bins + 1)]
     label = F.when(rank <= edges[0], F.lit(None))
     for i in range(1, bins + 1):
         label = label.when(rank <= edges[i], F.lit(i))
-    return label.cast("int")
+    return label.when(rank > edges[-1], F.lit(bins + 1)).cast("int")
 
 
 # --- normal distribution ---------------------------------------------------

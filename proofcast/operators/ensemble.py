@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from proofcast.functions import columns as C
 from proofcast.functions.frames import join_null_safe, present
 from proofcast.operators.scoring import normal_parameters, normalise_family
+from proofcast.operators.validation import validation_report
+from proofcast.sources.writers import write_forecasts
 
 SITE = ("reference_datetime", "variable", "site_id")
 SUBMISSION = (*SITE, "model_id")
@@ -20,16 +22,25 @@ SEED = 20230101
 def relevant(
     forecasts: DataFrame,
     variable: str | None = None,
-    issue_dates: Sequence[str] | None = None,
+    issue_dates: Sequence[str] | DataFrame | None = None,
     omit: Sequence[str] = (),
     name: str | None = None,
 ) -> DataFrame:
-    """Rows after their issue date, of the wanted variable and dates."""
+    """Rows after their issue date, of the wanted variable and dates.
+
+    Issue dates are compared as dates; a frame of them (reference_datetime) is
+    semi-joined, so nothing is collected.
+    """
     rows = normalise_family(forecasts).filter(F.to_date("datetime") > F.to_date("reference_datetime"))
     if variable is not None:
         rows = rows.filter(F.col("variable") == variable)
     if issue_dates is not None:
-        rows = rows.filter(F.col("reference_datetime").isin([str(d) for d in issue_dates]))
+        issued = F.to_date("reference_datetime")
+        if isinstance(issue_dates, DataFrame):
+            wanted = issue_dates.select(issued.alias("_issued")).distinct()
+            rows = rows.join(wanted, issued == F.col("_issued"), "left_semi")
+        else:
+            rows = rows.filter(issued.isin([F.lit(str(d)[:10]).cast("date") for d in issue_dates]))
     left_out = [*omit, *([name] if name else [])]
     return rows.filter(C.not_one_of("model_id", left_out)) if left_out else rows
 
@@ -38,10 +49,12 @@ def submissions(rows: DataFrame, h: int) -> DataFrame:
     """Usable submissions: a model, issue date, variable and site without gaps.
 
     A site with any missing prediction is dropped as a whole, whatever its lead
-    time; what is left must reach into the horizon.
+    time; what is left must reach into the horizon. Families that give no members
+    do not count.
     """
     return (
-        rows.groupBy(*SUBMISSION)
+        rows.filter(F.col("family").isin("sample", "normal"))
+        .groupBy(*SUBMISSION)
         .agg(
             F.max(F.col("prediction").isNull()).alias("_gap"),
             F.max(C.lead_days() <= h).alias("_in_reach"),
@@ -55,7 +68,7 @@ def submissions(rows: DataFrame, h: int) -> DataFrame:
 def load_forecast(
     forecasts: DataFrame,
     variable: str | None = None,
-    issue_dates: Sequence[str] | None = None,
+    issue_dates: Sequence[str] | DataFrame | None = None,
     h: int = 30,
 ) -> DataFrame:
     """Usable forecast rows up to lead time h, without helper columns."""
@@ -156,7 +169,7 @@ def build_mme(
     forecasts: DataFrame,
     name: str,
     variable: str | None = None,
-    issue_dates: Sequence[str] | None = None,
+    issue_dates: Sequence[str] | DataFrame | None = None,
     h: int = 30,
     n: int = 200,
     omit: Sequence[str] = (),
@@ -188,3 +201,27 @@ def pending_dates(candidates: DataFrame, done: DataFrame) -> DataFrame:
     """Issue dates that have no ensemble yet."""
     finished = done.select(F.to_date("reference_datetime").alias("reference_datetime")).distinct()
     return candidates.join(finished, "reference_datetime", "left_anti")
+
+
+def build_pending(forecasts: DataFrame, stored: DataFrame, name: str, **options) -> DataFrame:
+    """Ensembles for the issue dates that have forecasts but no stored ensemble.
+
+    `stored` is a frame with the issue dates (reference_datetime) done so far;
+    `options` are those of `build_mme`. With nothing pending there are no rows.
+    """
+    issued = forecasts.select(F.to_date("reference_datetime").alias("reference_datetime")).distinct()
+    return build_mme(forecasts, name, issue_dates=pending_dates(issued, stored), **options)
+
+
+def store_pending(forecasts: DataFrame, stored: DataFrame, name: str, path: str, **options) -> None:
+    """Build the pending ensembles, check them and store them.
+
+    Nothing is stored if any rule of the validation report is broken. Stored
+    partitions are read back as `stored` by the next run, which then has nothing
+    to do.
+    """
+    built = build_pending(forecasts, stored, name, **options)
+    broken = [r["rule"] for r in validation_report(built).filter(~F.col("passed")).collect()]
+    if broken:
+        raise ValueError(f"ensemble not stored, rules broken: {', '.join(broken)}")
+    write_forecasts(built, path)

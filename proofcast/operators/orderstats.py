@@ -50,11 +50,15 @@ def bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def place_values(counts: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach to each distinct value how many values of its group are smaller."""
-    joined = join_null_safe(counts, offsets, [*keys, "_bin"])
-    return joined.withColumn(
-        "_before", F.col("_offset") + _before("_w", [*keys, "_bin"], F.col("_x").asc_nulls_last())
-    )
+    """Attach to each distinct value how many values of its group are smaller.
+
+    Group and bin are one value, so null keys match and the join and the order
+    within a bin share one shuffle.
+    """
+    cell = F.struct(*keys, "_bin").alias("_cell")
+    bins = offsets.select(cell, *[F.col(n) for n in offsets.columns if n not in (*keys, "_bin")])
+    joined = counts.withColumn("_cell", F.struct(*keys, "_bin")).join(bins, "_cell")
+    return joined.withColumn("_before", F.col("_offset") + _before("_w", ["_cell"], F.col("_x").asc_nulls_last())).drop("_cell")
 
 
 def exact_quantiles(
@@ -82,59 +86,6 @@ def exact_quantiles(
     return picked.select(*keys, *between_picks(probs, "_n"), *extra)
 
 
-# Rows are counted in a fixed number of hash buckets of their group, so the list
-# of crowded buckets has at most BUCKETS entries (4 MB) whatever the data.
-BUCKETS = 1 << 18
-CROWDED = 16_000_000
-
-
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS))
-
-
-def crowded_buckets(df: DataFrame, keys: Sequence[str], limit: int = CROWDED) -> DataFrame:
-    """Hash buckets of groups that hold more rows than one task should sort.
-
-    A table of fewer rows has none, which its row count alone tells.
-    """
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    sizes = df.filter(rows > limit).groupBy(_bucket(keys).alias("_bucket")).count()
-    return sizes.filter(F.col("count") > limit).select("_bucket")
-
-
-def split_crowded(df: DataFrame, keys: Sequence[str], limit: int = CROWDED) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary groups, and rows of groups too large for one task.
-
-    A few small groups may share a crowded bucket; that costs them nothing but
-    the longer route. Without crowded buckets the broadcast list is empty and
-    adaptive execution removes both joins and whatever follows the second frame.
-    """
-    tagged = df.withColumn("_bucket", _bucket(keys))
-    crowded = F.broadcast(crowded_buckets(df, keys, limit))
-    return (
-        tagged.join(crowded, "_bucket", "left_anti").drop("_bucket"),
-        tagged.join(crowded, "_bucket", "left_semi").drop("_bucket"),
-    )
-
-
-def place_gathered(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Places of values within ordinary groups: one shuffle and a local sort."""
-    group = Window.partitionBy(*keys)
-    return df.select(*keys, F.col(value).alias("_x")).select(
-        *keys,
-        "_x",
-        F.lit(1).alias("_w"),
-        (F.row_number().over(group.orderBy("_x")) - 1).alias("_before"),
-        F.count(F.lit(1)).over(group).alias("_n"),
-    )
-
-
-def place_split(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """The same places for groups of any size, by ordered bins of distinct values."""
-    counts = distinct_counts(df, keys, value)
-    return place_values(counts, bin_offsets(counts, keys), keys).select(*keys, "_x", "_w", "_before", "_n")
-
-
 def pick(p: float, place: str) -> str:
     """SQL aggregate: the value whose place is floor or ceil of a quantile's position."""
     at = f"{place}({p}D * (_n - 1))"
@@ -162,25 +113,18 @@ def between_picks(probs: Mapping[str, float], n: str) -> list[Column]:
 PIECE = 1_000_000
 
 
-def numbered_values(df: DataFrame, keys: Sequence[str], value: str, name: str, limit: int = CROWDED) -> DataFrame:
+def numbered_values(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Number the values 1, 2, 3, ... in each group, smallest first, nulls last.
 
-    Equal values are interchangeable, so in crowded groups they are counted
-    first and written out again in pieces, spread over tasks.
+    Equal values are interchangeable, so they are counted first and written out
+    again in pieces, spread over tasks.
     """
-    ordinary, large = split_crowded(df.select(*keys, value), keys, limit)
-    in_group = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-    gathered = ordinary.withColumn(name, F.row_number().over(in_group).cast("bigint"))
-
-    counts = distinct_counts(large, keys, value)
+    counts = distinct_counts(df.select(*keys, value), keys, value)
     placed = place_values(counts, bin_offsets(counts, keys), keys)
     pieces = placed.withColumn("_piece", F.expr(f"explode(sequence(0L, (_w - 1) div {PIECE}L))"))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = f"least(_w, (_piece + 1) * {PIECE}L)"
-    written = pieces.repartition(tasks, *keys, "_x", "_piece").withColumn(
-        name, F.expr(f"explode(sequence(_before + _piece * {PIECE}L + 1, _before + {last}))")
-    )
-    return gathered.unionByName(written.select(*keys, F.col("_x").alias(value), name))
+    written = pieces.withColumn(name, F.expr(f"explode(sequence(_before + _piece * {PIECE}L + 1, _before + {last}))"))
+    return written.select(*keys, F.col("_x").alias(value), name)
 
 
 def numbered(

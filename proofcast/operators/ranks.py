@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofcast.functions import columns as C
-from proofcast.functions.frames import join_null_safe
+from proofcast.functions.frames import join_null_safe, present
 
 FORECAST = ("reference_datetime", "horizon", "site_id")
 
@@ -38,9 +38,11 @@ def ranked_rows(scores: DataFrame, lo: int = 1, hi: int = 30) -> DataFrame:
 def forecast_ranks(scores: DataFrame) -> DataFrame:
     """Place of each model in each forecast, best first, ties by model.
 
-    One forecast has one row per model, so its window stays small.
+    Variables are ranked apart where the table has several. One forecast has one
+    row per model, so its window stays small.
     """
-    window = Window.partitionBy(*FORECAST).orderBy("crps", "model_id")
+    apart = present(scores, ("variable",))
+    window = Window.partitionBy(*FORECAST, *apart).orderBy("crps", "model_id")
     return ranked_rows(scores).select(*FORECAST, "model_id", "crps", F.row_number().over(window).alias("rank"))
 
 
@@ -81,14 +83,13 @@ def complete_ranks(
     return distribution.join(grid, keys, "full").withColumn("proportion", F.coalesce(F.col("proportion"), F.lit(0.0)))
 
 
-def rank_deciles(completed: DataFrame, most: int, keys: Sequence[str], drop_beyond: bool = True) -> DataFrame:
-    """Shares summed over ten rank groups; ranks beyond the last have none."""
-    binned = (
+def rank_deciles(completed: DataFrame, most: int, keys: Sequence[str]) -> DataFrame:
+    """Shares summed over ten rank groups; ranks beyond `most` are group 11."""
+    return (
         completed.withColumn("group_rank", C.rank_bin(F.col("rank"), most))
         .groupBy("group_rank", *keys)
         .agg(F.sum("proportion").alias("proportion"))
     )
-    return binned.filter(F.col("group_rank").isNotNull()) if drop_beyond else binned
 
 
 def mean_score_of_best(scores: DataFrame, n: int = 10) -> DataFrame:

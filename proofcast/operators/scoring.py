@@ -1,10 +1,10 @@
 """Distribution summaries and scores of ensemble and normal forecasts.
 
-A forecast is one model, issue date, site, valid date and variable. Each member
+A forecast is one model, issue date, site, valid date and variable. Each value
 gets its place among the members; every figure is then a sum or a pick over
-(value, place). Ordinary forecasts get their places from a window, crowded ones
-from ordered bins, so no task has to sort a forecast that holds a large share
-of the data.
+(value, place). Places come from ordered bins of counted values, one way for
+forecasts of any size: no task sorts more than one bin of one forecast. The
+observation joins the bins, not the members.
 """
 
 from __future__ import annotations
@@ -17,18 +17,11 @@ from pyspark.sql import functions as F
 
 from proofcast.functions import columns as C
 from proofcast.functions.frames import bind_rows, present
-from proofcast.operators.orderstats import (
-    CROWDED,
-    between_picks,
-    interpolate,
-    pick,
-    place_gathered,
-    place_split,
-    quantile_picks,
-    split_crowded,
-)
+from proofcast.operators.orderstats import between_picks, bin_offsets, distinct_counts, interpolate, pick, quantile_picks
 
 CELL = ("model_id", "reference_datetime", "site_id", "datetime", "family", "variable")
+#: Families with a score; forecasts of others keep a row without one.
+SCORED = ("sample", "normal")
 TARGET_KEYS = ("site_id", "datetime", "variable")
 
 SUMMARY = ("mean", "median", "sd", "quantile97.5", "quantile02.5", "quantile90", "quantile10")
@@ -95,73 +88,40 @@ def normal_parameters(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _with_bandwidth(rows: DataFrame) -> DataFrame:
-    """Null where members do not spread or nothing was observed."""
-    return rows.withColumn(
-        "_bw", F.expr(f"CASE WHEN _sd IS NOT NULL AND _nearest IS NOT NULL THEN nullif({BANDWIDTH}, 0.0D) END")
-    )
+def one_observation(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for each target; null where rows of one target disagree.
 
+    Two observations of one site, date and variable are an error in the data:
+    forecasts of such a target stay unscored and can be scored once it is mended.
+    """
+    known = targets.filter(F.col("observation").isNotNull())
+    agreed = F.when(F.min("observation") == F.max("observation"), F.max("observation"))
+    return known.groupBy(*keys).agg(agreed.alias("observation"))
 
-def _bandwidth_per_member(observed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bandwidth beside every member, in the partitions the places came from."""
-    group = Window.partitionBy(*keys)
-    picks = {
-        f"_{place}{q}": F.expr(pick(p, place)).over(group) for q, p in QUARTILES.items() for place in ("floor", "ceil")
-    }
-    rows = observed.withColumns(
-        {
-            **picks,
-            "_sd": F.stddev_samp("_x").over(group),
-            "_nearest": F.min(F.abs(F.col("_x") - F.col("observation"))).over(group),
-        }
-    )
-    quartiles = {q: F.expr(interpolate(q[1:], p, "_n")) for q, p in QUARTILES.items()}
-    return _with_bandwidth(rows.withColumns(quartiles))
 
+def _placed(members: DataFrame, targets: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Values (_x, _w times) with places and observation; and the bins they are in.
 
-def _bandwidth_per_forecast(observed: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same by aggregates and a join, for forecasts too large for a window."""
-    spread = members.groupBy(*keys).agg(F.stddev_samp("prediction").alias("_sd"))
-    picked = observed.groupBy(*keys).agg(
-        F.expr("min(abs(_x - observation)) AS _nearest"),
-        F.max("_n").alias("_size"),
-        *quantile_picks({q[1:]: p for q, p in QUARTILES.items()}),
-    )
-    quartiles = [F.expr(f"{interpolate(q[1:], p, '_size')} AS {q}") for q, p in QUARTILES.items()]
-    per_forecast = picked.select(*keys, "_nearest", *quartiles).join(spread, list(keys))
-    return _with_bandwidth(observed.join(per_forecast, list(keys)))
-
-
-def _score_placed(observed: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Summaries and scores from members (_x, _w times) with their places."""
-    logs = "_bw" in observed.columns
-    kernels = (
-        [F.max("_bw").alias("_bw"), F.max("_nearest").alias("_nearest"), F.expr(f"{KERNELS} AS _kernels")]
-        if logs
-        else []
-    )
-    cells = observed.groupBy(*keys).agg(
-        F.max("observation").alias("observation"),
-        F.max("_n").alias("m"),
-        F.expr(
-            "sum(_w * (_x - observation)"
-            " * (CASE WHEN observation < _x THEN _n ELSE 0 END - _before - _w / 2.0D)) AS _crps"
-        ),
-        F.expr("sum(_w * _x) / sum(_w) AS mean"),
-        F.stddev_samp("_x").alias("sd"),
-        *quantile_picks(probs),
-        *kernels,
-    )
-    return cells.select(
-        *keys,
-        "observation",
-        F.expr("2.0D * _crps / (CAST(m AS DOUBLE) * m) AS crps"),
-        F.expr(f"{LOGS} AS logs" if logs else "CAST(NULL AS DOUBLE) AS logs"),
-        "mean",
-        "sd",
-        *between_picks(probs, "m"),
-        "m",
+    `_cell` is a forecast and a bin in one value, so null keys match and the join
+    and the order within a bin share one shuffle. `_base` is the smallest value
+    of the forecast, from which deviations are taken without cancelling.
+    """
+    cell = F.struct(*keys, "_bin")
+    counts = distinct_counts(members, keys, "prediction")
+    low = counts.groupBy(*keys, "_bin").agg(F.min("_x").alias("_low")).select(cell.alias("_cell"), "_low")
+    lowest = F.min("_low").over(Window.partitionBy(*keys))
+    bins = (
+        bin_offsets(counts, keys)
+        .withColumn("_cell", cell)
+        .join(low, "_cell")
+        .withColumn("_base", lowest)
+        .join(one_observation(targets, target_keys := present(members, TARGET_KEYS)), target_keys, "left")
+        .select("_cell", "_offset", "_n", "_base", "observation")
     )
+    order = Window.partitionBy("_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    values = counts.select(cell.alias("_cell"), "_x", "_w").join(bins, "_cell")
+    before = F.col("_offset") + F.coalesce(F.sum("_w").over(order), F.lit(0))
+    return values.withColumn("_before", before), bins
 
 
 def score_samples(
@@ -169,42 +129,73 @@ def score_samples(
     targets: DataFrame,
     interval: float = 0.8,
     logs: bool = True,
-    crowded: int | None = CROWDED,
 ) -> DataFrame:
-    """Summaries and scores of ensemble forecasts; null members are left out.
+    """Summaries and scores of ensemble forecasts, one row for each forecast.
 
-    The observation joins after the places are known: a hot site and date then
-    only meets a join adaptive execution can split. `crowded=None` states that
-    no forecast is large, as for ensembles of a fixed size.
+    Null members do not count; a forecast that has no others keeps its row, with
+    m = 0 and null scores. Log scores need the bandwidth first, which meets the
+    values bin by bin, so a forecast that holds much of the data is never joined
+    or summed in one task.
     """
     keys = present(forecasts, CELL)
-    target_keys = present(forecasts, TARGET_KEYS)
-    members = forecasts.filter(F.col("prediction").isNotNull()).select(*keys, "prediction")
     probs = _probabilities(interval)
-    names = [*keys, "observation", *SCORES, *[C.quoted(n) for n in SUMMARY], "m"]
-    ordinary, large = (members, None) if crowded is None else split_crowded(members, keys, crowded)
-
-    observed = place_gathered(ordinary, keys, "prediction").join(targets, target_keys, "left")
-    if logs:
-        observed = _bandwidth_per_member(observed, keys)
-    scored = _score_placed(observed, keys, probs).select(*names)
-    if large is None:
-        return scored
-
-    observed = place_split(large, keys, "prediction").join(targets, target_keys, "left")
+    values, bins = _placed(forecasts.select(*keys, "prediction"), targets, keys)
+    own = [F.col(f"_cell.{k}").alias(k) for k in keys]
+    gap = "(_x - _base)"
+    cells = (
+        values.select(*own, "_x", "_w", "_before", "_n", "_base", "observation")
+        .groupBy(*keys)
+        .agg(
+            F.max("observation").alias("observation"),
+            F.max("_n").alias("m"),
+            F.expr(
+                "sum(_w * (_x - observation)"
+                " * (CASE WHEN observation < _x THEN _n ELSE 0 END - _before - _w / 2.0D)) AS _crps"
+            ),
+            F.max("_base").alias("_base"),
+            F.expr(f"sum(_w * {gap}) AS _s1"),
+            F.expr(f"sum(_w * {gap} * {gap}) AS _s2"),
+            F.expr("min(abs(_x - observation)) AS _nearest"),
+            *quantile_picks(probs | ({q[1:]: p for q, p in QUARTILES.items()} if logs else {})),
+        )
+        .withColumn("sd", F.expr("CASE WHEN m > 1 THEN sqrt(greatest(0.0D, (_s2 - _s1 * _s1 / m) / (m - 1))) END"))
+    )
+    kernels = "CAST(NULL AS DOUBLE)"
     if logs:
-        observed = _bandwidth_per_forecast(observed, large, keys)
-    # distinct values carry weights, so the deviation comes from the members themselves
-    spread = large.groupBy(*keys).agg(F.stddev_samp("prediction").alias("sd"))
-    return scored.unionByName(
-        _score_placed(observed, keys, probs).drop("sd").join(spread, list(keys)).select(*names)
+        quartiles = {q: F.expr(interpolate(q[1:], p, "m")) for q, p in QUARTILES.items()}
+        sized = cells.withColumns({**quartiles, "_sd": F.col("sd"), "_n": F.col("m")})
+        cells = sized.withColumn(
+            "_bw", F.expr(f"CASE WHEN sd IS NOT NULL AND _nearest IS NOT NULL THEN nullif({BANDWIDTH}, 0.0D) END")
+        )
+        widths = cells.select(F.struct(*keys).alias("_forecast"), "_bw", "_nearest").filter("_bw IS NOT NULL")
+        forecast = F.struct(*[F.col(f"_cell.{k}").alias(k) for k in keys])
+        widths = bins.select("_cell", forecast.alias("_forecast")).join(widths, "_forecast").drop("_forecast")
+        sums = (
+            values.join(widths, "_cell")
+            .select(*own, "_x", "_w", "_bw", "_nearest", "observation")
+            .groupBy(*keys)
+            .agg(F.expr(f"{KERNELS} AS _kernels"))
+            .select(F.struct(*keys).alias("_forecast"), "_kernels")
+        )
+        cells = cells.withColumn("_forecast", F.struct(*keys)).join(sums, "_forecast", "left")
+        kernels = LOGS
+    return cells.select(
+        *keys,
+        "observation",
+        F.expr("2.0D * _crps / (CAST(m AS DOUBLE) * nullif(m, 0)) AS crps"),
+        F.expr(f"{kernels} AS logs"),
+        F.expr("_base + _s1 / nullif(m, 0) AS mean"),
+        "sd",
+        *between_picks(probs, "m"),
+        "m",
     )
 
 
 def score_normals(forecasts: DataFrame, targets: DataFrame, interval: float = 0.8) -> DataFrame:
     """Summaries and scores of forecasts given by `mu` and `sigma`."""
     keys = present(forecasts, CELL)
-    observed = normal_parameters(forecasts, keys).join(targets, present(forecasts, TARGET_KEYS), "left")
+    target_keys = present(forecasts, TARGET_KEYS)
+    observed = normal_parameters(forecasts, keys).join(one_observation(targets, target_keys), target_keys, "left")
     mu, sigma, y = F.col("mu"), F.col("sigma"), F.col("observation")
     levels = {0.8: C.Z_900, 0.9: C.Z_950, 0.95: C.Z_975}
     if interval not in levels:
@@ -230,8 +221,7 @@ def score(
     targets: DataFrame,
     interval: float = 0.8,
     logs: bool = True,
-    families: Sequence[str] = ("sample", "normal"),
-    crowded: int | None = CROWDED,
+    families: Sequence[str] | None = None,
 ) -> DataFrame:
     """Score every forecast of a table against the targets.
 
@@ -239,15 +229,22 @@ def score(
     and variable the table has. `interval` is the central level reported as
     quantile10 / quantile90 (0.8, or 0.9 for the weather convention). `logs=False`
     leaves the log score of ensembles null, which saves a second pass. Forecasts
-    without an observation keep null scores and can be scored again later.
+    without an observation keep null scores and can be scored again later, and so
+    do forecasts of a family that cannot be scored. `families` restricts the
+    forecasts to some families.
     """
     forecasts = normalise_family(standardise(forecasts))
     targets = standardise_targets(targets)
     parts = []
-    if "sample" in families:
-        parts.append(score_samples(forecasts.filter(F.col("family") == "sample"), targets, interval, logs, crowded))
-    if "normal" in families:
+    if families is None or "sample" in families:
+        parts.append(score_samples(forecasts.filter(F.col("family") == "sample"), targets, interval, logs))
+    if families is None or "normal" in families:
         parts.append(score_normals(forecasts.filter(F.col("family") == "normal"), targets, interval))
+    if families is None:
+        other = forecasts.filter(C.not_one_of("family", SCORED))
+        target_keys = present(forecasts, TARGET_KEYS)
+        unscored = other.select(*present(forecasts, CELL)).distinct()
+        parts.append(unscored.join(one_observation(targets, target_keys), target_keys, "left"))
     return bind_rows(*parts)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofcast.functions.frames import present
 
+# Columns of a forecast table and its families.
 REQUIRED = ("datetime", "reference_datetime", "site_id", "variable", "family", "parameter", "prediction")
 FAMILIES = ("sample", "ensemble", "normal")
 
@@ -18,12 +19,17 @@ def missing_columns(df: DataFrame) -> list[str]:
 def validation_report(df: DataFrame) -> DataFrame:
     """Rows breaking each rule, one row per rule.
 
+    A table that lacks columns breaks one rule for each of them, and the others
+    are not looked at.
+
     Duplicates are counted beyond the first; a normal forecast must have both
     parameters. All checks aggregate on the map side first.
     """
     absent = missing_columns(df)
     if absent:
-        raise ValueError(f"missing columns: {', '.join(absent)}")
+        rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
+        named = F.explode(F.array(*[F.lit(f"missing_column_{n}") for n in absent])).alias("rule")
+        return rows.select(named, "n_rows", F.lit(False).alias("passed"))
     keys = present(df, ("model_id", "reference_datetime", "site_id", "datetime", "variable", "family"))
     bad = {
         "unknown_family": ~F.coalesce(F.col("family").isin(list(FAMILIES)), F.lit(False)),

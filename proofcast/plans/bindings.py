@@ -8,12 +8,11 @@ moved to long lead times, which leaves gaps in and next to the baseline.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofcast.functions.columns import LAKE_SITES
 from proofcast.operators.ensemble import SUBMISSION
-from proofcast.operators.orderstats import numbered_values
 from proofcast.operators.scoring import normal_parameters, score
 
 # Size of an issue week and first issue date.
@@ -95,9 +94,13 @@ def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ensemble members, numbered within each forecast by their value."""
-    rows = unnumbered(spark, sf_dir)
-    return numbered_values(rows, [*CELL_KEYS, "family"], "prediction", "parameter")
+    """Ensemble members, numbered within each forecast by their value.
+
+    A forecast has no more members than an issue week has lines, however many
+    weeks there are, so a window may number them.
+    """
+    within = Window.partitionBy(*CELL_KEYS, "family").orderBy(F.col("prediction").asc_nulls_last())
+    return unnumbered(spark, sf_dir).withColumn("parameter", F.row_number().over(within).cast("bigint"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,16 +135,14 @@ def scores(spark: SparkSession, sf_dir: str, logs: bool = False) -> DataFrame:
 
 
 def normal_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same forecasts as mean and deviation, where three members allow it."""
+    """The same forecasts as mean and deviation; a single member has no deviation."""
     fitted = (
         unnumbered(spark, sf_dir)
         .groupBy(*CELL_KEYS)
         .agg(
-            F.count("prediction").alias("n"),
             F.avg("prediction").alias("mu"),
             F.stddev_samp("prediction").alias("sigma"),
         )
-        .filter(F.col("n") >= 3)
     )
     long = fitted.unpivot(CELL_KEYS, ["mu", "sigma"], "parameter", "prediction")
     return long.withColumn("family", F.lit("normal"))

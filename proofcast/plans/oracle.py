@@ -117,19 +117,18 @@ SELECT CAST(o_orderdate AS DATE) AS datetime, {SITE_CASE.format(key='o_custkey')
         ("fx_members", "fx_observations"),
         f"""
 SELECT f.model_id, f.reference_datetime, f.site_id, f.datetime, f.variable, f.family, f.prediction, o.observation,
-  ROW_NUMBER() OVER (PARTITION BY f.model_id, f.reference_datetime, f.site_id, f.datetime, f.variable ORDER BY f.prediction) AS i,
-  COUNT(*) OVER (PARTITION BY f.model_id, f.reference_datetime, f.site_id, f.datetime, f.variable) AS m
-FROM fx_members f LEFT JOIN fx_observations o ON f.site_id = o.site_id AND f.variable = o.variable AND f.datetime = o.datetime
-WHERE f.prediction IS NOT NULL""",
+  ROW_NUMBER() OVER (PARTITION BY f.model_id, f.reference_datetime, f.site_id, f.datetime, f.variable ORDER BY f.prediction NULLS LAST) AS i,
+  COUNT(f.prediction) OVER (PARTITION BY f.model_id, f.reference_datetime, f.site_id, f.datetime, f.variable) AS m
+FROM fx_members f LEFT JOIN fx_observations o ON f.site_id = o.site_id AND f.variable = o.variable AND f.datetime = o.datetime""",
     ),
     "fx_scores": (
         ("fx_scored",),
         f"""
 SELECT {CELL}, family, MAX(observation) AS observation,
-  SUM(2.0 * (prediction - observation) * (m * CASE WHEN observation < prediction THEN 1 ELSE 0 END - i + 0.5)) / (MAX(m) * MAX(m)) AS crps,
+  SUM(2.0 * (prediction - observation) * (m * CASE WHEN observation < prediction THEN 1 ELSE 0 END - i + 0.5)) / NULLIF(MAX(m) * MAX(m), 0) AS crps,
   AVG(prediction) AS mean, MEDIAN(prediction) AS median, STDDEV_SAMP(prediction) AS sd,
   QUANTILE_CONT(prediction, 0.025) AS q025, QUANTILE_CONT(prediction, 0.1) AS q10, QUANTILE_CONT(prediction, 0.9) AS q90, QUANTILE_CONT(prediction, 0.975) AS q975,
-  QUANTILE_CONT(prediction, 0.25) AS q25, QUANTILE_CONT(prediction, 0.75) AS q75, COUNT(*) AS m
+  QUANTILE_CONT(prediction, 0.25) AS q25, QUANTILE_CONT(prediction, 0.75) AS q75, COUNT(prediction) AS m
 FROM fx_scored GROUP BY {CELL}, family""",
     ),
     "fx_logs": (
@@ -141,7 +140,7 @@ SELECT {CELL}, -(MAX(top) + ln(SUM(exp(e - top)))) + ln(MAX(m)) + ln(MAX(bw)) +
       -0.5 * ((r.observation - r.prediction) / b.bw) * ((r.observation - r.prediction) / b.bw) AS e
     FROM fx_scored r JOIN (
       SELECT {CELL}, 1.06 * LEAST(sd, (q75 - q25) / 1.34) * POWER(m, -0.2) AS bw FROM fx_scores WHERE sd IS NOT NULL AND observation IS NOT NULL) b
-      USING ({CELL}) WHERE b.bw > 0) e1) e2
+      USING ({CELL}) WHERE b.bw > 0 AND r.prediction IS NOT NULL) e1) e2
 GROUP BY {CELL}""",
     ),
     "fx_full_scores": (("fx_scores", "fx_logs"), f" SELECT s.*, l.logs FROM fx_scores s LEFT JOIN fx_logs l USING ({CELL})"),
@@ -245,7 +244,7 @@ JOIN (SELECT model_id, COUNT(*) AS n FROM rank_rows GROUP BY model_id) t USING (
     "fx_normal": (
         ("fx_members",),
         f"""
-SELECT {CELL}, AVG(prediction) AS mu, STDDEV_SAMP(prediction) AS sigma FROM fx_members GROUP BY {CELL} HAVING COUNT(prediction) >= 3""",
+SELECT {CELL}, AVG(prediction) AS mu, STDDEV_SAMP(prediction) AS sigma FROM fx_members GROUP BY {CELL}""",
     ),
     "normal_scored": (
         ("fx_normal", "fx_observations"),
@@ -338,7 +337,7 @@ SELECT {keys}, within_TRUE, within_FALSE, round(100.0 * within_TRUE / nullif(wit
 def _rank_bins(most: int) -> str:
     edges = [-(-most * i // 10) for i in range(11)]
     cases = " ".join(f"WHEN rank > {edges[i]} AND rank <= {edges[i + 1]} THEN {i + 1}" for i in range(10))
-    return f"CASE {cases} END"
+    return f"CASE {cases} WHEN rank > {most} THEN 11 END"
 
 
 RANKED = "('climatology', 'model_2', 'model_3', 'model_5', 'model_7')"
@@ -438,7 +437,7 @@ FROM (SELECT DISTINCT model_id, site_id, variable, reference_datetime FROM fx_me
     ),
     "pending_dates": (
         ("fx_members",),
-        """SELECT CAST(d AS DATE) AS reference_datetime FROM (SELECT UNNEST(generate_series(DATE '2023-01-01', DATE '2023-12-31', INTERVAL 1 DAY)) AS d) s
+        """SELECT CAST(d AS DATE) AS reference_datetime FROM (SELECT UNNEST(generate_series(DATE '2023-01-01', (SELECT MAX(CAST(reference_datetime AS DATE)) FROM fx_members), INTERVAL 1 DAY)) AS d) s
 WHERE CAST(d AS DATE) NOT IN (SELECT CAST(reference_datetime AS DATE) FROM fx_members)""",
     ),
     "skill_vs_climatology": (
@@ -782,14 +781,14 @@ FROM r GROUP BY model_id, reference_datetime, site_id, datetime""",
     ),
     "crps_sample": (("fx_scores",), f"SELECT {CELL}, m, round(crps, 6) AS crps FROM fx_scores"),
     "crps_normal": (("normal_scored",), f"SELECT {CELL}, round({CRPS_NORMAL}, 6) AS crps FROM normal_scored"),
-    "logs_normal": (("normal_scored",), f"SELECT {CELL}, round({LOGS_NORMAL}, 6) AS logs FROM normal_scored"),
+    "logs_normal": (("normal_scored",), f"SELECT {CELL}, {_logs('logs', 'logs')} FROM (SELECT {CELL}, {LOGS_NORMAL} AS logs FROM normal_scored) n"),
     "logs_sample": (("fx_full_scores",), f"SELECT {CELL}, m, {_logs('logs', 'logs')} FROM fx_full_scores"),
     "forecast_summary": (
         ("fx_members",),
         f"""SELECT {CELL}, round(AVG(prediction), 6) AS mean, round(MEDIAN(prediction), 6) AS median, round(STDDEV_SAMP(prediction), 6) AS sd,
   round(QUANTILE_CONT(prediction, 0.025), 6) AS q025, round(QUANTILE_CONT(prediction, 0.975), 6) AS q975,
   round(QUANTILE_CONT(prediction, 0.05), 6) AS q10, round(QUANTILE_CONT(prediction, 0.95), 6) AS q90
-FROM fx_members WHERE prediction IS NOT NULL GROUP BY {CELL}""",
+FROM fx_members GROUP BY {CELL}""",
     ),
     "score_forecasts": (
         ("fx_full_scores", "normal_scored"),

@@ -31,7 +31,7 @@ from proofcast.streaming.incremental import latest_scored
 # Parameters of the registered queries.
 SEED = E.SEED
 ENSEMBLE = "all_submissions"
-ENSEMBLE_SIZE = 20
+ENSEMBLE_SIZE = 200
 OMITTED = ("model_4",)
 RANKED_MODELS = ("climatology", "model_2", "model_3", "model_5", "model_7")
 SLICE_DATE = "2023-01-08"
@@ -233,7 +233,8 @@ def forecasts_by_variable(spark, sf):
 @query
 def pending_dates(spark, sf):
     done = B.unnumbered(spark, sf).select("reference_datetime")
-    return E.pending_dates(day_spine("2023-01-01", "2023-12-31", done), done)
+    last = done.agg(F.max(F.to_date("reference_datetime"))).scalar()
+    return E.pending_dates(day_spine("2023-01-01", last, done), done)
 
 
 # --- joins -----------------------------------------------------------------
@@ -542,7 +543,7 @@ def rank_distribution_site(spark, sf):
 def rank_deciles_site(spark, sf):
     completed = _ranks_by_site(spark, sf, RANKED_MODELS)
     keys = ["site_id", "model_id", "horizon"]
-    return rounded(R.rank_deciles(completed, RANKS_PER_SITE, keys, drop_beyond=False))
+    return rounded(R.rank_deciles(completed, RANKS_PER_SITE, keys))
 
 
 @query
@@ -699,7 +700,7 @@ def _mme(spark, sf):
 @query
 def multi_model_ensemble(spark, sf):
     mme = _mme(spark, sf)
-    observed = S.score(mme, B.observations(spark, sf), families=("sample",), crowded=None)
+    observed = S.score(mme, B.observations(spark, sf), families=("sample",))
     return rounded(
         observed.select("model_id", "reference_datetime", "site_id", "datetime", "m", "mean", "median", "crps")
     )
@@ -719,7 +720,7 @@ def crps_normal(spark, sf):
 @query
 def logs_normal(spark, sf):
     scored = S.score(B.normal_forecasts(spark, sf), B.observations(spark, sf), families=("normal",))
-    return rounded(scored.select(*E.SUBMISSION, "datetime", "logs"))
+    return significant(scored.select(*E.SUBMISSION, "datetime", "logs"), logs="abs(logs)")
 
 
 @query

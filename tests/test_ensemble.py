@@ -98,3 +98,36 @@ def test_pending_dates(spark):
     assert sorted(r[0].day for r in E.pending_dates(want, done).collect()) == [1, 3]
     none = spark.createDataFrame([], "reference_datetime string")
     assert E.pending_dates(want, none).count() == 3
+
+
+def test_families_without_members_do_not_count(spark):
+    day = dt.datetime(2023, 1, 3)
+    data = [("a", "2023-01-01", "BARC", day, "temperature", "sample", str(i), float(i)) for i in range(12)]
+    data += [("odd", "2023-01-01", "BARC", day, "temperature", "lognormal", p, 1.0) for p in ("mu", "sigma")]
+    assert E.build_mme(spark.createDataFrame(data, FORECAST), "mme", n=10).count() == 10
+
+
+def test_issue_dates_compare_as_dates(spark):
+    day = dt.datetime(2023, 1, 3)
+    data = [("a", "2023-01-01 00:00:00", "BARC", day, "temperature", "sample", str(i), float(i)) for i in range(5)]
+    df = spark.createDataFrame(data, FORECAST)
+    assert E.build_mme(df, "mme", issue_dates=["2023-01-01"], n=5).count() == 5
+    wanted = spark.createDataFrame([("2023-01-01",)], "reference_datetime string")
+    assert E.build_mme(df, "mme", issue_dates=wanted, n=5).count() == 5
+
+
+def test_pending_ensembles_are_built_once_and_only_valid_ones_are_stored(spark, tmp_path):
+    from proofcast.sources.readers import read_forecasts
+
+    data = [(m, f"2023-01-0{i}", "BARC", dt.datetime(2023, 1, 5), "temperature", "sample", str(k), float(k)) for m in "ab" for i in (1, 2) for k in range(6)]
+    df = spark.createDataFrame(data, FORECAST)
+    path = str(tmp_path / "ensembles")
+    none = spark.createDataFrame([], "reference_datetime string")
+    E.store_pending(df, none, "mme", path, n=4)
+    stored = read_forecasts(spark, path)
+    assert stored.count() == 8 and stored.select("reference_datetime").distinct().count() == 2
+    assert E.build_pending(df, stored, "mme", n=4).count() == 0
+    broken = spark.createDataFrame([(*r[:7], float("nan")) for r in data], FORECAST)
+    with pytest.raises(ValueError, match="missing_prediction"):
+        E.store_pending(broken, none, "bad", str(tmp_path / "bad"), n=4)
+    assert not (tmp_path / "bad").exists()

@@ -35,25 +35,12 @@ def test_exact_quantiles_match_brute_force(skewed):
                 assert r[name] is None
 
 
-def test_split_places_equal_gathered_places(skewed):
-    df, _ = skewed
-    known = df.filter("x is not null and k is not null")
-
-    def spread(placed):
-        # a value counted w times covers w places
-        place = F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_w") - 1)).alias("place")
-        return {(r.k, r._x, r.place, r._n) for r in placed.select("k", "_x", place, "_n").collect()}
-
-    assert spread(O.place_split(known, ["k"], "x")) == spread(O.place_gathered(known, ["k"], "x"))
-
-
-def test_crowded_rows_are_separated_and_nothing_is_lost(skewed):
-    df, _ = skewed
-    ordinary, large = O.split_crowded(df, ["k"], limit=500)
-    assert "hot" in {r.k for r in large.select("k").distinct().collect()}
-    assert ordinary.count() + large.count() == df.count()
-    everything, nothing = O.split_crowded(df, ["k"], limit=1_000_000)
-    assert everything.count() == df.count() and nothing.count() == 0
+def test_places_are_those_of_one_sort(skewed):
+    df, pdf = skewed
+    counts = O.distinct_counts(df, ["k"], "x")
+    for r in O.place_values(counts, O.bin_offsets(counts, ["k"]), ["k"]).filter("_x is not null").collect():
+        values = pdf.x[pdf.k.isna() if r.k is None else pdf.k == r.k].dropna()
+        assert (r._before, r._w, r._n) == ((values < r._x).sum(), (values == r._x).sum(), len(values))
 
 
 def test_numbering_matches_one_big_sort(skewed):
@@ -76,11 +63,10 @@ def test_median_of_two_and_of_one(spark):
     assert got == {"a": 2.5, "b": 3.0}
 
 
-@pytest.mark.parametrize("limit", [O.CROWDED, 500, 0])
-def test_values_are_numbered_on_every_route(skewed, monkeypatch, limit):
+def test_values_are_numbered(skewed, monkeypatch):
     df, pdf = skewed
     monkeypatch.setattr(O, "PIECE", 300)
-    out = O.numbered_values(df, ["k"], "x", "place", limit=limit).toPandas()
+    out = O.numbered_values(df, ["k"], "x", "place").toPandas()
     assert len(out) == len(pdf)
     for k, part in out.groupby("k", dropna=False):
         part = part.sort_values("place")
