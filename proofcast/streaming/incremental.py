@@ -9,6 +9,8 @@ archive.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,23 +42,36 @@ def touched_partitions(batch: DataFrame) -> DataFrame:
     return batch.select("model_id", F.to_date("datetime").alias("date")).distinct()
 
 
+def touched_rows(archive: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of the touched model and date pairs, read from their partitions alone.
+
+    A date range for each touched model, one row a model, becomes a filter on
+    partition columns; the semi join then picks the pairs within the ranges.
+    """
+    ranges = pairs.groupBy("model_id").agg(F.min("date").alias("first"), F.max("date").alias("last")).collect()
+    inside = [(F.col("model_id") == r["model_id"]) & F.col("date").between(F.lit(r["first"]), F.lit(r["last"])) for r in ranges]
+    kept = archive.filter(reduce(lambda a, b: a | b, inside, F.lit(False)))
+    return kept.join(pairs, ["model_id", "date"], "left_semi").drop("date")
+
+
 def rescore(
     spark: SparkSession,
     forecasts_path: str,
     targets: DataFrame,
     scores_path: str,
     touched: DataFrame,
+    folder: str | None = None,
 ) -> None:
     """Score the touched model and date pairs from the archive and store them.
 
     The pairs often come from the stored scores, which are about to change, so
-    they are written to the shared folder first.
+    they are written to a new folder first: `folder`, or one below the shared
+    folder.
     """
-    fixed = fresh_folder(spark, "touched")
+    fixed = folder or fresh_folder(spark, "touched")
     touched.write.parquet(fixed)
     pairs = spark.read.schema(touched.schema).parquet(fixed)
-    archive = read_forecasts(spark, forecasts_path)
-    rows = archive.join(pairs, ["model_id", "date"], "left_semi").drop("date")
+    rows = touched_rows(read_forecasts(spark, forecasts_path), pairs)
     write_scores(score(rows, targets), scores_path)
 
 
