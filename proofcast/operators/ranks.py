@@ -41,18 +41,19 @@ def forecast_ranks(scores: DataFrame) -> DataFrame:
     Variables are ranked apart where the table has several. One forecast has one
     row per model, so its window stays small.
     """
-    apart = present(scores, ("variable",))
-    window = Window.partitionBy(*FORECAST, *apart).orderBy("crps", "model_id")
-    return ranked_rows(scores).select(*FORECAST, "model_id", "crps", F.row_number().over(window).alias("rank"))
+    keys = [*FORECAST, *present(scores, ("variable",))]
+    window = Window.partitionBy(*keys).orderBy("crps", "model_id")
+    return ranked_rows(scores).select(*keys, "model_id", "crps", F.row_number().over(window).alias("rank"))
 
 
 def rank_distribution(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """How often each model takes each rank, and its share of its forecasts.
 
-    `keys` adds lead time and site; without them all are taken together. Every
-    ranked forecast has exactly one rank, so the counts also give the totals.
+    `keys` adds lead time and site; without them all are taken together, but never
+    two variables. Every ranked forecast has exactly one rank, so the counts also
+    give the totals.
     """
-    per = ["model_id", *keys]
+    per = ["model_id", *present(scores, ("variable",)), *keys]
     counts = forecast_ranks(scores).groupBy(*per, "rank").agg(F.count(F.lit(1)).alias("n_rank"))
     total = F.sum("n_rank").over(Window.partitionBy(*per))
     return counts.withColumn("n", total).withColumn("proportion", F.col("n_rank") / F.col("n"))
@@ -67,12 +68,13 @@ def complete_ranks(
 ) -> DataFrame:
     """Add the ranks, sites and lead times a model never took, with share 0.
 
-    The grid is one row per model exploded over fixed lists.
+    The grid is one row per model and variable exploded over fixed lists.
     """
     if models is not None:
         distribution = distribution.filter(F.col("model_id").isin(list(models)))
-    grid = distribution.select("model_id").distinct()
-    keys = ["model_id", "rank"]
+    of = ["model_id", *present(distribution, ("variable",))]
+    grid = distribution.select(*of).distinct()
+    keys = [*of, "rank"]
     if horizons is not None:
         grid = grid.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
         keys.append("horizon")

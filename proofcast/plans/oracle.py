@@ -144,6 +144,7 @@ SELECT {CELL}, -(MAX(top) + ln(SUM(exp(e - top)))) + ln(MAX(m)) + ln(MAX(bw)) +
 GROUP BY {CELL}""",
     ),
     "fx_full_scores": (("fx_scores", "fx_logs"), f" SELECT s.*, l.logs FROM fx_scores s LEFT JOIN fx_logs l USING ({CELL})"),
+    "all_scores": (("fx_scores",), f" SELECT *, {HORIZON} AS horizon FROM fx_scores"),
     "t_scores": (
         ("fx_scores",),
         f" SELECT *, {HORIZON} AS horizon FROM fx_scores WHERE variable = 'temperature'",
@@ -210,36 +211,36 @@ SELECT MAX(f) AS first_date, MIN(l) AS last_date FROM (
   WHERE site_id <> 'TOOK' AND model_id IS NOT NULL AND skill_crps IS NOT NULL AND skill_logs IS NOT NULL GROUP BY site_id) p""",
     ),
     "rank_rows": (
-        ("t_scores",),
+        ("all_scores",),
         """
-SELECT reference_datetime, horizon, site_id, model_id, crps,
-  CAST(ROW_NUMBER() OVER (PARTITION BY reference_datetime, horizon, site_id ORDER BY crps, model_id) AS INT) AS rank
-FROM t_scores WHERE horizon BETWEEN 1 AND 30 AND crps IS NOT NULL""",
+SELECT reference_datetime, variable, horizon, site_id, model_id, crps,
+  CAST(ROW_NUMBER() OVER (PARTITION BY reference_datetime, variable, horizon, site_id ORDER BY crps, model_id) AS INT) AS rank
+FROM all_scores WHERE horizon BETWEEN 1 AND 30 AND crps IS NOT NULL""",
     ),
     "rank_site": (
         ("rank_rows",),
         """
-SELECT r.rank, r.site_id, r.model_id, r.horizon, r.n_rank * 1.0 / t.n AS proportion
-FROM (SELECT horizon, site_id, model_id, rank, COUNT(*) AS n_rank FROM rank_rows GROUP BY horizon, site_id, model_id, rank) r
-JOIN (SELECT horizon, site_id, model_id, COUNT(*) AS n FROM rank_rows GROUP BY horizon, site_id, model_id) t USING (horizon, site_id, model_id)""",
+SELECT r.variable, r.rank, r.site_id, r.model_id, r.horizon, r.n_rank * 1.0 / t.n AS proportion
+FROM (SELECT variable, horizon, site_id, model_id, rank, COUNT(*) AS n_rank FROM rank_rows GROUP BY variable, horizon, site_id, model_id, rank) r
+JOIN (SELECT variable, horizon, site_id, model_id, COUNT(*) AS n FROM rank_rows GROUP BY variable, horizon, site_id, model_id) t USING (variable, horizon, site_id, model_id)""",
     ),
     "rank_site_full": (
         ("rank_site",),
         f"""
-SELECT rank, site_id, model_id, horizon, COALESCE(MAX(proportion), 0) AS proportion FROM (
-  SELECT rank, site_id, model_id, horizon, CAST(proportion AS DOUBLE) AS proportion FROM rank_site
+SELECT variable, rank, site_id, model_id, horizon, COALESCE(MAX(proportion), 0) AS proportion FROM (
+  SELECT variable, rank, site_id, model_id, horizon, CAST(proportion AS DOUBLE) AS proportion FROM rank_site
   UNION ALL
-  SELECT CAST(g.r AS INT), s.site_id, m.model_id, CAST(h.h AS INT), NULL FROM (SELECT DISTINCT model_id FROM rank_site) m,
+  SELECT m.variable, CAST(g.r AS INT), s.site_id, m.model_id, CAST(h.h AS INT), NULL FROM (SELECT DISTINCT variable, model_id FROM rank_site) m,
     (SELECT UNNEST(range(1, {R.RANKS_PER_SITE + 1})) AS r) g, (SELECT UNNEST(range(1, 31)) AS h) h,
     (SELECT UNNEST(['TOOK', 'PRLA', 'PRPO', 'CRAM', 'LIRO', 'BARC', 'SUGG']) AS site_id) s) u
-GROUP BY rank, site_id, model_id, horizon""",
+GROUP BY variable, rank, site_id, model_id, horizon""",
     ),
     "rank_all": (
         ("rank_rows",),
         """
-SELECT r.model_id, r.rank, r.n_rank, t.n, r.n_rank * 1.0 / t.n AS proportion
-FROM (SELECT model_id, rank, COUNT(*) AS n_rank FROM rank_rows GROUP BY model_id, rank) r
-JOIN (SELECT model_id, COUNT(*) AS n FROM rank_rows GROUP BY model_id) t USING (model_id)""",
+SELECT r.variable, r.model_id, r.rank, r.n_rank, t.n, r.n_rank * 1.0 / t.n AS proportion
+FROM (SELECT variable, model_id, rank, COUNT(*) AS n_rank FROM rank_rows GROUP BY variable, model_id, rank) r
+JOIN (SELECT variable, model_id, COUNT(*) AS n FROM rank_rows GROUP BY variable, model_id) t USING (variable, model_id)""",
     ),
     "fx_normal": (
         ("fx_members",),
@@ -653,24 +654,24 @@ WHERE horizon BETWEEN 0 AND 30 AND model_id IN (SELECT model_id FROM best) GROUP
     ),
     "rank_distribution": (
         ("rank_all",),
-        "SELECT model_id, rank, n_rank, n, round(proportion, 6) AS proportion FROM rank_all",
+        "SELECT variable, model_id, rank, n_rank, n, round(proportion, 6) AS proportion FROM rank_all",
     ),
     "rank_deciles": (
         ("rank_all",),
-        f"""SELECT group_rank, model_id, round(SUM(proportion), 6) AS proportion FROM (
-  SELECT CAST({_rank_bins(R.RANKS_OVERALL)} AS INT) AS group_rank, model_id, proportion FROM (
-    SELECT model_id, rank, CAST(proportion AS DOUBLE) AS proportion FROM rank_all UNION ALL
-    SELECT m.model_id, g.r, 0.0 FROM (SELECT DISTINCT model_id FROM rank_all) m, (SELECT UNNEST(range(1, {R.RANKS_OVERALL + 1})) AS r) g) u
-  WHERE model_id IN {RANKED}) t WHERE group_rank IS NOT NULL GROUP BY 1, 2""",
+        f"""SELECT group_rank, variable, model_id, round(SUM(proportion), 6) AS proportion FROM (
+  SELECT CAST({_rank_bins(R.RANKS_OVERALL)} AS INT) AS group_rank, variable, model_id, proportion FROM (
+    SELECT variable, model_id, rank, CAST(proportion AS DOUBLE) AS proportion FROM rank_all UNION ALL
+    SELECT m.variable, m.model_id, g.r, 0.0 FROM (SELECT DISTINCT variable, model_id FROM rank_all) m, (SELECT UNNEST(range(1, {R.RANKS_OVERALL + 1})) AS r) g) u
+  WHERE model_id IN {RANKED}) t WHERE group_rank IS NOT NULL GROUP BY 1, 2, 3""",
     ),
     "rank_distribution_site": (
         ("rank_site_full",),
-        "SELECT rank, site_id, model_id, horizon, round(proportion, 6) AS proportion FROM rank_site_full",
+        "SELECT variable, rank, site_id, model_id, horizon, round(proportion, 6) AS proportion FROM rank_site_full",
     ),
     "rank_deciles_site": (
         ("rank_site_full",),
-        f"""SELECT CAST({_rank_bins(R.RANKS_PER_SITE)} AS INT) AS group_rank, site_id, model_id, horizon, round(SUM(proportion), 6) AS proportion
-FROM rank_site_full WHERE model_id IN {RANKED} GROUP BY 1, 2, 3, 4""",
+        f"""SELECT CAST({_rank_bins(R.RANKS_PER_SITE)} AS INT) AS group_rank, variable, site_id, model_id, horizon, round(SUM(proportion), 6) AS proportion
+FROM rank_site_full WHERE model_id IN {RANKED} GROUP BY 1, 2, 3, 4, 5""",
     ),
     "latest_scored": (
         ("fx_scores",),
@@ -687,7 +688,7 @@ FROM usable GROUP BY 1, 2, 3""",
     ),
     "forecast_ranks": (
         ("rank_rows",),
-        "SELECT reference_datetime, horizon, site_id, model_id, round(crps, 6) AS crps, rank FROM rank_rows",
+        "SELECT reference_datetime, variable, horizon, site_id, model_id, round(crps, 6) AS crps, rank FROM rank_rows",
     ),
     "top10_models": (
         ("t_scores",),

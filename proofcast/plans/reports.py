@@ -520,29 +520,29 @@ def median_skill_by_model(spark, sf):
 
 @query
 def rank_distribution(spark, sf):
-    return rounded(R.rank_distribution(temperature_scores(spark, sf)))
+    return rounded(R.rank_distribution(B.scores(spark, sf)))
 
 
 @query
 def rank_deciles(spark, sf):
-    completed = R.complete_ranks(R.rank_distribution(temperature_scores(spark, sf)), RANKS_OVERALL, RANKED_MODELS)
-    return rounded(R.rank_deciles(completed, RANKS_OVERALL, ["model_id"]))
+    completed = R.complete_ranks(R.rank_distribution(B.scores(spark, sf)), RANKS_OVERALL, RANKED_MODELS)
+    return rounded(R.rank_deciles(completed, RANKS_OVERALL, ["variable", "model_id"]))
 
 
 def _ranks_by_site(spark, sf, models=None):
-    shares = R.rank_distribution(temperature_scores(spark, sf), ["horizon", "site_id"])
+    shares = R.rank_distribution(B.scores(spark, sf), ["horizon", "site_id"])
     return R.complete_ranks(shares, RANKS_PER_SITE, models, C.LAKE_SITES, range(1, 31))
 
 
 @query
 def rank_distribution_site(spark, sf):
-    return rounded(_ranks_by_site(spark, sf).select("rank", "site_id", "model_id", "horizon", "proportion"))
+    return rounded(_ranks_by_site(spark, sf).select("variable", "rank", "site_id", "model_id", "horizon", "proportion"))
 
 
 @query
 def rank_deciles_site(spark, sf):
     completed = _ranks_by_site(spark, sf, RANKED_MODELS)
-    keys = ["site_id", "model_id", "horizon"]
+    keys = ["variable", "site_id", "model_id", "horizon"]
     return rounded(R.rank_deciles(completed, RANKS_PER_SITE, keys))
 
 
@@ -568,7 +568,7 @@ def observation_coverage(spark, sf):
 
 @query
 def forecast_ranks(spark, sf):
-    return rounded(R.forecast_ranks(temperature_scores(spark, sf)))
+    return rounded(R.forecast_ranks(B.scores(spark, sf)))
 
 
 @query

@@ -158,6 +158,15 @@ def test_ranks_have_no_gaps_and_shares_sum_to_one(spark):
     assert len(deciles) == 20 and deciles.proportion.sum() == pytest.approx(2.0)
 
 
+def test_variables_are_ranked_apart(spark):
+    rows = [row(m, c, 1) for m, c in (("a", 1.0), ("b", 2.0))]
+    scores = spark.createDataFrame(rows, SCORES)
+    both = scores.unionByName(scores.withColumn("variable", F.lit("oxygen")).withColumn("crps", F.col("crps") + 0.5))
+    got = {(r.variable, r.model_id): r["rank"] for r in R.forecast_ranks(both).collect()}
+    assert got == {(v, m): n for v in ("temperature", "oxygen") for m, n in (("a", 1), ("b", 2))}
+    assert R.complete_ranks(R.rank_distribution(both), 5).count() == 20
+
+
 def test_reliability_counts_inclusive_and_skips_unknown_bounds(spark):
     rows = [
         ("m", day(1), 5.0, 5.0, 6.0),
