@@ -36,9 +36,8 @@ def subwords(text: str) -> Iterator[np.ndarray]:
     longest = max(ORDERS)
     for start in range(0, len(raw), PIECE):
         data = np.frombuffer(raw[start : start + PIECE + longest - 1], np.uint8).astype(np.uint64)
-        whole = start + PIECE >= len(raw)
         for n in ORDERS:
-            count = len(data) - n + 1 if whole else PIECE
+            count = min(PIECE, len(data) - n + 1)
             if count <= 0:
                 continue
             key = data[:count].copy()

@@ -55,6 +55,14 @@ def test_pieces_do_not_change_a_text(monkeypatch, model):
     assert np.allclose(model.logits(text), whole)
 
 
+def test_texts_that_end_near_a_piece(monkeypatch):
+    texts = ["a" * n for n in range((1 << 20) - 4, (1 << 20) + 4)]
+    cut = [np.sort(np.concatenate([*langid.subwords(t)])) for t in texts]
+    monkeypatch.setattr(langid, "PIECE", 1 << 22)
+    for text, got in zip(texts, cut, strict=True):
+        assert np.array_equal(got, np.sort(np.concatenate([*langid.subwords(text)])))
+
+
 def test_nothing_to_learn(docs_of):
     model = langid.fit_languages(docs_of([(1, "abc")]).withColumn("lang", F.lit(None).cast("string")))
     row = docs_of([(1, "abc")]).select(langid.predict(F.col("text"), model).alias("p")).first()
