@@ -8,6 +8,7 @@ good. These posteriors are the labels of a linear scorer over hashed features.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,10 @@ for _b in range(128):
     _CLASS[_b] = 1 if _c == "\n" else 0 if _c.isspace() or _b < 32 else 2 if _c.islower() else 3 if _c.isupper() else 4 if _c.isdigit() else 5 if _c in ".,;:'\"()-?" else 6 + _b % 26
 _TABLE = _CLASS.tobytes()
 
+_run = re.compile(rb"(.)\1+", re.DOTALL).sub
+#: Forms from here on are folded.
+_FORMS = 1 << 26
+
 #: name, share below which it votes good, share above which it votes bad
 VOTERS = (
     ("symbols", 0.03, 0.10),
@@ -62,10 +67,10 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
         known = seen.get(word)
         if known is None:
             known = seen[word] = len(forms)
-            form, last = 1, -1
-            for c in word.encode("utf-8", "surrogatepass")[:64].translate(_TABLE):
-                if c != last:
-                    form, last = (form * 37 + c + 1) & 0xFFFFFFFF, c
+            form = 1
+            for c in _run(rb"\1", word.encode("utf-8", "surrogatepass").translate(_TABLE)):
+                # a long form keeps its last class and never looks like a short one
+                form = (form if form < _FORMS else _FORMS + form % _FORMS) * 37 + c + 1
             forms.append(form)
         ids[n - 1] = known
     ids = ids[:n]

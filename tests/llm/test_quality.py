@@ -24,6 +24,13 @@ def test_votes():
     assert q.votes_of(q.pattern_of(votes)) == votes
 
 
+def test_long_words_are_read_whole():
+    bare, text, marked = ("%" * 80, "%" * 80 + "word", "a%b%c%d%e%f%g%" + "word" * 30 + "%")
+    forms = q._words(f"{bare} {text} {marked} {marked}x")[1].tolist()
+    assert forms[0] == q._words("%")[1][0] and forms[1] == q._words("%word")[1][0]
+    assert [q._ends_marked(f) for f in forms] == [False, False, True, False]
+
+
 def test_posteriors_find_the_accurate_voters():
     rng = np.random.default_rng(1)
     counts, truth = {}, {}
