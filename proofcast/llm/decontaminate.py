@@ -1,8 +1,10 @@
 """Benchmark items in documents, also with other numbers, names and units.
 
-Numbers, names and units become typed placeholders. Windows of the resulting
-templates are hash-joined with those of the items; the values in the slots of
-what lines up must then map consistently from item to document.
+Numbers, names and units become typed placeholders, neighbours of one type a
+single one. Windows of the resulting templates, and windows of the words
+themselves in lower case, are hash-joined with those of the items. The values in
+the slots of what lines up must then map consistently from item to document,
+unless enough words in a row are the item's own.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofcast.llm.common import cut
+from proofcast.llm.substring_dedup import _groups
 
 #: Words in a template window, and those of them that must be no placeholder.
 WINDOW, LITERALS = 8, 4
 #: Words of an item that must line up, or all of a shorter one.
 LEAST_WORDS = 13
+#: Words put in or left out between parts of one copy.
+SHIFT = 4
 #: Bits of the filter that documents are held against before anything is shuffled:
 #: 4 MB for any benchmark. More items let more through; the join decides.
 FILTER_BITS = 25
@@ -61,57 +66,69 @@ class Templates:
     """Codes of words, remembered for the task."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, tuple[int, int, int]] = {}
 
-    def of(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words that count, the code of each one's template, and whether it is a literal."""
+    def of(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words that count, the codes of each one's template and of itself, and whether it is a literal."""
         words = (text or "").split()
         if len(self.known) > REMEMBERED:
             self.known.clear()
         for word in set(words).difference(self.known):
-            form, _ = template(word)
-            self.known[word] = (_code(form), -1 if not form else int(form not in SLOTS))
-        both = np.array([self.known[w] for w in words], np.int64).reshape(-1, 2)
-        real = both[:, 1] >= 0
+            form, value = template(word)
+            self.known[word] = (_code(form), _code(value), -1 if not form else int(form not in SLOTS))
+        all_ = np.array([self.known[w] for w in words], np.int64).reshape(-1, 3)
+        real = all_[:, 2] >= 0
         if not real.all():
             words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
-            both = both[real]
-        return words, both[:, 0].astype(np.uint64), both[:, 1]
+            all_ = all_[real]
+        return words, all_[:, 0].astype(np.uint64), all_[:, 1].astype(np.uint64), all_[:, 2]
 
 
-def windows(codes: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every window of `size` templates with enough literals."""
+def windows(codes: np.ndarray, literal: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every window of `size` templates with enough literals, or without `literal` of words."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = np.full(n, size, np.uint64)
+    hashes = np.full(n, size if literal is not None else size + (1 << 20), np.uint64)
     for i in range(size):
         hashes = (hashes ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         hashes ^= hashes >> np.uint64(29)
+    if literal is None:
+        return hashes.view(np.int64), np.arange(n)
     total = np.concatenate([[0], np.cumsum(literal)])
     at = np.flatnonzero(total[size:] - total[:-size] >= min(LITERALS, (size + 1) // 2))
     return hashes[at].view(np.int64), at
 
 
-WINDOWS = "id bigint, hash bigint, start int, size int, words int, forms array<string>, slot_values array<string>"
+#: `size` is negative for windows of words, which have words for forms and forms for values; `places` has the first word of each part of a window, and the word behind it.
+WINDOWS = "id bigint, hash bigint, size int, words int, forms array<string>, slot_values array<string>, places array<int>"
 
 
 def _emit(ids: pd.Series, texts: pd.Series, sizes: list[int] | None, allowed: np.ndarray | None, memory: Templates) -> pd.DataFrame:
-    """Windows of texts: an item's own size, or for documents all `sizes` that pass the filter."""
+    """Windows of texts: an item's own sizes, or for documents all `sizes` that pass the filter."""
     out: dict[str, list] = {k.split()[0]: [] for k in WINDOWS.split(", ")}
     for id_, text in zip(ids.tolist(), texts.tolist(), strict=True):
-        words, codes, literal = memory.of(text)
-        for size in sizes if sizes is not None else [min(WINDOW, len(words))]:
+        words, codes, own, literal = memory.of(text)
+        first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (literal[1:] == 1))) if len(words) else np.zeros(0, np.int64)
+        edges = np.append(first, len(words))
+        for size in sizes if sizes is not None else [min(WINDOW, len(first)), -min(WINDOW, len(words))]:
             if not size:
                 continue
-            hashes, at = windows(codes, literal, size)
+            hashes, at = windows(codes[first], literal[first], size) if size > 0 else windows(own, None, -size)
             if allowed is not None and len(hashes):
                 place = hashes & ((1 << FILTER_BITS) - 1)
                 passed = np.flatnonzero(allowed[place >> 3] >> (place & 7).astype(np.uint8) & 1)
                 hashes, at = hashes[passed], at[passed]
             for h, s in zip(hashes.tolist(), at.tolist(), strict=True):
-                pairs = [template(w) for w in words[s : s + size]]
-                for k, v in zip(out, (id_, h, s, size, len(words), [f for f, _ in pairs], [v for _, v in pairs]), strict=True):
+                places = edges[s : s + size + 1].tolist() if size > 0 else list(range(s, s - size + 1))
+                pairs = [template(w) for w in words[places[0] : places[-1]]]
+                values = [v for _, v in pairs]
+                if size > 0:
+                    forms = [pairs[x - places[0]][0] for x in places[:-1]]
+                    values = [" ".join(values[x - places[0] : y - places[0]]) for x, y in zip(places, places[1:], strict=False)]
+                else:
+                    forms, values = values, [f for f, _ in pairs]
+                for k, v in zip(out, (id_, h, size, len(words), forms, values, places), strict=True):
                     out[k].append(v)
     return pd.DataFrame(out)
 
@@ -154,45 +171,90 @@ def _filter(found: DataFrame) -> bytes:
     return bytes(bits)
 
 
+def _lined(rows: pd.DataFrame) -> dict[int, dict[int, tuple[int, int, tuple | None]]]:
+    """What lines up of one document and item: by offset and the item's word, the words of the item and
+    of the document and, for a slot, its form and both values."""
+    found: dict[int, dict[int, tuple[int, int, tuple | None]]] = {}
+    columns = ("size", "item_forms", "item_values", "slot_values", "item_places", "places")
+    for size, forms, ours, theirs, i_at, d_at in zip(*(rows[c].tolist() for c in columns), strict=True):
+        if size < 0:
+            forms, ours, theirs = ours, forms, forms
+        for n, form in enumerate(forms):
+            i, d, i_size, d_size = int(i_at[n]), int(d_at[n]), int(i_at[n + 1] - i_at[n]), int(d_at[n + 1] - d_at[n])
+            slot = (form, ours[n], theirs[n]) if form in SLOTS else None
+            # a part of several words gives way to its words where these are known
+            if i_size == 1 or i not in found.get(d - i, {}):
+                found.setdefault(d - i, {})[i] = (i_size, d_size, slot)
+    return found
+
+
+def _covered(parts: list[dict[int, tuple[int, int, tuple | None]]]) -> tuple[int, bool, bool]:
+    """Words of the item that parts cover, whether their slots map consistently, and whether nothing differs."""
+    covered: set[int] = set()
+    values: dict[tuple, set] = {}
+    for part in parts:
+        for i, (size, _, slot) in part.items():
+            covered.update(range(i, i + size))
+            if slot:
+                values.setdefault(slot[:2], set()).add(slot[2])
+    return len(covered), all(len(v) == 1 for v in values.values()), all(v == {value} for (_, value), v in values.items())
+
+
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """Aligned copies: doc_id, item_id, start (word of the document), n_words, item_words, exact.
 
     One row for each item and place where at least 13 of the item's words, or all
     of a shorter one, line up with a document and slot values map consistently: a
-    value of the item always to one value of the document. `exact` says that all
-    values are the item's own. Items without a literal window (fewer than half of
-    the words literal everywhere) match nothing; null and empty texts and rows
-    without an id neither; repeated rows repeat nothing; empty tables give no rows.
+    value of the item always to one value of the document. Where they do not, so
+    many words in a row that are the item's own make a row, whatever stands beside
+    them. Parts of an item that are up to SHIFT words further or less far apart
+    count together. `exact` says that all values are the item's own. Items of
+    placeholders only match word for word; null and empty texts and rows without
+    an id match nothing; repeated rows repeat nothing; empty tables give no rows.
 
     A passage that very many documents hold costs a few rows for each of them, and
     the join with the items splits such a hash. Windows of one document and item
-    at one offset are at most as many as the item has words.
+    at one offset are at most twice as many as the item has words.
     """
     entries = items.select(F.col(f"`{item_id}`").cast("bigint").alias("id"), F.col(f"`{item_text}`").alias("text")).where("id is not null")
     found = cut(item_windows(entries.distinct()), "item-windows")
     sizes = sorted(r["size"] for r in found.select("size").distinct().collect())
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
     seen = document_windows(rows, sizes, _filter(found))
-    ours = found.select("hash", "size", F.col("id").alias("item_id"), F.col("start").alias("item_start"), F.col("words").alias("item_words"), F.col("forms").alias("item_forms"), F.col("slot_values").alias("item_values"))
+    ours = found.select("hash", "size", F.col("id").alias("item_id"), F.col("words").alias("item_words"), F.col("forms").alias("item_forms"), F.col("slot_values").alias("item_values"), F.col("places").alias("item_places"))
     same = seen.join(ours, ["hash", "size"]).where("forms = item_forms")
-    # only the slots' values are told apart below
-    slots = F.filter(
-        F.arrays_zip(F.col("forms").alias("f"), F.col("item_values").alias("i"), F.col("slot_values").alias("d")),
-        lambda s: s["f"].isin(*SLOTS),
-    )
-    lined = same.select("id", "item_id", "item_words", "size", "start", "item_start", (F.col("start") - F.col("item_start")).alias("offset"), slots.alias("slots"))
-    words = F.sequence("item_start", F.col("item_start") + F.col("size") - 1)
-    runs = lined.groupBy("id", "item_id", "item_words", "offset").agg(
-        F.min("start").alias("start"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(words)))).alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-    )
-    item_side = F.array_distinct(F.transform("slots", lambda s: F.struct(s["f"], s["i"])))
-    consistent = F.size(item_side) == F.size("slots")
-    enough = F.col("n_words") >= F.least(F.lit(LEAST_WORDS), F.col("item_words"))
-    return runs.where(consistent & enough).select(
-        F.col("id").alias("doc_id"), "item_id", "start", "n_words", "item_words", F.forall("slots", lambda s: s["i"] == s["d"]).alias("exact")
-    )
+    lined = same.select("id", "item_id", "item_words", "size", "item_forms", "item_values", "slot_values", "item_places", "places")
+
+    def use(rows: pd.DataFrame) -> list[tuple]:
+        id_, item, of = (int(rows[c].iloc[0]) for c in ("id", "item_id", "item_words"))
+        least, parts = min(LEAST_WORDS, of), _lined(rows)
+        out, settled = [], set()
+        for offset, part in sorted(parts.items()):
+            n, consistent, exact = _covered([part])
+            if n >= least and consistent:
+                out.append((id_, item, offset + min(part), n, of, exact))
+                settled.add(offset)
+                continue
+            own = sorted({i + k for i, (size, _, slot) in part.items() if slot is None or slot[1] == slot[2] for k in range(size)})
+            cuts = [0, *(k for k in range(1, len(own)) if own[k] != own[k - 1] + 1), len(own)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y - x >= least:
+                    out.append((id_, item, offset + own[x], y - x, of, True))
+                    settled.add(offset)
+        for offset in sorted(parts):
+            near = [o for o in parts if offset <= o <= offset + SHIFT]
+            if len(near) < 2 or any(abs(offset - o) <= 2 * SHIFT for o in settled):
+                continue
+            n, consistent, exact = _covered([parts[o] for o in near])
+            if n >= least and consistent:
+                out.append((id_, item, min(o + min(parts[o]) for o in near), n, of, exact))
+                settled.update(near)
+        return out
+
+    columns = ["doc_id", "item_id", "start", "n_words", "item_words", "exact"]
+    schema = "doc_id bigint, item_id bigint, start int, n_words int, item_words int, exact boolean"
+    keys = ["id", "item_id", "item_words"]
+    return lined.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_groups(keys, use, columns), schema)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -54,6 +54,30 @@ def test_part_of_an_item_counts_from_thirteen_words(docs_of, spark):
     assert found == {n: n for n in range(13, 18)}
 
 
+def test_changed_values_do_not_hide_the_rest(docs_of, spark):
+    edited = QUESTION.replace("Bob walks 12", "Bob walks 15")
+    docs = [(1, edited), (2, QUESTION.replace("Bob", "Uncle Bob")), (3, OTHER.replace("each, then", "each, and so then")), (4, OTHER.replace("Maria", "Aunt Maria Lee"))]
+    rows = {r["doc_id"]: r for r in leaks(docs_of([(i, f"{filler(20)} {t} {filler(20)}") for i, t in docs]), items(spark)).collect()}
+    assert set(rows) == {1, 2, 3, 4}
+    assert rows[1]["n_words"] == 18 and rows[1]["exact"] and rows[3]["n_words"] == 15
+
+
+def test_parts_on_both_sides_of_a_word_put_in_count_together(docs_of, spark):
+    words = "one may ask how many of the red stones lie on that old wall".split()
+    docs = docs_of([(1, f"{filler(9)} {' '.join([*words[:8], 'very', *words[8:]])} {filler(9)}"[:-1]), (2, f"{filler(9)} {' '.join(words[:8])} {filler(9)}")])
+    entry = spark.createDataFrame([(1, " ".join([*words, "near", "here"]))], "item_id bigint, text string")
+    assert {r["doc_id"] for r in leaks(docs, entry).collect()} == set()
+    long = docs_of([(1, f"{filler(9)} {' '.join([*words[:8], 'very', *words[8:]])} near here {filler(9)}")])
+    assert [tuple(r)[3:] for r in leaks(long, entry).collect()] == [(16, 16, True)]
+
+
+def test_copies_word_for_word_need_no_literals(docs_of, spark):
+    table = "12 Bob 14 Alice 7 miles 3 Tom 9 Ann 4 km 8 Eve 5 Max"
+    entries = spark.createDataFrame([*ITEMS, (6, table), (7, "Who Was The First King Of All England And Wales After Harold Died")], "item_id bigint, text string")
+    docs = docs_of([(1, f"x {ITEMS[4][1]} y"), (2, f"{filler(20)} {table.lower()}"), (3, table.replace("3", "2")), (4, f"who was the first king of all england and wales after harold died {filler(9)}"), (5, QUESTION.lower())])
+    assert {(r["doc_id"], r["item_id"], r["exact"]) for r in leaks(docs, entries).collect()} == {(1, 5, True), (2, 6, True), (4, 7, True), (5, 1, True)}
+
+
 def test_empty_tables(docs_of, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks(docs_of([(1, QUESTION)]), none).count() == 0
