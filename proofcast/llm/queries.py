@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofcast.llm.bpe import round_trip
 from proofcast.llm.common import held_out, table
 from proofcast.llm.decontaminate import leaks
+from proofcast.llm.embedding_dedup import embedding_classes
 from proofcast.llm.exact_dedup import exact_dedup
 from proofcast.llm.langid import fit_languages, predict
 from proofcast.llm.line_dedup import line_dedup
@@ -87,6 +88,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_classes(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLE_SQL = {
@@ -143,4 +149,26 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op13_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), n AS (
+            SELECT vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS size FROM v
+        ), l AS (
+            SELECT a.vec_id AS u, b.vec_id AS v
+            FROM n AS a JOIN n AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95
+        ), r AS (
+            SELECT vec_id AS node, vec_id AS root FROM embeddings
+            UNION
+            SELECT l.v, r.root FROM r JOIN l ON r.node = l.u
+        ), c AS (
+            SELECT node, min(root) AS component_id FROM r GROUP BY node
+        ), k AS (
+            SELECT u, count(*) AS n_links FROM l GROUP BY u
+        )
+        SELECT e.vec_id, coalesce(k.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM embeddings AS e LEFT JOIN k ON e.vec_id = k.u JOIN c ON e.vec_id = c.node
+    """,
 }
