@@ -15,17 +15,18 @@ from proofcast.llm.line_dedup import line_dedup
 from proofcast.llm.quality import fit_quality, quality
 from proofcast.llm.simhash import simhash_classes
 from proofcast.llm.substring_dedup import passages
+from proofcast.llm.token_alignment import ByteLevel, Pieces, align_documents
 from proofcast.llm.toxicity import fit_toxicity, toxicity
 from proofcast.llm.warc import archive, page_of
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
-    """Where the published vocabulary lies on every machine."""
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where a published vocabulary lies on every machine."""
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level = ByteLevel(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json"))
+    found = align_documents(table(spark, sf_dir, "documents"), byte_level, Pieces(tokenizer_path("piece_bpe_32k.model")), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_classes(table(spark, sf_dir, "embeddings"), least=0.95)
 
@@ -103,6 +110,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_token_alignment": op12_token_alignment,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
 
