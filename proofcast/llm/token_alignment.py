@@ -59,6 +59,7 @@ class _ByteLevel:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
+        self.sizes = np.array(list(map(len, self.bytes)))
         self.model = tiktoken.Encoding("byte_level", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
@@ -86,6 +87,7 @@ class _Pieces:
             bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode()
             for i in range(m.get_piece_size())
         ]
+        self.sizes = np.array(list(map(len, self.bytes)))
 
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
@@ -97,41 +99,48 @@ def encoder(side: ByteLevel | Pieces) -> _ByteLevel | _Pieces:
     return _ByteLevel(side) if isinstance(side, ByteLevel) else _Pieces(side)
 
 
-def aligned(ea: list[int], eb: list[int]) -> tuple[list[int], list[int]]:
-    """Where groups end, as token indexes of either side, from the offsets where tokens end.
+def irregular(ea: list[int], eb: list[int]) -> list[int]:
+    """Groups that are not one token to one, from the offsets where tokens end.
 
-    Both lists rise strictly and end with the same offset.
+    Four numbers for each, one behind the other: a from, a to, b from, b to. Both
+    lists rise strictly and end with the same offset.
     """
     na, nb = len(ea), len(eb)
     i = j = 0
-    a_ends: list[int] = []
-    b_ends: list[int] = []
-    while i < na and j < nb:
-        at, step = i, 1
+    found: list[int] = []
+    while True:
+        step = 4
         while (run := ea[i : i + step]) and run == eb[j : j + step]:
             i, j, step = i + len(run), j + len(run), 2 * step
         while step > 1:
             step //= 2
             if (run := ea[i : i + step]) and run == eb[j : j + step]:
                 i, j = i + len(run), j + len(run)
-        if i > at:
-            a_ends.extend(range(at + 1, i + 1))
-            b_ends.extend(range(at + 1 + j - i, j + 1))
         if i >= na or j >= nb:
-            break
-        x, y = ea[i], eb[j]
+            return found
+        x, y, s, t = ea[i], eb[j], i, j
         i, j = i + 1, j + 1
         while x != y:
             if x < y:
                 x, i = ea[i], i + 1
             else:
                 y, j = eb[j], j + 1
-        a_ends.append(i)
-        b_ends.append(j)
-    return a_ends, b_ends
+        found += (s, i, t, j)
 
 
-def tokens(text: str | None, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> tuple[np.ndarray, np.ndarray, list[int], list[int]] | None:
+def aligned(ea: list[int], eb: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups end, as token indexes of either side: after every token but those within an irregular group."""
+    odd = np.array(irregular(ea, eb), np.int64).reshape(-1, 4)
+    out = []
+    for n, first, last in ((len(ea), odd[:, 0], odd[:, 1] - 1), (len(eb), odd[:, 2], odd[:, 3] - 1)):
+        within = np.zeros(n + 1, np.int64)
+        np.add.at(within, first, 1)
+        np.add.at(within, last, -1)
+        out.append(np.flatnonzero(np.cumsum(within)[:n] == 0) + 1)
+    return out[0], out[1]
+
+
+def tokens(text: str | None, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Ids of both sides and where groups end; None for a text that either side can't give back byte by byte."""
     if not text:
         return None
@@ -139,42 +148,51 @@ def tokens(text: str | None, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> tu
     ids, ends = [], []
     for side in (encoder(a), encoder(b)):
         found = side.encode(text)
-        parts = [side.bytes[t] for t in found]
-        if b"".join(parts) != whole:
+        if b"".join(map(side.bytes.__getitem__, found)) != whole:
             return None
         ids.append(np.array(found, np.int64))
-        ends.append(np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))).tolist())
+        ends.append(np.cumsum(side.sizes[ids[-1]]).tolist())
     return (*ids, *aligned(*ends))
 
 
-def render(a: np.ndarray, b: np.ndarray, a_ends: list[int], b_ends: list[int]) -> str:
+@lru_cache(maxsize=1)
+def _shown(n: int) -> np.ndarray:
+    """Ids below n in decimal with what may follow: a comma, the bar between sides, the mark between groups."""
+    return np.array([b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(n)], object)
+
+
+def render(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
     """Groups as `a1,a2|b1;a3|b2,b3`."""
-    left, right = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    out, s, t = [], 0, 0
-    for i, j in zip(a_ends, b_ends, strict=True):
-        if i - s == 1 and j - t == 1:
-            out.append(f"{left[s]}|{right[t]}")
-        else:
-            out.append(f"{','.join(left[s:i])}|{','.join(right[t:j])}")
-        s, t = i, j
-    return ";".join(out)
-
-
-def links(a: np.ndarray, b: np.ndarray, a_ends: list[int], b_ends: list[int]) -> tuple[int, np.ndarray, np.ndarray]:
+    n = 1 << int(max(a.max(), b.max())).bit_length()
+    shown = _shown(max(n, 1 << 16))
+    n = len(shown) // 3
+    # the tokens of a group stand together, side A first: a token stands behind its own side and the other's earlier groups
+    group_a = np.searchsorted(a_ends, np.arange(len(a)), side="right")
+    group_b = np.searchsorted(b_ends, np.arange(len(b)), side="right")
+    before_b = np.concatenate([[0], b_ends[:-1]])
+    row = np.empty(len(a) + len(b), np.int64)
+    marked_a, marked_b = a.copy(), b.copy()
+    marked_a[a_ends - 1] += n
+    marked_b[b_ends - 1] += 2 * n
+    row[np.arange(len(a)) + before_b[group_a]] = marked_a
+    row[np.arange(len(b)) + a_ends[group_b]] = marked_b
+    return b"".join(shown[row].tolist())[:-1]
+
+
+def links(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of links, distinct linked ids as a << 32 | b, and how many links each has."""
-    ends_a, ends_b = np.array(a_ends, np.int64), np.array(b_ends, np.int64)
-    start_a, start_b = np.concatenate([[0], ends_a[:-1]]), np.concatenate([[0], ends_b[:-1]])
-    wide_b = ends_b - start_b
-    sizes = (ends_a - start_a) * wide_b
-    few = sizes <= WIDE
-    n = sizes[few]
+    start_a, start_b = np.concatenate([[0], a_ends[:-1]]), np.concatenate([[0], b_ends[:-1]])
+    wide_b = b_ends - start_b
+    sizes = (a_ends - start_a) * wide_b
+    one, some = sizes == 1, (sizes > 1) & (sizes <= WIDE)
+    n = sizes[some]
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    over = np.repeat(wide_b[few], n)
-    keys = a[np.repeat(start_a[few], n) + k // over] << 32 | b[np.repeat(start_b[few], n) + k % over]
-    pairs, times = np.unique(keys, return_counts=True)
-    for g in np.flatnonzero(~few):
-        x, nx = np.unique(a[start_a[g] : ends_a[g]], return_counts=True)
-        y, ny = np.unique(b[start_b[g] : ends_b[g]], return_counts=True)
+    over = np.repeat(wide_b[some], n)
+    keys = a[np.repeat(start_a[some], n) + k // over] << 32 | b[np.repeat(start_b[some], n) + k % over]
+    pairs, times = np.unique(np.concatenate([a[start_a[one]] << 32 | b[start_b[one]], keys]), return_counts=True)
+    for g in np.flatnonzero(sizes > WIDE):
+        x, nx = np.unique(a[start_a[g] : a_ends[g]], return_counts=True)
+        y, ny = np.unique(b[start_b[g] : b_ends[g]], return_counts=True)
         every = np.concatenate([pairs, (x[:, None] << 32 | y).ravel()])
         weights = np.concatenate([times, (nx[:, None] * ny).ravel()])
         pairs, at = np.unique(every, return_inverse=True)
@@ -229,7 +247,7 @@ def _blocks(a: ByteLevel | Pieces, b: ByteLevel | Pieces, digest: bool, most: in
                     continue
                 shown = render(*found)
                 n, pairs, times = links(*found)
-                shown = hashlib.sha256(shown.encode()).hexdigest() if digest else shown
+                shown = hashlib.sha256(shown).hexdigest() if digest else shown.decode()
                 rows.append((doc_id.as_py(), len(found[0]), len(found[1]), len(found[2]), n, shown, pairs, times))
                 size += len(found[0])
                 if size >= most:

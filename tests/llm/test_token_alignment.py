@@ -98,7 +98,7 @@ def test_wide_groups_count_the_same(monkeypatch):
     import numpy as np
 
     a, b = np.array([RNG.randrange(9) for _ in range(120)]), np.array([RNG.randrange(7) for _ in range(90)])
-    a_ends, b_ends = [1, 2, 80, 120], [1, 5, 60, 90]
+    a_ends, b_ends = np.array([1, 2, 80, 120]), np.array([1, 5, 60, 90])
     found = A.links(a, b, a_ends, b_ends)
     monkeypatch.setattr(A, "WIDE", 3)
     again = A.links(a, b, a_ends, b_ends)
