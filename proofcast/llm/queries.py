@@ -14,6 +14,7 @@ from proofcast.llm.langid import fit_languages, predict
 from proofcast.llm.line_dedup import line_dedup
 from proofcast.llm.quality import fit_quality, quality
 from proofcast.llm.simhash import simhash_classes
+from proofcast.llm.spelling import spelling_forms
 from proofcast.llm.substring_dedup import passages
 from proofcast.llm.token_alignment import ByteLevel, Pieces, align_documents
 from proofcast.llm.toxicity import fit_toxicity, toxicity
@@ -89,6 +90,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"), min_length=6, min_count=5, times=5, slip=199)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte_level = ByteLevel(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json"))
     found = align_documents(table(spark, sf_dir, "documents"), byte_level, Pieces(tokenizer_path("piece_bpe_32k.model")), digest=True)
@@ -110,6 +115,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling": op11_spelling,
     "op12_token_alignment": op12_token_alignment,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
