@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofcast.functions import columns as C
 from proofcast.functions.frames import join_null_safe, present
 from proofcast.operators.scoring import normal_parameters, normalise_family
 from proofcast.operators.validation import validation_report
-from proofcast.sources.writers import write_forecasts
+from proofcast.sources import schemas
+from proofcast.sources.published import commit, read_published, state
 
 SITE = ("reference_datetime", "variable", "site_id")
 SUBMISSION = (*SITE, "model_id")
@@ -213,15 +214,29 @@ def build_pending(forecasts: DataFrame, stored: DataFrame, name: str, **options)
     return build_mme(forecasts, name, issue_dates=pending_dates(issued, stored), **options)
 
 
-def store_pending(forecasts: DataFrame, stored: DataFrame, name: str, path: str, **options) -> None:
-    """Build the pending ensembles, check them and store them.
+def stored_ensembles(spark: SparkSession, path: str) -> DataFrame:
+    """The ensembles published below a folder, in the forecast schema."""
+    return read_published(spark, path, schemas.FORECASTS)
 
-    Nothing is stored if any rule of the validation report is broken. Stored
-    partitions are read back as `stored` by the next run, which then has nothing
-    to do.
+
+def store_pending(forecasts: DataFrame, name: str, path: str, **options) -> bool:
+    """Build the ensembles of issue dates that are not published yet, and publish them.
+
+    They are computed once, stored by model, issue date and valid date, and the
+    stored rows are checked; if a rule of the validation report is broken nothing
+    is published. A run that fails on the way shows nothing, the next one starts
+    from what is published. `options` are those of `build_mme`. False if nothing
+    was pending.
     """
-    built = build_pending(forecasts, stored, name, **options)
-    broken = [r["rule"] for r in validation_report(built).filter(~F.col("passed")).collect()]
-    if broken:
-        raise ValueError(f"ensemble not stored, rules broken: {', '.join(broken)}")
-    write_forecasts(built, path)
+    spark = forecasts.sparkSession
+    seen = state(spark, path)[0]
+    done = stored_ensembles(spark, path).filter(F.col("model_id") == name).select("reference_datetime")
+    built = build_pending(forecasts, done, name, **options).withColumn("date", F.to_date("datetime"))
+
+    def check(rows: DataFrame) -> None:
+        broken = [r["rule"] for r in validation_report(rows).filter(~F.col("passed")).collect()]
+        if broken:
+            raise ValueError(f"ensemble not published, rules broken: {', '.join(broken)}")
+
+    keys = ("model_id", "reference_datetime", "date")
+    return commit(built, path, keys, schemas.FORECASTS, f"{name} {seen + 1}", seen, check)

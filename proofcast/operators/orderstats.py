@@ -31,6 +31,15 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     )
 
 
+def merged_counts(counts: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+    """Counted values that were stored in several parts, as `distinct_counts` of all of them."""
+    return (
+        counts.groupBy(*keys, F.col(value).alias("_x"))
+        .agg(F.sum(weight).alias("_w"))
+        .withColumn("_bin", order_bin(F.col("_x")))
+    )
+
+
 def bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per group and bin: values before it, values in it, values in the group.
 

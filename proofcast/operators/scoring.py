@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofcast.functions import columns as C
@@ -80,11 +80,19 @@ def standardise_targets(targets: DataFrame) -> DataFrame:
     return targets.select("datetime", "site_id", "variable", "observation")
 
 
+def _agreed(value: Column, name: str) -> Column:
+    """The one value of a group; null where its rows disagree."""
+    return F.when(F.min(value) == F.max(value), F.max(value)).alias(name)
+
+
 def normal_parameters(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long `mu` and `sigma` rows as two columns, one row per forecast."""
+    """Long `mu` and `sigma` rows as two columns, one row per forecast.
+
+    A parameter that is given twice with different values is null, so such a
+    forecast has no score.
+    """
     return forecasts.groupBy(*keys).agg(
-        F.max(F.when(F.col("parameter") == "mu", F.col("prediction"))).alias("mu"),
-        F.max(F.when(F.col("parameter") == "sigma", F.col("prediction"))).alias("sigma"),
+        *[_agreed(F.when(F.col("parameter") == n, F.col("prediction")), n) for n in ("mu", "sigma")]
     )
 
 
@@ -95,11 +103,10 @@ def one_observation(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
     forecasts of such a target stay unscored and can be scored once it is mended.
     """
     known = targets.filter(F.col("observation").isNotNull())
-    agreed = F.when(F.min("observation") == F.max("observation"), F.max("observation"))
-    return known.groupBy(*keys).agg(agreed.alias("observation"))
+    return known.groupBy(*keys).agg(_agreed(F.col("observation"), "observation"))
 
 
-def _placed(members: DataFrame, targets: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _placed(counts: DataFrame, targets: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Values (_x, _w times) with places and observation; and the bins they are in.
 
     `_cell` is a forecast and a bin in one value, so null keys match and the join
@@ -107,7 +114,6 @@ def _placed(members: DataFrame, targets: DataFrame, keys: Sequence[str]) -> tupl
     of the forecast, from which deviations are taken without cancelling.
     """
     cell = F.struct(*keys, "_bin")
-    counts = distinct_counts(members, keys, "prediction")
     low = counts.groupBy(*keys, "_bin").agg(F.min("_x").alias("_low")).select(cell.alias("_cell"), "_low")
     lowest = F.min("_low").over(Window.partitionBy(*keys))
     bins = (
@@ -115,7 +121,7 @@ def _placed(members: DataFrame, targets: DataFrame, keys: Sequence[str]) -> tupl
         .withColumn("_cell", cell)
         .join(low, "_cell")
         .withColumn("_base", lowest)
-        .join(one_observation(targets, target_keys := present(members, TARGET_KEYS)), target_keys, "left")
+        .join(one_observation(targets, target_keys := present(counts, TARGET_KEYS)), target_keys, "left")
         .select("_cell", "_offset", "_n", "_base", "observation")
     )
     order = Window.partitionBy("_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,16 +136,22 @@ def score_samples(
     interval: float = 0.8,
     logs: bool = True,
 ) -> DataFrame:
-    """Summaries and scores of ensemble forecasts, one row for each forecast.
+    """Summaries and scores of ensemble forecasts, one row for each forecast."""
+    keys = present(forecasts, CELL)
+    return score_counted(distinct_counts(forecasts, keys, "prediction"), targets, interval, logs)
+
+
+def score_counted(counts: DataFrame, targets: DataFrame, interval: float = 0.8, logs: bool = True) -> DataFrame:
+    """Summaries and scores of ensemble forecasts given as counted values (`distinct_counts`).
 
     Null members do not count; a forecast that has no others keeps its row, with
     m = 0 and null scores. Log scores need the bandwidth first, which meets the
     values bin by bin, so a forecast that holds much of the data is never joined
     or summed in one task.
     """
-    keys = present(forecasts, CELL)
+    keys = present(counts, CELL)
     probs = _probabilities(interval)
-    values, bins = _placed(forecasts.select(*keys, "prediction"), targets, keys)
+    values, bins = _placed(counts, targets, keys)
     own = [F.col(f"_cell.{k}").alias(k) for k in keys]
     gap = "(_x - _base)"
     cells = (
@@ -241,13 +253,18 @@ def score(
     if families is None or "normal" in families:
         parts.append(score_normals(forecasts.filter(F.col("family") == "normal"), targets, interval))
     if families is None:
-        other = forecasts.filter(C.not_one_of("family", SCORED))
-        target_keys = present(forecasts, TARGET_KEYS)
-        unscored = other.select(*present(forecasts, CELL)).distinct()
-        parts.append(unscored.join(one_observation(targets, target_keys), target_keys, "left"))
+        parts.append(unscored(forecasts, targets))
     return bind_rows(*parts)
 
 
+def unscored(forecasts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Forecasts of families without a score, beside their observation."""
+    other = forecasts.filter(C.not_one_of("family", SCORED))
+    target_keys = present(forecasts, TARGET_KEYS)
+    named = other.select(*present(forecasts, CELL)).distinct()
+    return named.join(one_observation(targets, target_keys), target_keys, "left")
+
+
 def rescored_layout(scores: DataFrame) -> DataFrame:
     """Lead time in days with time of day, site and depth apart, text date."""
     return scores.withColumns(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofcast.operators import ensemble as E
+from proofcast.sources import published
 
 FORECAST = (
     "model_id string, reference_datetime string, site_id string, datetime timestamp, variable string, "
@@ -116,18 +117,52 @@ def test_issue_dates_compare_as_dates(spark):
     assert E.build_mme(df, "mme", issue_dates=wanted, n=5).count() == 5
 
 
-def test_pending_ensembles_are_built_once_and_only_valid_ones_are_stored(spark, tmp_path):
-    from proofcast.sources.readers import read_forecasts
-
+@pytest.fixture
+def two_weeks(spark):
     data = [(m, f"2023-01-0{i}", "BARC", dt.datetime(2023, 1, 5), "temperature", "sample", str(k), float(k)) for m in "ab" for i in (1, 2) for k in range(6)]
-    df = spark.createDataFrame(data, FORECAST)
+    return data, spark.createDataFrame(data, FORECAST)
+
+
+def test_pending_ensembles_are_published_once_and_only_valid_ones(spark, two_weeks, tmp_path):
+    data, df = two_weeks
     path = str(tmp_path / "ensembles")
-    none = spark.createDataFrame([], "reference_datetime string")
-    E.store_pending(df, none, "mme", path, n=4)
-    stored = read_forecasts(spark, path)
-    assert stored.count() == 8 and stored.select("reference_datetime").distinct().count() == 2
-    assert E.build_pending(df, stored, "mme", n=4).count() == 0
+    assert E.store_pending(df.filter("reference_datetime = '2023-01-01'"), "mme", path, n=4)
+    first = E.stored_ensembles(spark, path)
+    assert first.count() == 4 and [r[0] for r in first.select("reference_datetime").distinct().collect()] == ["2023-01-01"]
+    assert E.store_pending(df, "mme", path, n=4)
+    both = sorted(map(tuple, E.stored_ensembles(spark, path).select("reference_datetime", "parameter", "prediction").collect()))
+    whole = sorted(map(tuple, E.build_mme(df, "mme", n=4).select("reference_datetime", F.col("parameter").cast("string"), "prediction").collect()))
+    assert both == whole
+    assert not E.store_pending(df, "mme", path, n=4) and published.state(spark, path)[0] == 2
     broken = spark.createDataFrame([(*r[:7], float("nan")) for r in data], FORECAST)
     with pytest.raises(ValueError, match="missing_prediction"):
-        E.store_pending(broken, none, "bad", str(tmp_path / "bad"), n=4)
-    assert not (tmp_path / "bad").exists()
+        E.store_pending(broken, "bad", str(tmp_path / "bad"), n=4)
+    assert E.stored_ensembles(spark, str(tmp_path / "bad")).count() == 0
+    assert len(published.unpublished(spark, str(tmp_path / "bad"))) == 1
+
+
+def test_a_run_that_fails_before_publishing_shows_nothing(spark, two_weeks, tmp_path, monkeypatch):
+    _, df = two_weeks
+    path = str(tmp_path / "ensembles")
+
+    def crash(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(published, "publish", crash)
+        with pytest.raises(RuntimeError, match="lost"):
+            E.store_pending(df, "mme", path, n=4)
+    assert E.stored_ensembles(spark, path).count() == 0 and len(published.unpublished(spark, path)) == 1
+    assert E.store_pending(df, "mme", path, n=4)
+    assert E.stored_ensembles(spark, path).count() == 8
+
+
+def test_two_runs_at_once_publish_once(spark, two_weeks, tmp_path):
+    _, df = two_weeks
+    path = str(tmp_path / "ensembles")
+    folder = published.stage(df, path, ["model_id"])
+    assert E.store_pending(df, "mme", path, n=4)
+    with pytest.raises(published.PublishConflict):
+        published.publish(spark, path, folder, "another", 24, seen=0)
+    assert not published.publish(spark, path, folder, "mme 1", 24)
+    assert E.stored_ensembles(spark, path).count() == 8
