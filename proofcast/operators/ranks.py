@@ -95,13 +95,14 @@ def rank_deciles(completed: DataFrame, most: int, keys: Sequence[str]) -> DataFr
 
 
 def mean_score_of_best(scores: DataFrame, n: int = 10) -> DataFrame:
-    """Mean score by lead time, model and site for the n best models."""
-    sums = C.with_horizon(scores).groupBy("horizon", "model_id", "site_id").agg(
+    """Mean score by variable, lead time, model and site for the n best models of each variable."""
+    of = present(scores, ("variable",))
+    sums = C.with_horizon(scores).groupBy(*of, "horizon", "model_id", "site_id").agg(
         F.sum("crps").alias("_s"), F.count("crps").alias("_c")
     )
-    per_model = sums.groupBy("model_id").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("mean_crps"))
-    best = top_n(per_model, "mean_crps", n, "min")
+    per_model = sums.groupBy(*of, "model_id").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("mean_crps"))
+    best = top_n(per_model, "mean_crps", n, "min", within=of)
     kept = sums.filter(F.col("horizon").between(0, 30))
-    return join_null_safe(kept, best.select("model_id"), ["model_id"], "left_semi").select(
-        "horizon", "model_id", "site_id", F.try_divide(F.col("_s"), F.col("_c")).alias("mean_crps")
+    return join_null_safe(kept, best.select(*of, "model_id"), [*of, "model_id"], "left_semi").select(
+        *of, "horizon", "model_id", "site_id", F.try_divide(F.col("_s"), F.col("_c")).alias("mean_crps")
     )

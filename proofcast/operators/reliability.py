@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofcast.functions import columns as C
+from proofcast.functions.frames import present
 
 # The interval columns of a score table, by central level.
 INTERVALS = {80: ("quantile10", "quantile90"), 95: ("quantile02.5", "quantile97.5")}
@@ -20,16 +21,16 @@ def reliability(
     extra_keys: Sequence[str] = (),
     skip: Sequence[int] = (15,),
 ) -> DataFrame:
-    """Share of observations inside the interval by lead time and model.
+    """Share of observations inside the interval by variable, lead time and model.
 
-    `models` lists model_id and manuscript_name; only those are kept. Rows
-    without a bound count in neither number.
+    `models` lists model_id and manuscript_name, for each variable if it has that
+    column; only those are kept. Rows without a bound count in neither number.
     """
     if level not in INTERVALS:
         raise ValueError("level must be 80 or 95")
     low, high = INTERVALS[level]
     inside = F.col("observation").between(C.quoted(low), C.quoted(high))
-    keys = ["horizon", "model_id", *extra_keys]
+    keys = [*present(scores, ("variable",)), "horizon", "model_id", *extra_keys]
     counted = (
         C.eval_window(scores.filter(F.col("observation").isNotNull()), skip=skip)
         .groupBy(*keys)
@@ -39,7 +40,8 @@ def reliability(
         )
     )
     if models is not None:
-        counted = counted.join(models.select("model_id", "manuscript_name"), "model_id")
+        listed = [n for n in ("variable", "model_id") if n in keys and n in models.columns]
+        counted = counted.join(models.select(*listed, "manuscript_name"), listed)
         keys.append("manuscript_name")
     total = F.col("within_TRUE") + F.col("within_FALSE")
     return counted.select(

@@ -298,6 +298,6 @@ def forecast_slice(scores: DataFrame, issued: str, models: Sequence[str]) -> Dat
         C.with_horizon(scores)
         .filter(F.to_date("reference_datetime") == F.lit(issued).cast("date"))
         .filter(F.col("horizon").between(1, 30) & F.col("model_id").isin(list(models)))
-        .select("model_id", "site_id", "datetime", "horizon", "mean", "observation")
+        .select(*present(scores, ("variable",)), "model_id", "site_id", "datetime", "horizon", "mean", "observation")
     )
 

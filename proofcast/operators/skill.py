@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,27 +72,42 @@ def skill(
 
 def canonical_order(df: DataFrame) -> DataFrame:
     """Sort skill rows for output, nulls last."""
-    names = ("reference_datetime", "site_id", "datetime", "model_id")
+    names = present(df, ("reference_datetime", "site_id", "datetime", "model_id", "variable"))
     return df.orderBy(*[F.col(n).asc_nulls_last() for n in names])
 
 
+def per_variable(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The keys, and `variable` where the table has it: variables are never taken together."""
+    return list(dict.fromkeys([*present(df, ("variable",)), *keys]))
+
+
 def mean_by(df: DataFrame, keys: Sequence[str], value: str = "skill_crps", name: str = "mean_crps") -> DataFrame:
-    """Mean of a value by group; nulls do not count."""
-    return df.groupBy(*keys).agg(F.avg(value).alias(name))
+    """Mean of a value by group and variable; nulls do not count."""
+    return df.groupBy(*per_variable(df, keys)).agg(F.avg(value).alias(name))
 
 
 def better_than_baseline(skill_rows: DataFrame, orientation: str = "diff") -> DataFrame:
-    """Models whose mean skill beats the baseline, with that mean."""
+    """Models whose mean skill beats the baseline on a variable, with that mean."""
     means = mean_by(skill_rows, ["model_id"])
     return means.filter(F.col("mean_crps") < 0 if orientation == "diff" else F.col("mean_crps") > 0)
 
 
+def of_models(rows: DataFrame, models: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of the listed models, on the variables they are listed for."""
+    keys = per_variable(rows, ["model_id"])
+    return rows.join(models.select(*keys), keys, how)
+
+
 def leaderboard_with_baselines(skill_rows: DataFrame, models: DataFrame) -> DataFrame:
-    """Leaders enriched with name and class, both baselines always present."""
+    """Leaders by variable, with name and class; both baselines are always there."""
     names = models.select("model_id", "manuscript_name", "model_type")
     leaders = better_than_baseline(skill_rows).join(names, "model_id", "left")
-    baselines = names.filter(F.col("model_id").isin(C.CLIMATOLOGY, C.PERSISTENCE))
-    return join_null_safe(leaders, baselines, ["model_id", "manuscript_name", "model_type"], "full")
+    ids = F.explode(F.array(F.lit(C.CLIMATOLOGY), F.lit(C.PERSISTENCE))).alias("model_id")
+    if "variable" in skill_rows.columns:
+        baselines = mean_by(skill_rows, ["model_id"]).select("variable").distinct().select("variable", ids).join(names, "model_id")
+    else:
+        baselines = names.filter(F.col("model_id").isin(C.CLIMATOLOGY, C.PERSISTENCE))
+    return join_null_safe(leaders, baselines, per_variable(skill_rows, ["model_id", "manuscript_name", "model_type"]), "full")
 
 
 def mean_skill_split(
@@ -101,16 +117,15 @@ def mean_skill_split(
     exclude: Sequence[str] = (),
     name: str = "mean_crps",
 ) -> DataFrame:
-    """Mean skill by model and further keys, for the leaders or for the others.
+    """Mean skill by model, variable and further keys, for the leaders or for the others.
 
     Sums and counts by model and keys are enough to decide who leads, so the
     skill rows are read and shuffled once for both questions. The null model
     counts among the others.
     """
-    sums = skill_rows.groupBy("model_id", *keys).agg(
-        F.sum("skill_crps").alias("_s"), F.count("skill_crps").alias("_c")
-    )
-    per_model = Window.partitionBy("model_id")
+    groups = per_variable(skill_rows, ["model_id", *keys])
+    sums = skill_rows.groupBy(*groups).agg(F.sum("skill_crps").alias("_s"), F.count("skill_crps").alias("_c"))
+    per_model = Window.partitionBy(*per_variable(skill_rows, ["model_id"]))
     overall = F.try_divide(F.sum("_s").over(per_model), F.sum("_c").over(per_model))
     leads = F.coalesce(overall < 0, F.lit(False))
     kept = sums.withColumn("_leads", leads)
@@ -119,34 +134,31 @@ def mean_skill_split(
     for model in exclude:
         # like R, a comparison with a null model drops the row
         kept = kept.filter(F.col("model_id") != model)
-    return kept.select("model_id", *keys, F.try_divide(F.col("_s"), F.col("_c")).alias(name))
+    return kept.select(*groups, F.try_divide(F.col("_s"), F.col("_c")).alias(name))
 
 
 def leader_mean_by(skill_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean skill by keys over all rows of the leading models."""
-    sums = skill_rows.groupBy("model_id", *keys).agg(
-        F.sum("skill_crps").alias("_s"), F.count("skill_crps").alias("_c")
-    )
-    per_model = Window.partitionBy("model_id")
+    """Mean skill by variable and keys over all rows of the leading models."""
+    groups = per_variable(skill_rows, ["model_id", *keys])
+    sums = skill_rows.groupBy(*groups).agg(F.sum("skill_crps").alias("_s"), F.count("skill_crps").alias("_c"))
+    per_model = Window.partitionBy(*per_variable(skill_rows, ["model_id"]))
     overall = F.try_divide(F.sum("_s").over(per_model), F.sum("_c").over(per_model))
     return (
         sums.withColumn("_mean", overall)
         .filter(F.col("_mean") < 0)
-        .groupBy(*keys)
+        .groupBy(*per_variable(skill_rows, keys))
         .agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("mean_crps"))
     )
 
 
 def baseline_outcome(vs_climatology: DataFrame, vs_persistence: DataFrame, models: DataFrame) -> DataFrame:
-    """Which baselines each leading model beats at each lead time."""
+    """Which baselines each leading model beats at each lead time, by variable."""
     leaders = better_than_baseline(vs_climatology)
+    keys = per_variable(vs_climatology, ["model_id", "horizon"])
     doy = mean_skill_split(vs_climatology, ["horizon"], leaders=True, exclude=["persistence"], name="mean_crpsDOY")
-    rw = (
-        mean_by(vs_persistence, ["model_id", "horizon"], name="mean_crpsRW")
-        .filter(F.col("model_id") != C.CLIMATOLOGY)
-        .join(leaders, "model_id", "left_semi")
-    )
-    both = doy.join(rw, ["model_id", "horizon"], "full").join(
+    rw = mean_by(vs_persistence, ["model_id", "horizon"], name="mean_crpsRW")
+    rw = of_models(rw.filter(F.col("model_id") != C.CLIMATOLOGY), leaders)
+    both = doy.join(rw, keys, "full").join(
         models.select("model_id", "manuscript_name"), "model_id", "left"
     )
     d, r = F.col("mean_crpsDOY"), F.col("mean_crpsRW")
@@ -159,8 +171,7 @@ def baseline_outcome(vs_climatology: DataFrame, vs_persistence: DataFrame, model
     )
     order = F.array_position(F.array(*[F.lit(k) for k in C.OUTCOME_LABELS]), F.col("_beats")).cast("int")
     labelled = both.withColumn("_beats", beats).select(
-        "model_id",
-        "horizon",
+        *keys,
         "manuscript_name",
         "mean_crpsDOY",
         "mean_crpsRW",
@@ -170,14 +181,14 @@ def baseline_outcome(vs_climatology: DataFrame, vs_persistence: DataFrame, model
     return complete_rows(labelled)
 
 
-def by_class_and_site(skill_rows: DataFrame, models: DataFrame) -> DataFrame:
-    """Mean skill by model class, model and site, without the null class."""
-    means = mean_by(skill_rows, ["model_id", "site_id"], name="mean_skill")
+def by_class_and_site(skill_rows: DataFrame, models: DataFrame, means: DataFrame | None = None) -> DataFrame:
+    """Mean skill by variable, model class, model and site, without the null class."""
+    means = mean_by(skill_rows, ["model_id", "site_id"], name="mean_skill") if means is None else means
     classes = models.select("model_id", "model_type")
     return (
         means.join(classes, "model_id", "left")
         .filter(F.col("model_type") != "null")
-        .select("model_type", "model_id", "site_id", "mean_skill")
+        .select(*per_variable(means, ["model_type", "model_id", "site_id"]), "mean_skill")
     )
 
 
@@ -202,29 +213,52 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return join_null_safe(hinges, whiskers, keys)
 
 
-def common_period(skill_rows: DataFrame) -> DataFrame:
-    """The valid dates for which every site has complete rows."""
+def daily_sums(skill_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums and counts of skill by keys and valid date, with the number of complete rows.
+
+    They add up to the mean over any period, so rows are read once for a period and
+    for what is reported of it. Without lead time or issue date among the keys a
+    model and site have one row a date.
+    """
+    whole = reduce(lambda a, b: a & b, [C.quoted(n).isNotNull() for n in skill_rows.columns])
+    return skill_rows.groupBy(*per_variable(skill_rows, [*keys, "datetime"])).agg(
+        F.sum("skill_crps").alias("_s"), F.count("skill_crps").alias("_c"), F.count(F.when(whole, F.lit(1))).alias("_whole")
+    )
+
+
+def common_period(sums: DataFrame) -> DataFrame:
+    """The valid dates for which every site has complete rows, by variable, from daily sums."""
     per_site = (
-        complete_rows(skill_rows)
-        .groupBy("site_id")
+        sums.filter(F.col("_whole") > 0)
+        .groupBy(*per_variable(sums, ["site_id"]))
         .agg(F.min("datetime").alias("first_date"), F.max("datetime").alias("last_date"))
     )
-    return per_site.agg(F.max("first_date").alias("first_date"), F.min("last_date").alias("last_date"))
+    shared = [F.max("first_date").alias("first_date"), F.min("last_date").alias("last_date")]
+    return per_site.groupBy(*per_variable(sums, [])).agg(*shared)
+
+
+def within_period(sums: DataFrame, period: DataFrame) -> DataFrame:
+    """Daily sums whose valid date lies in the period of their variable."""
+    keys = per_variable(sums, [])
+    inside = F.col("datetime").between(F.col("first_date"), F.col("last_date"))
+    if not keys:
+        sums, period, keys = sums.withColumn("_all", F.lit(1)), period.withColumn("_all", F.lit(1)), ["_all"]
+    return sums.join(period, keys).filter(inside).drop("first_date", "last_date", "_all")
 
 
-def within_period(skill_rows: DataFrame, period: DataFrame) -> DataFrame:
-    """Rows whose valid date lies in a computed period (one row)."""
-    first, last = period.select("first_date").scalar(), period.select("last_date").scalar()
-    return skill_rows.filter(F.col("datetime").between(first, last))
+def mean_of_sums(sums: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Mean skill by keys and variable from daily sums."""
+    total = F.try_divide(F.sum("_s"), F.sum("_c")).alias(name)
+    return sums.groupBy(*per_variable(sums, keys)).agg(total)
 
 
 def scored_models_per_class(skill_rows: DataFrame, models: DataFrame) -> DataFrame:
-    """How many models of each class have any skill row."""
+    """How many models of each class have any skill row, by variable."""
     return (
-        skill_rows.select("model_id")
+        skill_rows.select(*per_variable(skill_rows, ["model_id"]))
         .distinct()
         .join(models.select("model_id", "model_type"), "model_id", "left")
-        .groupBy("model_type")
+        .groupBy(*per_variable(skill_rows, ["model_type"]))
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("model_type") != "null")
     )

@@ -147,11 +147,11 @@ GROUP BY {CELL}""",
     "all_scores": (("fx_scores",), f" SELECT *, {HORIZON} AS horizon FROM fx_scores"),
     "t_scores": (
         ("fx_scores",),
-        f" SELECT *, {HORIZON} AS horizon FROM fx_scores WHERE variable = 'temperature'",
+        f" SELECT *, {HORIZON} AS horizon FROM fx_scores",
     ),
     "t_full": (
         ("fx_full_scores",),
-        f" SELECT *, {HORIZON} AS horizon FROM fx_full_scores WHERE variable = 'temperature'",
+        f" SELECT *, {HORIZON} AS horizon FROM fx_full_scores",
     ),
     "t_skill": (
         ("t_scores",),
@@ -178,7 +178,7 @@ WHERE COALESCE(s.horizon, b.horizon) BETWEEN 1 AND 30 AND COALESCE(s.horizon, b.
     "t_skill_rw": (
         ("t_scores",),
         """
-SELECT s.model_id, COALESCE(s.horizon, b.horizon) AS horizon, s.crps - b.crps AS skill_crps
+SELECT s.model_id, COALESCE(s.variable, b.variable) AS variable, COALESCE(s.horizon, b.horizon) AS horizon, s.crps - b.crps AS skill_crps
 FROM (SELECT * FROM t_scores WHERE model_id <> 'persistenceRW') s
 FULL JOIN (SELECT * FROM t_scores WHERE model_id = 'persistenceRW') b
   ON s.reference_datetime = b.reference_datetime AND s.datetime = b.datetime AND s.site_id = b.site_id AND s.variable = b.variable
@@ -186,29 +186,30 @@ WHERE COALESCE(s.horizon, b.horizon) BETWEEN 1 AND 30 AND COALESCE(s.horizon, b.
     ),
     "leaders": (
         ("t_skill",),
-        " SELECT model_id, AVG(skill_crps) AS mean_crps FROM t_skill GROUP BY model_id HAVING AVG(skill_crps) < 0",
+        " SELECT variable, model_id, AVG(skill_crps) AS mean_crps FROM t_skill GROUP BY variable, model_id HAVING AVG(skill_crps) < 0",
     ),
     "board": (
-        ("leaders", "fx_models"),
+        ("t_skill", "leaders", "fx_models"),
         """
-SELECT COALESCE(t.model_id, b.model_id) AS model_id, t.mean_crps, COALESCE(t.manuscript_name, b.manuscript_name) AS manuscript_name,
+SELECT COALESCE(t.variable, b.variable) AS variable, COALESCE(t.model_id, b.model_id) AS model_id, t.mean_crps, COALESCE(t.manuscript_name, b.manuscript_name) AS manuscript_name,
   COALESCE(t.model_type, b.model_type) AS model_type
-FROM (SELECT l.model_id, l.mean_crps, m.manuscript_name, m.model_type FROM leaders l LEFT JOIN fx_models m ON l.model_id = m.model_id) t
-FULL JOIN (SELECT * FROM fx_models WHERE model_id IN ('climatology', 'persistenceRW')) b
-  ON t.model_id = b.model_id AND t.manuscript_name = b.manuscript_name AND t.model_type = b.model_type""",
+FROM (SELECT l.variable, l.model_id, l.mean_crps, m.manuscript_name, m.model_type FROM leaders l LEFT JOIN fx_models m ON l.model_id = m.model_id) t
+FULL JOIN (SELECT v.variable, m.model_id, m.manuscript_name, m.model_type FROM (SELECT DISTINCT variable FROM t_skill) v, fx_models m
+  WHERE m.model_id IN ('climatology', 'persistenceRW')) b
+  ON t.variable = b.variable AND t.model_id = b.model_id AND t.manuscript_name = b.manuscript_name AND t.model_type = b.model_type""",
     ),
     "class_site": (
         ("t_skill", "fx_models"),
         """
-SELECT m.model_type, s.model_id, s.site_id, AVG(s.skill_crps) AS mean_skill FROM t_skill s LEFT JOIN fx_models m ON s.model_id = m.model_id
-WHERE m.model_type <> 'null' GROUP BY m.model_type, s.model_id, s.site_id""",
+SELECT s.variable, m.model_type, s.model_id, s.site_id, AVG(s.skill_crps) AS mean_skill FROM t_skill s LEFT JOIN fx_models m ON s.model_id = m.model_id
+WHERE m.model_type <> 'null' GROUP BY s.variable, m.model_type, s.model_id, s.site_id""",
     ),
     "period": (
         ("t_full_skill",),
         """
-SELECT MAX(f) AS first_date, MIN(l) AS last_date FROM (
-  SELECT site_id, MIN(datetime) AS f, MAX(datetime) AS l FROM t_full_skill
-  WHERE site_id <> 'TOOK' AND model_id IS NOT NULL AND skill_crps IS NOT NULL AND skill_logs IS NOT NULL GROUP BY site_id) p""",
+SELECT variable, MAX(f) AS first_date, MIN(l) AS last_date FROM (
+  SELECT variable, site_id, MIN(datetime) AS f, MAX(datetime) AS l FROM t_full_skill
+  WHERE site_id <> 'TOOK' AND model_id IS NOT NULL AND skill_crps IS NOT NULL AND skill_logs IS NOT NULL GROUP BY variable, site_id) p GROUP BY variable""",
     ),
     "rank_rows": (
         ("all_scores",),
@@ -264,7 +265,7 @@ HAVING COUNT(*) = COUNT(prediction) AND MIN({HORIZON}) <= 30""",
         ("fx_forecasts",),
         f"""
 SELECT reference_datetime, variable, site_id, model_id, datetime, CAST(parameter AS VARCHAR) AS parameter, prediction FROM fx_forecasts
-WHERE variable = 'temperature' AND datetime > CAST(reference_datetime AS DATE) AND model_id NOT IN ('model_4')""",
+WHERE datetime > CAST(reference_datetime AS DATE) AND model_id NOT IN ('model_4')""",
     ),
     "mix_pool": (
         ("t_pool", "fx_normal"),
@@ -273,7 +274,7 @@ SELECT reference_datetime, variable, site_id, model_id, datetime, parameter, pre
 UNION ALL
 SELECT reference_datetime, variable, site_id, model_id, datetime, parameter, mu + sigma * {_normal_draw(DRAW_KEY)} AS prediction FROM (
   SELECT n.*, CAST(d.d AS VARCHAR) AS parameter FROM fx_normal n, (SELECT UNNEST(range(1, 101)) AS d) d
-  WHERE n.variable = 'temperature' AND n.model_id IN ('model_3', 'model_6', 'model_9')) q""",
+  WHERE n.model_id IN ('model_3', 'model_6', 'model_9')) q""",
     ),
 }
 
@@ -327,7 +328,7 @@ def _with(names: tuple[str, ...], body: str) -> str:
     return f"WITH {clauses}\n{body.strip()}"
 
 
-def _reliability(low: str, high: str, where: str, keys: str = "horizon, model_id", source: str = "t_scores") -> str:
+def _reliability(low: str, high: str, where: str, keys: str = "variable, horizon, model_id", source: str = "t_scores") -> str:
     return f"""
 SELECT {keys}, within_TRUE, within_FALSE, round(100.0 * within_TRUE / nullif(within_TRUE + within_FALSE, 0), 6) AS perc FROM (
   SELECT {keys}, COUNT(CASE WHEN observation >= {low} AND observation <= {high} THEN 1 END) AS within_TRUE,
@@ -381,12 +382,12 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     ),
     "top_model_rows": (
         ("t_skill", "leaders"),
-        "SELECT model_id, reference_datetime, datetime, site_id, round(skill_crps, 6) AS skill_crps FROM t_skill WHERE model_id IN (SELECT model_id FROM leaders)",
+        "SELECT model_id, reference_datetime, datetime, site_id, variable, round(skill_crps, 6) AS skill_crps FROM t_skill WHERE (variable, model_id) IN (SELECT variable, model_id FROM leaders)",
     ),
     "other_model_rows": (
         ("t_skill", "leaders"),
-        """SELECT model_id, reference_datetime, datetime, site_id, round(skill_crps, 6) AS skill_crps FROM t_skill s
-WHERE NOT EXISTS (SELECT 1 FROM leaders l WHERE l.model_id = s.model_id)""",
+        """SELECT model_id, reference_datetime, datetime, site_id, variable, round(skill_crps, 6) AS skill_crps FROM t_skill s
+WHERE NOT EXISTS (SELECT 1 FROM leaders l WHERE l.model_id = s.model_id AND l.variable = s.variable)""",
     ),
     "complete_rows": (
         ("fx_known",),
@@ -404,12 +405,12 @@ WHERE NOT EXISTS (SELECT 1 FROM leaders l WHERE l.model_id = s.model_id)""",
     ),
     "baseline_outcome": (
         ("t_skill", "t_skill_rw", "leaders", "fx_models"),
-        """SELECT model_id, horizon, manuscript_name, round(d, 6) AS mean_crpsDOY, round(r, 6) AS mean_crpsRW,
+        """SELECT variable, model_id, horizon, manuscript_name, round(d, 6) AS mean_crpsDOY, round(r, 6) AS mean_crpsRW,
   CASE WHEN d < 0 AND r < 0 THEN 'Both' WHEN d > 0 AND r < 0 THEN 'Persistence' WHEN d < 0 AND r > 0 THEN 'Day-of-year' ELSE 'Neither' END AS beats,
   CASE WHEN d < 0 AND r < 0 THEN 4 WHEN d > 0 AND r < 0 THEN 2 WHEN d < 0 AND r > 0 THEN 3 ELSE 1 END AS beats_order
-FROM (SELECT model_id, horizon, AVG(skill_crps) AS d FROM t_skill WHERE model_id IN (SELECT model_id FROM leaders) GROUP BY 1, 2) a
-FULL JOIN (SELECT model_id, horizon, AVG(skill_crps) AS r FROM t_skill_rw WHERE model_id IN (SELECT model_id FROM leaders) AND model_id <> 'climatology' GROUP BY 1, 2) b
-  USING (model_id, horizon)
+FROM (SELECT variable, model_id, horizon, AVG(skill_crps) AS d FROM t_skill WHERE (variable, model_id) IN (SELECT variable, model_id FROM leaders) GROUP BY 1, 2, 3) a
+FULL JOIN (SELECT variable, model_id, horizon, AVG(skill_crps) AS r FROM t_skill_rw WHERE (variable, model_id) IN (SELECT variable, model_id FROM leaders) AND model_id <> 'climatology' GROUP BY 1, 2, 3) b
+  USING (variable, model_id, horizon)
 LEFT JOIN (SELECT model_id, manuscript_name FROM fx_models) m USING (model_id)
 WHERE d IS NOT NULL AND r IS NOT NULL AND manuscript_name IS NOT NULL""",
     ),
@@ -421,9 +422,9 @@ WHERE d IS NOT NULL AND r IS NOT NULL AND manuscript_name IS NOT NULL""",
     ),
     "overlap_fixed_dates": (
         ("t_skill", "fx_models"),
-        """SELECT m.model_type, s.model_id, s.site_id, round(AVG(s.skill_crps), 6) AS mean_skill FROM t_skill s JOIN fx_models m ON s.model_id = m.model_id
+        """SELECT s.variable, m.model_type, s.model_id, s.site_id, round(AVG(s.skill_crps), 6) AS mean_skill FROM t_skill s JOIN fx_models m ON s.model_id = m.model_id
 WHERE m.model_type <> 'null' AND CAST(reference_datetime AS DATE) > DATE '2023-01-01' AND CAST(reference_datetime AS DATE) < DATE '2023-01-29'
-GROUP BY 1, 2, 3""",
+GROUP BY 1, 2, 3, 4""",
     ),
     "split_site_depth": (
         ("fx_scores",),
@@ -463,68 +464,70 @@ FROM fx_members f LEFT JOIN fx_observations o ON f.site_id = o.site_id AND f.dat
     ),
     "overlap_period_skill": (
         ("t_full_skill", "period", "fx_models"),
-        """SELECT m.model_type, s.model_id, s.site_id, round(AVG(s.skill_crps), 6) AS mean_skill FROM t_full_skill s JOIN fx_models m ON s.model_id = m.model_id
-WHERE m.model_type <> 'null' AND s.datetime >= (SELECT first_date FROM period) AND s.datetime <= (SELECT last_date FROM period) GROUP BY 1, 2, 3""",
+        """SELECT s.variable, m.model_type, s.model_id, s.site_id, round(AVG(s.skill_crps), 6) AS mean_skill FROM t_full_skill s
+JOIN fx_models m ON s.model_id = m.model_id JOIN period p ON s.variable = p.variable
+WHERE m.model_type <> 'null' AND s.datetime >= p.first_date AND s.datetime <= p.last_date GROUP BY 1, 2, 3, 4""",
     ),
     "overlap_period_curves": (
         ("t_full_skill", "period", "leaders"),
-        """SELECT site_id, horizon, round(AVG(skill_crps), 6) AS mean_crps FROM t_full_skill
-WHERE model_id IN (SELECT model_id FROM leaders) AND datetime >= (SELECT first_date FROM period) AND datetime <= (SELECT last_date FROM period) GROUP BY 1, 2""",
+        """SELECT s.variable, site_id, horizon, round(AVG(skill_crps), 6) AS mean_crps FROM t_full_skill s JOIN period p ON s.variable = p.variable
+WHERE (s.variable, model_id) IN (SELECT variable, model_id FROM leaders) AND datetime >= p.first_date AND datetime <= p.last_date GROUP BY 1, 2, 3""",
     ),
     "leaderboard_with_baselines": (
         ("board",),
-        "SELECT model_id, round(mean_crps, 6) AS mean_crps, manuscript_name, model_type FROM board",
+        "SELECT variable, model_id, round(mean_crps, 6) AS mean_crps, manuscript_name, model_type FROM board",
     ),
     "mean_skill_by_model": (
         ("t_skill", "fx_models"),
-        """SELECT a.model_id, round(a.v, 6) AS mean_crps, manuscript_name, model_type,
+        """SELECT a.variable, a.model_id, round(a.v, 6) AS mean_crps, manuscript_name, model_type,
   CASE WHEN uses_NOAA = 1 THEN 'yes' WHEN uses_NOAA = 0 THEN 'no' END AS uses_NOAA, contains(NOAA_var, 'air_temperature') AS uses_AT
-FROM (SELECT model_id, AVG(skill_crps) AS v FROM t_skill GROUP BY model_id) a LEFT JOIN fx_models m ON a.model_id = m.model_id""",
+FROM (SELECT variable, model_id, AVG(skill_crps) AS v FROM t_skill GROUP BY 1, 2) a LEFT JOIN fx_models m ON a.model_id = m.model_id""",
     ),
-    "top_models": (("leaders",), "SELECT model_id, round(mean_crps, 6) AS mean_crps FROM leaders"),
+    "top_models": (("leaders",), "SELECT variable, model_id, round(mean_crps, 6) AS mean_crps FROM leaders"),
     "skill_by_horizon": (
         ("t_skill", "leaders", "fx_models"),
-        """SELECT a.model_id, horizon, round(v, 6) AS mean_crps, manuscript_name FROM (
-  SELECT model_id, horizon, AVG(skill_crps) AS v FROM t_skill WHERE model_id IN (SELECT model_id FROM leaders) AND model_id <> 'persistenceRW' GROUP BY 1, 2) a
+        """SELECT a.variable, a.model_id, horizon, round(v, 6) AS mean_crps, manuscript_name FROM (
+  SELECT variable, model_id, horizon, AVG(skill_crps) AS v FROM t_skill WHERE (variable, model_id) IN (SELECT variable, model_id FROM leaders) AND model_id <> 'persistenceRW' GROUP BY 1, 2, 3) a
 LEFT JOIN fx_models m ON a.model_id = m.model_id""",
     ),
     "skill_by_horizon_others": (
         ("t_skill", "leaders", "fx_models"),
-        """SELECT a.model_id, horizon, round(v, 6) AS mean_crps, manuscript_name FROM (
-  SELECT model_id, horizon, AVG(skill_crps) AS v FROM t_skill s WHERE NOT EXISTS (SELECT 1 FROM leaders l WHERE l.model_id = s.model_id) GROUP BY 1, 2) a
+        """SELECT a.variable, a.model_id, horizon, round(v, 6) AS mean_crps, manuscript_name FROM (
+  SELECT variable, model_id, horizon, AVG(skill_crps) AS v FROM t_skill s
+  WHERE NOT EXISTS (SELECT 1 FROM leaders l WHERE l.model_id = s.model_id AND l.variable = s.variable) GROUP BY 1, 2, 3) a
 LEFT JOIN fx_models m ON a.model_id = m.model_id""",
     ),
     "persistence_skill_by_horizon": (
         ("t_skill_rw", "leaders"),
-        """SELECT model_id, horizon, round(AVG(skill_crps), 6) AS mean_crps FROM t_skill_rw
-WHERE model_id IN (SELECT model_id FROM leaders) AND model_id <> 'climatology' GROUP BY 1, 2""",
+        """SELECT variable, model_id, horizon, round(AVG(skill_crps), 6) AS mean_crps FROM t_skill_rw
+WHERE (variable, model_id) IN (SELECT variable, model_id FROM leaders) AND model_id <> 'climatology' GROUP BY 1, 2, 3""",
     ),
     "skill_by_site_horizon": (
         ("t_skill", "leaders"),
-        "SELECT site_id, horizon, round(AVG(skill_crps), 6) AS mean_crps FROM t_skill WHERE model_id IN (SELECT model_id FROM leaders) GROUP BY 1, 2",
+        "SELECT variable, site_id, horizon, round(AVG(skill_crps), 6) AS mean_crps FROM t_skill WHERE (variable, model_id) IN (SELECT variable, model_id FROM leaders) GROUP BY 1, 2, 3",
     ),
     "skill_by_class_site": (
         ("class_site",),
-        "SELECT model_type, model_id, site_id, round(mean_skill, 6) AS mean_skill FROM class_site",
+        "SELECT variable, model_type, model_id, site_id, round(mean_skill, 6) AS mean_skill FROM class_site",
     ),
     "skill_boxplot": (
         ("class_site",),
-        """WITH_NEXT hinges AS (SELECT model_type, site_id, QUANTILE_CONT(mean_skill, 0.25) AS lower, MEDIAN(mean_skill) AS middle,
-    QUANTILE_CONT(mean_skill, 0.75) AS upper, COUNT(mean_skill) AS n FROM class_site WHERE mean_skill IS NOT NULL GROUP BY 1, 2)
-SELECT h.model_type, h.site_id, round(h.lower, 6) AS lower, round(h.middle, 6) AS middle, round(h.upper, 6) AS upper, h.n,
+        """WITH_NEXT hinges AS (SELECT variable, model_type, site_id, QUANTILE_CONT(mean_skill, 0.25) AS lower, MEDIAN(mean_skill) AS middle,
+    QUANTILE_CONT(mean_skill, 0.75) AS upper, COUNT(mean_skill) AS n FROM class_site WHERE mean_skill IS NOT NULL GROUP BY 1, 2, 3)
+SELECT h.variable, h.model_type, h.site_id, round(h.lower, 6) AS lower, round(h.middle, 6) AS middle, round(h.upper, 6) AS upper, h.n,
   round(MIN(CASE WHEN mean_skill BETWEEN lower - 1.5 * (upper - lower) AND upper + 1.5 * (upper - lower) THEN mean_skill END), 6) AS whisker_low,
   round(MAX(CASE WHEN mean_skill BETWEEN lower - 1.5 * (upper - lower) AND upper + 1.5 * (upper - lower) THEN mean_skill END), 6) AS whisker_high,
   COUNT(CASE WHEN NOT (mean_skill BETWEEN lower - 1.5 * (upper - lower) AND upper + 1.5 * (upper - lower)) THEN 1 END) AS outliers
-FROM class_site c JOIN hinges h ON c.model_type = h.model_type AND c.site_id = h.site_id WHERE mean_skill IS NOT NULL
-GROUP BY h.model_type, h.site_id, h.lower, h.middle, h.upper, h.n""",
+FROM class_site c JOIN hinges h ON c.variable = h.variable AND c.model_type = h.model_type AND c.site_id = h.site_id WHERE mean_skill IS NOT NULL
+GROUP BY h.variable, h.model_type, h.site_id, h.lower, h.middle, h.upper, h.n""",
     ),
     "crps_profile": (
         ("t_scores", "t_skill", "fx_models"),
-        """WITH_NEXT means AS (SELECT model_id, AVG(skill_crps) AS v FROM t_skill GROUP BY 1),
-best AS (SELECT model_id FROM (SELECT model_id, rank() OVER (ORDER BY v) AS r FROM means WHERE v IS NOT NULL) q WHERE r <= 5)
-SELECT m.model_type, s.site_id, round(QUANTILE_CONT(crps, 0.05), 6) AS p05, round(QUANTILE_CONT(crps, 0.25), 6) AS p25, round(MEDIAN(crps), 6) AS p50,
+        """WITH_NEXT means AS (SELECT variable, model_id, AVG(skill_crps) AS v FROM t_skill GROUP BY 1, 2),
+best AS (SELECT variable, model_id FROM (SELECT variable, model_id, rank() OVER (PARTITION BY variable ORDER BY v) AS r FROM means WHERE v IS NOT NULL) q WHERE r <= 10)
+SELECT s.variable, m.model_type, s.site_id, round(QUANTILE_CONT(crps, 0.05), 6) AS p05, round(QUANTILE_CONT(crps, 0.25), 6) AS p25, round(MEDIAN(crps), 6) AS p50,
   round(QUANTILE_CONT(crps, 0.75), 6) AS p75, round(QUANTILE_CONT(crps, 0.95), 6) AS p95, COUNT(*) AS n
-FROM t_scores s JOIN fx_models m ON s.model_id = m.model_id WHERE crps IS NOT NULL AND s.model_id IN (SELECT model_id FROM best) GROUP BY 1, 2""",
+FROM t_scores s JOIN fx_models m ON s.model_id = m.model_id WHERE crps IS NOT NULL AND (s.variable, s.model_id) IN (SELECT variable, model_id FROM best) GROUP BY 1, 2, 3""",
     ),
     "baseline_crps_by_horizon": (
         ("fx_scores",),
@@ -533,34 +536,34 @@ FROM (SELECT *, {HORIZON} AS horizon FROM fx_scores WHERE model_id IN ('climatol
     ),
     "baseline_median_by_site": (
         ("t_scores",),
-        f"SELECT horizon, site_id, round(MEDIAN(crps), 6) AS median_crps FROM t_scores WHERE model_id = 'climatology' AND {WINDOW} GROUP BY 1, 2",
+        f"SELECT variable, horizon, site_id, round(MEDIAN(crps), 6) AS median_crps FROM t_scores WHERE model_id = 'climatology' AND {WINDOW} GROUP BY 1, 2, 3",
     ),
     "spread_by_horizon": (
         ("t_scores", "leaders"),
-        f"""SELECT model_id, horizon, round(AVG(sd), 6) AS mean_sd FROM t_scores
-WHERE model_id IN (SELECT model_id FROM leaders) AND model_id <> 'persistenceRW' AND {WINDOW} GROUP BY 1, 2""",
+        f"""SELECT variable, model_id, horizon, round(AVG(sd), 6) AS mean_sd FROM t_scores
+WHERE (variable, model_id) IN (SELECT variable, model_id FROM leaders) AND model_id <> 'persistenceRW' AND {WINDOW} GROUP BY 1, 2, 3""",
     ),
     "bias_by_horizon": (
         ("t_scores", "leaders"),
-        f"""SELECT model_id, horizon, round(AVG(abs(mean - observation)), 6) AS mean_abs_bias FROM t_scores
-WHERE model_id IN (SELECT model_id FROM leaders) AND model_id <> 'persistenceRW' AND {WINDOW} GROUP BY 1, 2""",
+        f"""SELECT variable, model_id, horizon, round(AVG(abs(mean - observation)), 6) AS mean_abs_bias FROM t_scores
+WHERE (variable, model_id) IN (SELECT variable, model_id FROM leaders) AND model_id <> 'persistenceRW' AND {WINDOW} GROUP BY 1, 2, 3""",
     ),
     "reliability_80": (
         ("t_scores", "board"),
-        f"SELECT c.*, manuscript_name FROM ({_reliability('q10', 'q90', WINDOW)}) c JOIN board b ON c.model_id = b.model_id",
+        f"SELECT c.*, manuscript_name FROM ({_reliability('q10', 'q90', WINDOW)}) c JOIN board b ON c.variable = b.variable AND c.model_id = b.model_id",
     ),
     "reliability_95": (
         ("t_scores", "board"),
-        f"SELECT c.*, manuscript_name FROM ({_reliability('q025', 'q975', WINDOW)}) c JOIN board b ON c.model_id = b.model_id",
+        f"SELECT c.*, manuscript_name FROM ({_reliability('q025', 'q975', WINDOW)}) c JOIN board b ON c.variable = b.variable AND c.model_id = b.model_id",
     ),
     "reliability_others": (
         ("t_scores", "board", "fx_models"),
         f"""SELECT c.*, manuscript_name FROM ({_reliability('q10', 'q90', WINDOW)}) c JOIN fx_models b ON c.model_id = b.model_id
-WHERE c.model_id NOT IN (SELECT model_id FROM board)""",
+WHERE (c.variable, c.model_id) NOT IN (SELECT variable, model_id FROM board)""",
     ),
     "reliability_by_site": (
         ("t_scores",),
-        _reliability("q10", "q90", "horizon BETWEEN 1 AND 30", "horizon, model_id, site_id"),
+        _reliability("q10", "q90", "horizon BETWEEN 1 AND 30", "variable, horizon, model_id, site_id"),
     ),
     "models_by_class": (
         ("fx_models",),
@@ -600,15 +603,15 @@ UNION ALL SELECT variable, COUNT(*), 'listing' FROM fx_models GROUP BY 1""",
     ),
     "scored_models_per_class": (
         ("t_skill", "fx_models"),
-        """SELECT model_type, COUNT(*) AS n FROM (SELECT DISTINCT model_id FROM t_skill) s JOIN fx_models m ON s.model_id = m.model_id
-WHERE model_type <> 'null' GROUP BY 1""",
+        """SELECT s.variable, model_type, COUNT(*) AS n FROM (SELECT DISTINCT variable, model_id FROM t_skill) s JOIN fx_models m ON s.model_id = m.model_id
+WHERE model_type <> 'null' GROUP BY 1, 2""",
     ),
     "common_period": (
         ("t_full_skill", "period"),
-        """SELECT MAX(f) AS first_date, MIN(l) AS last_date, 'all' AS sites FROM (
-  SELECT site_id, MIN(datetime) AS f, MAX(datetime) AS l FROM t_full_skill
-  WHERE model_id IS NOT NULL AND skill_crps IS NOT NULL AND skill_logs IS NOT NULL GROUP BY site_id) p
-UNION ALL SELECT first_date, last_date, 'without TOOK' FROM period""",
+        """SELECT variable, MAX(f) AS first_date, MIN(l) AS last_date, 'all' AS sites FROM (
+  SELECT variable, site_id, MIN(datetime) AS f, MAX(datetime) AS l FROM t_full_skill
+  WHERE model_id IS NOT NULL AND skill_crps IS NOT NULL AND skill_logs IS NOT NULL GROUP BY variable, site_id) p GROUP BY variable
+UNION ALL SELECT variable, first_date, last_date, 'without TOOK' FROM period""",
     ),
     "monthly_mean_focal": (
         ("fx_known",),
@@ -631,13 +634,13 @@ FROM fx_known WHERE variable = 'temperature' AND site_id IN {SITES} AND year(dat
     ),
     "climatology_by_site": (
         ("t_scores",),
-        "SELECT site_id, round(AVG(crps), 6) AS mean_score FROM t_scores WHERE model_id = 'climatology' GROUP BY 1",
+        "SELECT variable, site_id, round(AVG(crps), 6) AS mean_score FROM t_scores WHERE model_id = 'climatology' GROUP BY 1, 2",
     ),
     "crps_by_horizon_model_site": (
         ("t_scores",),
-        """WITH_NEXT best AS (SELECT model_id FROM (SELECT model_id, rank() OVER (ORDER BY AVG(crps)) AS r FROM t_scores GROUP BY model_id HAVING AVG(crps) IS NOT NULL) q WHERE r <= 5)
-SELECT horizon, model_id, site_id, round(AVG(crps), 6) AS mean_crps FROM t_scores
-WHERE horizon BETWEEN 0 AND 30 AND model_id IN (SELECT model_id FROM best) GROUP BY 1, 2, 3""",
+        """WITH_NEXT best AS (SELECT variable, model_id FROM (SELECT variable, model_id, rank() OVER (PARTITION BY variable ORDER BY AVG(crps)) AS r FROM t_scores GROUP BY variable, model_id HAVING AVG(crps) IS NOT NULL) q WHERE r <= 10)
+SELECT variable, horizon, model_id, site_id, round(AVG(crps), 6) AS mean_crps FROM t_scores
+WHERE horizon BETWEEN 0 AND 30 AND (variable, model_id) IN (SELECT variable, model_id FROM best) GROUP BY 1, 2, 3, 4""",
     ),
     "driver_skill": (
         ("fx_scores",),
@@ -645,12 +648,12 @@ WHERE horizon BETWEEN 0 AND 30 AND model_id IN (SELECT model_id FROM best) GROUP
     ),
     "median_skill_by_model": (
         ("fx_scores",),
-        f"""SELECT model_id, median_crps FROM (SELECT model_id, round(v, 6) AS median_crps, rank() OVER (ORDER BY v DESC) AS r FROM (
-  SELECT s.model_id, MEDIAN(b.crps - s.crps) AS v FROM fx_scores s
+        f"""SELECT variable, model_id, median_crps FROM (SELECT variable, model_id, round(v, 6) AS median_crps, rank() OVER (PARTITION BY variable ORDER BY v DESC) AS r FROM (
+  SELECT s.variable, s.model_id, MEDIAN(b.crps - s.crps) AS v FROM fx_scores s
   LEFT JOIN (SELECT * FROM fx_scores WHERE model_id = 'climatology') b
     ON s.reference_datetime = b.reference_datetime AND s.datetime = b.datetime AND s.site_id = b.site_id AND s.variable = b.variable
-  WHERE s.variable = 'oxygen' AND s.model_id <> 'climatology' AND CAST(s.datetime - CAST(s.reference_datetime AS DATE) AS INT) BETWEEN 1 AND 30
-  GROUP BY 1) a WHERE v IS NOT NULL) q WHERE r <= 10""",
+  WHERE s.model_id <> 'climatology' AND CAST(s.datetime - CAST(s.reference_datetime AS DATE) AS INT) BETWEEN 1 AND 30
+  GROUP BY 1, 2) a WHERE v IS NOT NULL) q WHERE r <= 10""",
     ),
     "rank_distribution": (
         ("rank_all",),
@@ -692,23 +695,23 @@ FROM usable GROUP BY 1, 2, 3""",
     ),
     "top10_models": (
         ("t_scores",),
-        """SELECT model_id, mean_skill FROM (SELECT model_id, round(v, 6) AS mean_skill, rank() OVER (ORDER BY v DESC) AS r FROM (
-  SELECT s.model_id, AVG(b.crps - s.crps) AS v FROM t_scores s LEFT JOIN (SELECT * FROM t_scores WHERE model_id = 'climatology') b
-    USING (reference_datetime, datetime, site_id) WHERE s.model_id <> 'climatology' AND s.horizon BETWEEN 1 AND 30 GROUP BY 1) a WHERE v IS NOT NULL) q WHERE r <= 10""",
+        """SELECT variable, model_id, mean_skill FROM (SELECT variable, model_id, round(v, 6) AS mean_skill, rank() OVER (PARTITION BY variable ORDER BY v DESC) AS r FROM (
+  SELECT variable, s.model_id, AVG(b.crps - s.crps) AS v FROM t_scores s LEFT JOIN (SELECT * FROM t_scores WHERE model_id = 'climatology') b
+    USING (reference_datetime, datetime, site_id, variable) WHERE s.model_id <> 'climatology' AND s.horizon BETWEEN 1 AND 30 GROUP BY 1, 2) a WHERE v IS NOT NULL) q WHERE r <= 10""",
     ),
     "top5_per_site": (
         ("t_scores",),
-        """SELECT model_id, site_id, mean_crps FROM (SELECT model_id, site_id, round(v, 6) AS mean_crps, rank() OVER (PARTITION BY site_id ORDER BY v DESC) AS r FROM (
-  SELECT s.model_id, s.site_id, AVG(b.crps - s.crps) AS v FROM t_scores s LEFT JOIN (SELECT * FROM t_scores WHERE model_id = 'climatology') b
-    USING (reference_datetime, datetime, site_id) WHERE s.model_id <> 'climatology' AND s.horizon BETWEEN 1 AND 30 GROUP BY 1, 2) a WHERE v IS NOT NULL) q WHERE r <= 5""",
+        """SELECT variable, model_id, site_id, mean_crps FROM (SELECT variable, model_id, site_id, round(v, 6) AS mean_crps, rank() OVER (PARTITION BY variable, site_id ORDER BY v DESC) AS r FROM (
+  SELECT variable, s.model_id, site_id, AVG(b.crps - s.crps) AS v FROM t_scores s LEFT JOIN (SELECT * FROM t_scores WHERE model_id = 'climatology') b
+    USING (reference_datetime, datetime, site_id, variable) WHERE s.model_id <> 'climatology' AND s.horizon BETWEEN 1 AND 30 GROUP BY 1, 2, 3) a WHERE v IS NOT NULL) q WHERE r <= 5""",
     ),
     "sites_without_gaps": (
         ("usable",),
-        "SELECT reference_datetime, variable, site_id, model_id FROM usable WHERE variable = 'temperature'",
+        "SELECT reference_datetime, variable, site_id, model_id FROM usable",
     ),
     "ensemble_members": (
         ("mme",),
-        "SELECT reference_datetime, site_id, datetime, parameter, round(prediction, 6) AS prediction FROM mme",
+        "SELECT reference_datetime, site_id, datetime, variable, parameter, round(prediction, 6) AS prediction FROM mme",
     ),
     "ensemble_sample": (
         ("t_pool_sample",),
@@ -716,19 +719,19 @@ FROM usable GROUP BY 1, 2, 3""",
     ),
     "model_order": (
         ("t_skill",),
-        """SELECT model_id, round(v, 6) AS mean_crps, CAST(ROW_NUMBER() OVER (ORDER BY v DESC NULLS LAST, model_id NULLS LAST) AS INT) AS model_order
-FROM (SELECT model_id, AVG(skill_crps) AS v FROM t_skill GROUP BY 1) a""",
+        """SELECT variable, model_id, round(v, 6) AS mean_crps, CAST(ROW_NUMBER() OVER (PARTITION BY variable ORDER BY v DESC NULLS LAST, model_id NULLS LAST) AS INT) AS model_order
+FROM (SELECT variable, model_id, AVG(skill_crps) AS v FROM t_skill GROUP BY 1, 2) a""",
     ),
     "model_order_within_site": (
         ("t_skill",),
-        """SELECT model_id, site_id, round(v, 6) AS mean_crps,
-  CAST(ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY v NULLS LAST, model_id NULLS LAST) AS INT) AS model_order
-FROM (SELECT model_id, site_id, AVG(skill_crps) AS v FROM t_skill GROUP BY 1, 2) a""",
+        """SELECT variable, model_id, site_id, round(v, 6) AS mean_crps,
+  CAST(ROW_NUMBER() OVER (PARTITION BY variable, site_id ORDER BY v NULLS LAST, model_id NULLS LAST) AS INT) AS model_order
+FROM (SELECT variable, model_id, site_id, AVG(skill_crps) AS v FROM t_skill GROUP BY 1, 2, 3) a""",
     ),
     "site_order": (
         ("t_skill", "leaders"),
-        """SELECT site_id, round(v, 6) AS mean_crps, CAST(ROW_NUMBER() OVER (ORDER BY v DESC NULLS LAST, site_id) AS INT) AS site_order
-FROM (SELECT site_id, AVG(skill_crps) AS v FROM t_skill WHERE horizon = 30 AND model_id IN (SELECT model_id FROM leaders) GROUP BY 1) a""",
+        """SELECT variable, site_id, round(v, 6) AS mean_crps, CAST(ROW_NUMBER() OVER (PARTITION BY variable ORDER BY v DESC NULLS LAST, site_id) AS INT) AS site_order
+FROM (SELECT variable, site_id, AVG(skill_crps) AS v FROM t_skill WHERE horizon = 30 AND (variable, model_id) IN (SELECT variable, model_id FROM leaders) GROUP BY 1, 2) a""",
     ),
     "covariate_usage": (
         ("fx_models",),
@@ -745,24 +748,24 @@ FROM (SELECT site_id, AVG(skill_crps) AS v FROM t_skill WHERE horizon = 30 AND m
     ),
     "pivot_baselines": (
         ("t_full",),
-        f"""SELECT reference_datetime, datetime, site_id, round(c.crps, 6) AS crps_climatology, round(p.crps, 6) AS crps_persistenceRW,
+        f"""SELECT reference_datetime, datetime, site_id, variable, round(c.crps, 6) AS crps_climatology, round(p.crps, 6) AS crps_persistenceRW,
   {_logs('c.logs', 'logs_climatology')}, {_logs('p.logs', 'logs_persistenceRW')}
 FROM (SELECT * FROM t_full WHERE model_id = 'climatology') c FULL JOIN (SELECT * FROM t_full WHERE model_id = 'persistenceRW') p
-  USING (reference_datetime, datetime, site_id)""",
+  USING (reference_datetime, datetime, site_id, variable)""",
     ),
     "normal_params": (("fx_normal",), f"SELECT {CELL}, round(mu, 6) AS mu, round(sigma, 6) AS sigma FROM fx_normal"),
     "gap_expansion": (
         ("t_scores",),
-        """WITH_NEXT grid AS (SELECT DISTINCT reference_datetime, horizon, model_id FROM t_scores WHERE horizon <= 30),
+        """WITH_NEXT grid AS (SELECT DISTINCT reference_datetime, horizon, model_id, variable FROM t_scores WHERE horizon <= 30),
 sites AS (SELECT UNNEST(['TOOK', 'PRLA', 'PRPO', 'CRAM', 'LIRO', 'BARC', 'SUGG']) AS site_id)
-SELECT g.model_id, s.site_id, g.horizon, round(AVG(t.crps), 6) AS mean_crps, COUNT(*) AS n
-FROM grid g CROSS JOIN sites s LEFT JOIN t_scores t ON t.reference_datetime = g.reference_datetime AND t.horizon = g.horizon AND t.model_id = g.model_id AND t.site_id = s.site_id
-WHERE CAST(g.reference_datetime AS DATE) > DATE '2022-12-31' AND CAST(g.reference_datetime AS DATE) < DATE '2024-01-01' GROUP BY 1, 2, 3""",
+SELECT g.model_id, g.variable, s.site_id, g.horizon, round(AVG(t.crps), 6) AS mean_crps, COUNT(*) AS n
+FROM grid g CROSS JOIN sites s LEFT JOIN t_scores t ON t.reference_datetime = g.reference_datetime AND t.horizon = g.horizon AND t.model_id = g.model_id AND t.variable = g.variable AND t.site_id = s.site_id
+WHERE CAST(g.reference_datetime AS DATE) > DATE '2022-12-31' AND CAST(g.reference_datetime AS DATE) < DATE '2024-01-01' GROUP BY 1, 2, 3, 4""",
     ),
     "usable_forecasts": (
         ("fx_forecasts", "usable"),
         f"""SELECT f.model_id, f.reference_datetime, f.datetime, f.site_id, f.variable, f.family, round(f.prediction, 6) AS prediction, f.parameter
-FROM fx_forecasts f JOIN usable u USING (reference_datetime, variable, site_id, model_id) WHERE f.variable = 'temperature' AND {HORIZON} <= 30 AND {HORIZON} > 0""",
+FROM fx_forecasts f JOIN usable u USING (reference_datetime, variable, site_id, model_id) WHERE {HORIZON} <= 30 AND {HORIZON} > 0""",
     ),
     "normal_to_ensemble": (
         ("fx_normal",),
@@ -773,12 +776,12 @@ FROM fx_forecasts f JOIN usable u USING (reference_datetime, variable, site_id,
     ),
     "multi_model_ensemble": (
         ("mme", "fx_observations"),
-        """WITH_NEXT r AS (SELECT e.*, o.observation, ROW_NUMBER() OVER (PARTITION BY e.reference_datetime, e.site_id, e.datetime ORDER BY e.prediction) AS i,
-  COUNT(*) OVER (PARTITION BY e.reference_datetime, e.site_id, e.datetime) AS m
+        """WITH_NEXT r AS (SELECT e.*, o.observation, ROW_NUMBER() OVER (PARTITION BY e.reference_datetime, e.variable, e.site_id, e.datetime ORDER BY e.prediction) AS i,
+  COUNT(*) OVER (PARTITION BY e.reference_datetime, e.variable, e.site_id, e.datetime) AS m
   FROM mme e LEFT JOIN fx_observations o ON e.site_id = o.site_id AND e.datetime = o.datetime AND e.variable = o.variable)
-SELECT model_id, reference_datetime, site_id, datetime, COUNT(*) AS m, round(AVG(prediction), 6) AS mean, round(MEDIAN(prediction), 6) AS median,
+SELECT model_id, reference_datetime, variable, site_id, datetime, COUNT(*) AS m, round(AVG(prediction), 6) AS mean, round(MEDIAN(prediction), 6) AS median,
   round(SUM(2.0 * (prediction - observation) * (m * CASE WHEN observation < prediction THEN 1 ELSE 0 END - i + 0.5)) / (MAX(m) * MAX(m)), 6) AS crps
-FROM r GROUP BY model_id, reference_datetime, site_id, datetime""",
+FROM r GROUP BY model_id, reference_datetime, variable, site_id, datetime""",
     ),
     "crps_sample": (("fx_scores",), f"SELECT {CELL}, m, round(crps, 6) AS crps FROM fx_scores"),
     "crps_normal": (("normal_scored",), f"SELECT {CELL}, round({CRPS_NORMAL}, 6) AS crps FROM normal_scored"),
@@ -812,7 +815,7 @@ SELECT reference_datetime, variable, site_id, concat(model_id, '_normal'), datet
     ),
     "forecast_slice": (
         ("t_scores",),
-        f"""SELECT model_id, site_id, datetime, horizon, round(mean, 6) AS mean, round(observation, 6) AS observation FROM t_scores
+        f"""SELECT variable, model_id, site_id, datetime, horizon, round(mean, 6) AS mean, round(observation, 6) AS observation FROM t_scores
 WHERE reference_datetime = '{R.SLICE_DATE}' AND horizon BETWEEN 1 AND 30 AND model_id IN ('climatology', 'model_2', 'model_3')""",
     ),
     "rescore_candidates": (
@@ -820,6 +823,60 @@ WHERE reference_datetime = '{R.SLICE_DATE}' AND horizon BETWEEN 1 AND 30 AND mod
         f"""SELECT {CELL} FROM fx_scores s WHERE observation IS NULL AND EXISTS (
   SELECT 1 FROM fx_observations o WHERE o.site_id = s.site_id AND o.variable = s.variable AND CAST(o.datetime + 7 AS DATE) = s.datetime)""",
     ),
+    "structure_report": (
+        ("fx_forecasts",),
+        """WITH_NEXT d AS (SELECT model_id, reference_datetime, site_id, variable, datetime, list_sort(list(parameter)) AS names
+  FROM fx_forecasts GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT COUNT(DISTINCT names) > 1 AS unequal, MAX(datetime) - MIN(datetime) + 1 <> COUNT(*) AS gap FROM d GROUP BY model_id, reference_datetime, site_id, variable)
+SELECT rule, n_rows, n_rows = 0 AS passed FROM (SELECT 'unequal_members' AS rule, COUNT(*) FILTER (unequal) AS n_rows FROM s
+  UNION ALL SELECT 'gap_in_dates', COUNT(*) FILTER (gap) FROM s UNION ALL SELECT 'partition_mismatch', 0) t""",
+    ),
+    "quantile_report": (
+        ("fx_scores",),
+        """SELECT 'quantiles_out_of_order' AS rule, n AS n_rows, n = 0 AS passed FROM (
+  SELECT COUNT(*) FILTER (q025 > q10 OR q10 > median OR median > q90 OR q90 > q975) AS n FROM fx_scores) t""",
+    ),
+    "stored_scores": (
+        ("fx_scores",),
+        f"SELECT {CELL}, round(observation, 6) AS observation, round(crps, 6) AS crps FROM fx_scores",
+    ),
+    "stored_targets": (
+        ("fx_known",),
+        "SELECT datetime, site_id, variable, round(observation, 6) AS observation FROM fx_known",
+    ),
+    "stored_models": (
+        ("fx_models",),
+        "SELECT model_id, manuscript_name, model_type, variable, NOAA_var, uses_NOAA, unc_driver, unc_process, dynamic FROM fx_models",
+    ),
+    "stored_csv": (
+        ("fx_members",),
+        """SELECT concat('lakes-', reference_datetime, '-', model_id) AS forecast, site_id, variable, COUNT(*) AS n, round(SUM(prediction), 6) AS total
+FROM fx_members GROUP BY 1, 2, 3""",
+    ),
+    "stored_partitions": (
+        ("fx_members",),
+        "SELECT DISTINCT model_id, reference_datetime, datetime AS date FROM fx_members",
+    ),
+    "sound_forecasts": (
+        ("fx_members",),
+        f"""SELECT model_id, reference_datetime, datetime AS date, COUNT(*) AS n, round(SUM(prediction), 6) AS total FROM fx_members
+WHERE NOT (model_id = '{R.BROKEN[0]}' AND reference_datetime = '{R.BROKEN[1]}' AND datetime = DATE '{R.BROKEN[2]}') GROUP BY 1, 2, 3""",
+    ),
+    "renamed_columns": (("fx_scores",), f"SELECT {CELL}, m, round(crps, 6) AS crps FROM fx_scores"),
+    "first_skill_rows": (
+        ("t_skill",),
+        """SELECT reference_datetime, variable, site_id, model_id, datetime, horizon, round(skill_crps, 6) AS skill_crps FROM t_skill
+ORDER BY reference_datetime NULLS LAST, site_id NULLS LAST, datetime NULLS LAST, model_id NULLS LAST, variable NULLS LAST LIMIT 6""",
+    ),
+    "incremental_ensemble": (
+        ("mme",),
+        "SELECT reference_datetime, site_id, datetime, variable, parameter, round(prediction, 6) AS prediction FROM mme",
+    ),
+    "incremental_scores": (("fx_scores",), f"SELECT {CELL}, m, round(crps, 6) AS crps FROM fx_scores"),
+    "late_scores": (
+        ("fx_scores",),
+        f"SELECT {CELL}, round(observation, 6) AS observation, round(crps, 6) AS crps FROM fx_scores",
+    ),
 }
 
 

@@ -22,10 +22,13 @@ from proofcast.operators import skill as K
 from proofcast.operators.orderstats import exact_quantiles, numbered_by_value
 from proofcast.operators.reliability import reliability
 from proofcast.operators.reshape import day_spine, expand_sites
-from proofcast.operators.validation import validation_report
+from proofcast.operators.validation import quantile_report, structure_report, validation_report
 from proofcast.plans import bindings as B
+from proofcast.session import fixed, fresh_folder
+from proofcast.sources import readers, writers
 from proofcast.sources.readers import available_forecasts, scan_scores
 from proofcast.sources.writers import snapshot
+from proofcast.streaming import counted
 from proofcast.streaming.incremental import latest_scored
 
 # Parameters of the registered queries.
@@ -38,6 +41,10 @@ SLICE_DATE = "2023-01-08"
 SLICE_MODELS = ("climatology", "model_2", "model_3")
 RANKS_PER_SITE = 38
 RANKS_OVERALL = 31
+BEST = 10
+SUBMITTED = ("model_id", "reference_datetime")
+BROKEN = ("model_2", "2023-01-01", "2023-01-10")
+LATE_FROM = "2023-01-12"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,12 +78,8 @@ def short_names(df: DataFrame) -> DataFrame:
     )
 
 
-def temperature_scores(spark, sf, logs=False):
-    return scan_scores(B.scores(spark, sf, logs), "temperature")
-
-
-def temperature_skill(spark, sf, logs=False, **options):
-    return K.skill(temperature_scores(spark, sf, logs), **options)
+def skill_rows(spark, sf, logs=False, **options):
+    return K.skill(B.scores(spark, sf, logs), **options)
 
 
 def _skill_output(rows: DataFrame, baseline: str) -> DataFrame:
@@ -153,18 +156,16 @@ def eval_window(spark, sf):
 
 @query
 def top_model_rows(spark, sf):
-    rows = temperature_skill(spark, sf)
-    leaders = K.better_than_baseline(rows).select("model_id")
-    kept = rows.join(leaders, "model_id", "left_semi")
-    return rounded(kept.select("model_id", "reference_datetime", "datetime", "site_id", "skill_crps"))
+    rows = skill_rows(spark, sf)
+    kept = K.of_models(rows, K.better_than_baseline(rows), "left_semi")
+    return rounded(kept.select("model_id", "reference_datetime", "datetime", "site_id", "variable", "skill_crps"))
 
 
 @query
 def other_model_rows(spark, sf):
-    rows = temperature_skill(spark, sf)
-    leaders = K.better_than_baseline(rows).select("model_id")
-    kept = rows.join(leaders, "model_id", "left_anti")
-    return rounded(kept.select("model_id", "reference_datetime", "datetime", "site_id", "skill_crps"))
+    rows = skill_rows(spark, sf)
+    kept = K.of_models(rows, K.better_than_baseline(rows), "left_anti")
+    return rounded(kept.select("model_id", "reference_datetime", "datetime", "site_id", "variable", "skill_crps"))
 
 
 @query
@@ -189,7 +190,7 @@ def uncertainty_count_hist(spark, sf):
 
 @query
 def baseline_outcome(spark, sf):
-    scores = temperature_scores(spark, sf)
+    scores = B.scores(spark, sf)
     return rounded(
         K.baseline_outcome(K.skill(scores), K.skill(scores, C.PERSISTENCE), B.models(spark, sf))
     )
@@ -204,7 +205,7 @@ def observation_seasonality(spark, sf):
 @query
 def overlap_fixed_dates(spark, sf):
     issued = F.to_date("reference_datetime")
-    rows = temperature_skill(spark, sf).filter(
+    rows = skill_rows(spark, sf).filter(
         (issued > F.lit("2023-01-01").cast("date")) & (issued < F.lit("2023-01-29").cast("date"))
     )
     return rounded(K.by_class_and_site(rows, B.models(spark, sf)))
@@ -242,7 +243,7 @@ def pending_dates(spark, sf):
 
 @query
 def skill_vs_climatology(spark, sf):
-    return _skill_output(temperature_skill(spark, sf, logs=True), C.CLIMATOLOGY)
+    return _skill_output(skill_rows(spark, sf, logs=True), C.CLIMATOLOGY)
 
 
 @query
@@ -263,31 +264,30 @@ def forecast_obs_join(spark, sf):
     )
 
 
+def _overlap(rows, keys):
+    """Daily sums of the skill rows within the period that all sites but one share."""
+    sums = fixed(K.daily_sums(rows, keys), "daily")
+    return sums, K.within_period(sums, K.common_period(sums.filter(F.col("site_id") != "TOOK")))
+
+
 @query
 def overlap_period_skill(spark, sf):
-    rows = temperature_skill(spark, sf, logs=True)
-    period = K.common_period(rows.filter(F.col("site_id") != "TOOK"))
-    return rounded(K.by_class_and_site(K.within_period(rows, period), B.models(spark, sf)))
+    _, inside = _overlap(skill_rows(spark, sf, logs=True), ["model_id", "site_id"])
+    means = K.mean_of_sums(inside, ["model_id", "site_id"], "mean_skill")
+    return rounded(K.by_class_and_site(inside, B.models(spark, sf), means))
 
 
 @query
 def overlap_period_curves(spark, sf):
-    rows = temperature_skill(spark, sf, logs=True)
-    period = K.common_period(rows.filter(F.col("site_id") != "TOOK"))
-    leaders = K.better_than_baseline(rows).select("model_id")
-    sums = (
-        K.within_period(rows, period)
-        .groupBy("model_id", "site_id", "horizon")
-        .agg(F.sum("skill_crps").alias("s"), F.count("skill_crps").alias("c"))
-    )
-    kept = sums.join(leaders, "model_id", "left_semi").groupBy("site_id", "horizon")
-    return rounded(kept.agg(F.try_divide(F.sum("s"), F.sum("c")).alias("mean_crps")))
+    sums, inside = _overlap(skill_rows(spark, sf, logs=True), ["model_id", "site_id", "horizon"])
+    leaders = K.mean_of_sums(sums, ["model_id"], "mean_crps").filter(F.col("mean_crps") < 0)
+    return rounded(K.mean_of_sums(K.of_models(inside, leaders), ["site_id", "horizon"], "mean_crps"))
 
 
 @query
 def leaderboard_with_baselines(spark, sf):
-    board = K.leaderboard_with_baselines(temperature_skill(spark, sf), B.models(spark, sf))
-    return rounded(board).orderBy("model_type", F.col("mean_crps").asc_nulls_last())
+    board = K.leaderboard_with_baselines(skill_rows(spark, sf), B.models(spark, sf))
+    return rounded(board).orderBy("variable", "model_type", F.col("mean_crps").asc_nulls_last())
 
 
 # --- aggregations ----------------------------------------------------------
@@ -295,7 +295,7 @@ def leaderboard_with_baselines(spark, sf):
 
 @query
 def mean_skill_by_model(spark, sf):
-    means = K.mean_by(temperature_skill(spark, sf), ["model_id"])
+    means = K.mean_by(skill_rows(spark, sf), ["model_id"])
     flags = B.models(spark, sf).select(
         "model_id",
         "manuscript_name",
@@ -308,53 +308,53 @@ def mean_skill_by_model(spark, sf):
 
 @query
 def top_models(spark, sf):
-    return rounded(K.better_than_baseline(temperature_skill(spark, sf)))
+    return rounded(K.better_than_baseline(skill_rows(spark, sf)))
 
 
 @query
 def skill_by_horizon(spark, sf):
-    curves = K.mean_skill_split(temperature_skill(spark, sf), ["horizon"], leaders=True, exclude=[C.PERSISTENCE])
+    curves = K.mean_skill_split(skill_rows(spark, sf), ["horizon"], leaders=True, exclude=[C.PERSISTENCE])
     return rounded(curves.join(B.models(spark, sf).select("model_id", "manuscript_name"), "model_id", "left"))
 
 
 @query
 def skill_by_horizon_others(spark, sf):
-    curves = K.mean_skill_split(temperature_skill(spark, sf), ["horizon"], leaders=False)
+    curves = K.mean_skill_split(skill_rows(spark, sf), ["horizon"], leaders=False)
     return rounded(curves.join(B.models(spark, sf).select("model_id", "manuscript_name"), "model_id", "left"))
 
 
 @query
 def persistence_skill_by_horizon(spark, sf):
-    scores = temperature_scores(spark, sf)
-    leaders = K.better_than_baseline(K.skill(scores)).select("model_id")
+    scores = B.scores(spark, sf)
+    leaders = K.better_than_baseline(K.skill(scores))
     curves = K.mean_by(K.skill(scores, C.PERSISTENCE), ["model_id", "horizon"])
-    return rounded(curves.filter(F.col("model_id") != C.CLIMATOLOGY).join(leaders, "model_id", "left_semi"))
+    return rounded(K.of_models(curves.filter(F.col("model_id") != C.CLIMATOLOGY), leaders))
 
 
 @query
 def skill_by_site_horizon(spark, sf):
-    return rounded(K.leader_mean_by(temperature_skill(spark, sf), ["site_id", "horizon"]))
+    return rounded(K.leader_mean_by(skill_rows(spark, sf), ["site_id", "horizon"]))
 
 
 @query
 def skill_by_class_site(spark, sf):
-    return rounded(K.by_class_and_site(temperature_skill(spark, sf), B.models(spark, sf)))
+    return rounded(K.by_class_and_site(skill_rows(spark, sf), B.models(spark, sf)))
 
 
 @query
 def skill_boxplot(spark, sf):
-    means = K.by_class_and_site(temperature_skill(spark, sf), B.models(spark, sf))
-    return rounded(K.box_summary(means, ["model_type", "site_id"], "mean_skill"))
+    means = K.by_class_and_site(skill_rows(spark, sf), B.models(spark, sf))
+    return rounded(K.box_summary(means, ["variable", "model_type", "site_id"], "mean_skill"))
 
 
 @query
 def crps_profile(spark, sf):
-    scores = temperature_scores(spark, sf).filter(F.col("crps").isNotNull())
-    best = R.top_n(K.mean_by(temperature_skill(spark, sf), ["model_id"]), "mean_crps", 5, "min")
-    classes = B.models(spark, sf).select("model_id", "model_type").join(best, "model_id", "left_semi")
-    rows = scores.select("model_id", "site_id", "crps").join(classes, "model_id")
+    scores = B.scores(spark, sf).filter(F.col("crps").isNotNull())
+    best = R.top_n(K.mean_by(skill_rows(spark, sf), ["model_id"]), "mean_crps", BEST, "min", within=["variable"])
+    classes = B.models(spark, sf).select("model_id", "model_type").join(best.select("variable", "model_id"), "model_id")
+    rows = scores.select("variable", "model_id", "site_id", "crps").join(classes, ["variable", "model_id"])
     probs = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    return rounded(exact_quantiles(rows, ["model_type", "site_id"], "crps", probs, count="n"))
+    return rounded(exact_quantiles(rows, ["variable", "model_type", "site_id"], "crps", probs, count="n"))
 
 
 @query
@@ -366,31 +366,31 @@ def baseline_crps_by_horizon(spark, sf):
 
 @query
 def baseline_median_by_site(spark, sf):
-    rows = C.eval_window(temperature_scores(spark, sf).filter(F.col("model_id") == C.CLIMATOLOGY))
-    return rounded(exact_quantiles(rows, ["horizon", "site_id"], "crps", {"median_crps": 0.5}))
+    rows = C.eval_window(B.scores(spark, sf).filter(F.col("model_id") == C.CLIMATOLOGY))
+    return rounded(exact_quantiles(rows, ["variable", "horizon", "site_id"], "crps", {"median_crps": 0.5}))
 
 
 def _leaders_only(rows: DataFrame, scores: DataFrame) -> DataFrame:
     leaders = K.better_than_baseline(K.skill(scores)).filter(F.col("model_id") != C.PERSISTENCE)
-    return rows.join(leaders.select("model_id"), "model_id", "left_semi")
+    return K.of_models(rows, leaders)
 
 
 @query
 def spread_by_horizon(spark, sf):
-    scores = temperature_scores(spark, sf)
+    scores = B.scores(spark, sf)
     spread = K.mean_by(C.eval_window(scores), ["model_id", "horizon"], "sd", "mean_sd")
     return rounded(_leaders_only(spread, scores))
 
 
 @query
 def bias_by_horizon(spark, sf):
-    scores = temperature_scores(spark, sf)
+    scores = B.scores(spark, sf)
     bias = K.mean_by(C.eval_window(S.with_abs_bias(scores)), ["model_id", "horizon"], "abs_bias", "mean_abs_bias")
     return rounded(_leaders_only(bias, scores))
 
 
 def _reliability(spark, sf, level):
-    scores = temperature_scores(spark, sf)
+    scores = B.scores(spark, sf)
     board = K.leaderboard_with_baselines(K.skill(scores), B.models(spark, sf))
     return rounded(reliability(scores, board, level))
 
@@ -407,16 +407,16 @@ def reliability_95(spark, sf):
 
 @query
 def reliability_others(spark, sf):
-    scores = temperature_scores(spark, sf)
+    scores = B.scores(spark, sf)
     models = B.models(spark, sf)
     board = K.leaderboard_with_baselines(K.skill(scores), models)
-    others = join_null_safe(models, board.select("model_id"), ["model_id"], "left_anti")
-    return rounded(reliability(scores, others, 80))
+    shares = reliability(scores, models.drop("variable"), 80)
+    return rounded(K.of_models(shares, board, "left_anti"))
 
 
 @query
 def reliability_by_site(spark, sf):
-    return rounded(reliability(temperature_scores(spark, sf), None, 80, extra_keys=["site_id"], skip=()))
+    return rounded(reliability(B.scores(spark, sf), None, 80, extra_keys=["site_id"], skip=()))
 
 
 @query
@@ -466,15 +466,15 @@ def variables_per_model_hist(spark, sf):
 
 @query
 def scored_models_per_class(spark, sf):
-    return K.scored_models_per_class(temperature_skill(spark, sf), B.models(spark, sf))
+    return K.scored_models_per_class(skill_rows(spark, sf), B.models(spark, sf))
 
 
 @query
 def common_period(spark, sf):
-    rows = temperature_skill(spark, sf, logs=True)
+    sums = fixed(K.daily_sums(skill_rows(spark, sf, logs=True), ["site_id"]), "daily")
     return bind_rows(
-        K.common_period(rows).withColumn("sites", F.lit("all")),
-        K.common_period(rows.filter(F.col("site_id") != "TOOK")).withColumn("sites", F.lit("without TOOK")),
+        K.common_period(sums).withColumn("sites", F.lit("all")),
+        K.common_period(sums.filter(F.col("site_id") != "TOOK")).withColumn("sites", F.lit("without TOOK")),
     )
 
 
@@ -495,13 +495,13 @@ def observation_cv(spark, sf):
 
 @query
 def climatology_by_site(spark, sf):
-    rows = temperature_scores(spark, sf).filter(F.col("model_id") == C.CLIMATOLOGY)
+    rows = B.scores(spark, sf).filter(F.col("model_id") == C.CLIMATOLOGY)
     return rounded(K.mean_by(rows, ["site_id"], "crps", "mean_score")).orderBy("mean_score")
 
 
 @query
 def crps_by_horizon_model_site(spark, sf):
-    return rounded(R.mean_score_of_best(temperature_scores(spark, sf), 5))
+    return rounded(R.mean_score_of_best(B.scores(spark, sf), BEST))
 
 
 @query
@@ -512,10 +512,10 @@ def driver_skill(spark, sf):
 
 @query
 def median_skill_by_model(spark, sf):
-    rows = K.skill(scan_scores(B.scores(spark, sf), "oxygen"), orientation="gain", skip=())
+    rows = skill_rows(spark, sf, orientation="gain", skip=())
     rows = rows.filter(F.col("model_id") != "fARIMA")
-    medians = exact_quantiles(rows, ["model_id"], "skill_crps", {"median_crps": 0.5})
-    return rounded(R.top_n(medians, "median_crps", 10, "max"))
+    medians = exact_quantiles(rows, ["variable", "model_id"], "skill_crps", {"median_crps": 0.5})
+    return rounded(R.top_n(medians, "median_crps", BEST, "max", within=["variable"]))
 
 
 @query
@@ -573,50 +573,50 @@ def forecast_ranks(spark, sf):
 
 @query
 def top10_models(spark, sf):
-    means = K.mean_by(temperature_skill(spark, sf, orientation="gain", skip=()), ["model_id"], name="mean_skill")
-    return rounded(R.top_n(means, "mean_skill", 10, "max"))
+    means = K.mean_by(skill_rows(spark, sf, orientation="gain", skip=()), ["model_id"], name="mean_skill")
+    return rounded(R.top_n(means, "mean_skill", BEST, "max", within=["variable"]))
 
 
 @query
 def top5_per_site(spark, sf):
-    means = K.mean_by(temperature_skill(spark, sf, orientation="gain", skip=()), ["model_id", "site_id"])
-    return rounded(R.top_n(means, "mean_crps", 5, "max", within=["site_id"]))
+    means = K.mean_by(skill_rows(spark, sf, orientation="gain", skip=()), ["model_id", "site_id"])
+    return rounded(R.top_n(means, "mean_crps", 5, "max", within=["variable", "site_id"]))
 
 
 @query
 def sites_without_gaps(spark, sf):
-    return E.submissions(E.relevant(B.unnumbered(spark, sf), "temperature"), 30).select(*E.SUBMISSION)
+    return E.submissions(E.relevant(B.unnumbered(spark, sf)), 30).select(*E.SUBMISSION)
 
 
 @query
 def ensemble_members(spark, sf):
-    return rounded(_mme(spark, sf).select("reference_datetime", "site_id", "datetime", "parameter", "prediction"))
+    return rounded(_mme(spark, sf).select("reference_datetime", "site_id", "datetime", "variable", "parameter", "prediction"))
 
 
 @query
 def ensemble_sample(spark, sf):
-    rows = E.relevant(B.forecasts(spark, sf), "temperature", omit=OMITTED)
+    rows = E.relevant(B.forecasts(spark, sf), omit=OMITTED)
     members = E.sample_members(rows, ENSEMBLE_SIZE, 30)
     return members.select(*E.SUBMISSION, "parameter", "sample").distinct()
 
 
 @query
 def model_order(spark, sf):
-    means = K.mean_by(temperature_skill(spark, sf), ["model_id"])
-    return rounded(numbered_by_value(means, [], "mean_crps", "model_id", "model_order", descending=True))
+    means = K.mean_by(skill_rows(spark, sf), ["model_id"])
+    return rounded(numbered_by_value(means, ["variable"], "mean_crps", "model_id", "model_order", descending=True))
 
 
 @query
 def model_order_within_site(spark, sf):
-    means = K.mean_by(temperature_skill(spark, sf), ["model_id", "site_id"])
-    return rounded(numbered_by_value(means, ["site_id"], "mean_crps", "model_id", "model_order"))
+    means = K.mean_by(skill_rows(spark, sf), ["model_id", "site_id"])
+    return rounded(numbered_by_value(means, ["variable", "site_id"], "mean_crps", "model_id", "model_order"))
 
 
 @query
 def site_order(spark, sf):
-    curves = K.leader_mean_by(temperature_skill(spark, sf), ["site_id", "horizon"])
-    last = curves.filter(F.col("horizon") == 30).select("site_id", "mean_crps")
-    return rounded(numbered_by_value(last, [], "mean_crps", "site_id", "site_order", descending=True))
+    curves = K.leader_mean_by(skill_rows(spark, sf), ["site_id", "horizon"])
+    last = curves.filter(F.col("horizon") == 30).select("variable", "site_id", "mean_crps")
+    return rounded(numbered_by_value(last, ["variable"], "mean_crps", "site_id", "site_order", descending=True))
 
 
 @query
@@ -641,8 +641,8 @@ def union_forecasts(spark, sf):
 
 @query
 def pivot_baselines(spark, sf):
-    rows = temperature_scores(spark, sf, logs=True).filter(F.col("model_id").isin(list(C.BASELINE_LABELS)))
-    keys = ["reference_datetime", "datetime", "site_id"]
+    rows = B.scores(spark, sf, logs=True).filter(F.col("model_id").isin(list(C.BASELINE_LABELS)))
+    keys = ["reference_datetime", "datetime", "site_id", "variable"]
     wide = K.pivot_values(rows, keys, "model_id", list(C.BASELINE_LABELS), ["crps", "logs"])
     logs = ("logs_climatology", "logs_persistenceRW")
     return rounded(significant(wide, **{n: f"abs({n})" for n in logs}), keep=logs)
@@ -655,11 +655,11 @@ def normal_params(spark, sf):
 
 @query
 def gap_expansion(spark, sf):
-    rows = C.with_horizon(temperature_scores(spark, sf)).filter(F.col("horizon") <= 30)
-    full = expand_sites(rows, ["reference_datetime", "horizon", "model_id"], "crps", C.LAKE_SITES)
+    rows = C.with_horizon(B.scores(spark, sf)).filter(F.col("horizon") <= 30)
+    full = expand_sites(rows, ["reference_datetime", "horizon", "model_id", "variable"], "crps", C.LAKE_SITES)
     issued = F.to_date("reference_datetime")
     kept = full.filter((issued > F.lit("2022-12-31").cast("date")) & (issued < F.lit("2024-01-01").cast("date")))
-    sums = kept.groupBy("model_id", "site_id", "horizon").agg(
+    sums = kept.groupBy("model_id", "variable", "site_id", "horizon").agg(
         F.avg("crps").alias("mean_crps"), F.count(F.lit(1)).alias("n")
     )
     return rounded(sums)
@@ -670,7 +670,7 @@ def gap_expansion(spark, sf):
 
 @query
 def usable_forecasts(spark, sf):
-    return rounded(E.load_forecast(B.forecasts(spark, sf), "temperature"))
+    return rounded(E.load_forecast(B.forecasts(spark, sf)))
 
 
 @query
@@ -687,14 +687,18 @@ def normal_to_ensemble(spark, sf):
     )
 
 
-def _mme(spark, sf):
+def _submitted(spark, sf):
     mixed = B.forecasts(spark, sf).withColumn("parameter", F.col("parameter").cast("string"))
     # every third model submits its forecast as a normal distribution instead
     as_normal = ("model_3", "model_6", "model_9")
     names = [*E.SUBMISSION, "datetime", "family", "parameter", "prediction"]
     rows = mixed.filter(~F.col("model_id").isin(*as_normal)).select(*names)
     normal = B.normal_forecasts(spark, sf).filter(F.col("model_id").isin(*as_normal)).select(*names)
-    return E.build_mme(rows.unionByName(normal), ENSEMBLE, "temperature", n=ENSEMBLE_SIZE, omit=OMITTED)
+    return rows.unionByName(normal)
+
+
+def _mme(spark, sf):
+    return E.build_mme(_submitted(spark, sf), ENSEMBLE, n=ENSEMBLE_SIZE, omit=OMITTED)
 
 
 @query
@@ -702,7 +706,7 @@ def multi_model_ensemble(spark, sf):
     mme = _mme(spark, sf)
     observed = S.score(mme, B.observations(spark, sf), families=("sample",))
     return rounded(
-        observed.select("model_id", "reference_datetime", "site_id", "datetime", "m", "mean", "median", "crps")
+        observed.select(*E.SUBMISSION, "datetime", "m", "mean", "median", "crps")
     )
 
 
@@ -775,10 +779,150 @@ def validation_report_(spark, sf):
 
 @query
 def forecast_slice(spark, sf):
-    return rounded(S.forecast_slice(temperature_scores(spark, sf), SLICE_DATE, SLICE_MODELS))
+    return rounded(S.forecast_slice(B.scores(spark, sf), SLICE_DATE, SLICE_MODELS))
 
 
 @query
 def rescore_candidates(spark, sf):
     late = B.observations(spark, sf).withColumn("datetime", F.date_add("datetime", 7))
     return S.rescore_candidates(B.scores(spark, sf), late).select(*E.SUBMISSION, "datetime")
+
+
+@query
+def structure_report_(spark, sf):
+    return structure_report(B.forecasts(spark, sf))
+
+
+@query
+def quantile_report_(spark, sf):
+    return quantile_report(B.scores(spark, sf))
+
+
+# --- stored tables ---------------------------------------------------------
+#
+# What these return was written below the shared folder and read back.
+
+
+@query
+def stored_scores(spark, sf):
+    path = fresh_folder(spark, "scores")
+    writers.write_scores(B.scores(spark, sf).drop("m"), path, by=("model_id",))
+    back = readers.read_scores(spark, path).withColumn("datetime", F.to_date("datetime"))
+    return rounded(back.select(*E.SUBMISSION, "datetime", "observation", "crps"))
+
+
+@query
+def stored_targets(spark, sf):
+    path = fresh_folder(spark, "targets")
+    rows = B.targets(spark, sf).withColumn("datetime", F.col("datetime").cast("timestamp"))
+    rows.write.option("header", "true").option("nullValue", "NA").option("compression", "gzip").csv(path)
+    return rounded(readers.read_targets(spark, path).withColumn("datetime", F.to_date("datetime")))
+
+
+@query
+def stored_models(spark, sf):
+    path = fresh_folder(spark, "models")
+    B.models(spark, sf).write.option("header", "true").option("nullValue", "character").csv(path)
+    back = readers.read_models(spark, path)
+    return back.select("model_id", "manuscript_name", "model_type", "variable", "NOAA_var", "uses_NOAA", "unc_driver", "unc_process", "dynamic")
+
+
+@query
+def stored_csv(spark, sf):
+    path = fresh_folder(spark, "csv")
+    writers.write_forecast_csv(B.unnumbered(spark, sf), path, "lakes")
+    back = spark.read.option("header", "true").csv(path)
+    return rounded(
+        back.groupBy("forecast", "site_id", "variable").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("prediction").cast("double")).alias("total")
+        )
+    )
+
+
+def _stored_forecasts(spark, sf):
+    path = fresh_folder(spark, "forecasts")
+    rows = B.forecasts(spark, sf).withColumns(
+        {"datetime": F.col("datetime").cast("timestamp"), "parameter": F.col("parameter").cast("string")}
+    )
+    writers.write_forecasts(rows, path)
+    return path
+
+
+@query
+def stored_partitions(spark, sf):
+    return readers.partition_inventory(spark, _stored_forecasts(spark, sf)).select("model_id", "reference_datetime", F.col("date").cast("date").alias("date"))
+
+
+@query
+def sound_forecasts(spark, sf):
+    """One folder gets a file that is no parquet; its forecasts are left out."""
+    path = _stored_forecasts(spark, sf)
+    broken = "/".join(f"{k}={v}" for k, v in zip(readers.FORECAST_FOLDERS, BROKEN, strict=True))
+    spark.range(1).select(F.lit("nothing").alias("value")).write.mode("append").text(f"{path}/{broken}")
+    rows, _ = readers.read_sound_forecasts(spark, path)
+    return rounded(
+        rows.groupBy("model_id", "reference_datetime", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("total"))
+    )
+
+
+@query
+def renamed_columns(spark, sf):
+    names = {"reference_datetime": "start_time", "datetime": "time", "prediction": "predicted"}
+    rows = B.unnumbered(spark, sf).withColumnsRenamed(names)
+    scored = S.score(rows, B.observations(spark, sf), logs=False, families=("sample",))
+    return rounded(scored.select(*E.SUBMISSION, "datetime", "m", "crps"))
+
+
+@query
+def first_skill_rows(spark, sf):
+    rows = readers.preview(K.canonical_order(skill_rows(spark, sf)))
+    return rounded(rows.select(*E.SUBMISSION, "datetime", "horizon", "skill_crps"))
+
+
+# --- incremental runs ------------------------------------------------------
+
+
+@query
+def incremental_ensemble(spark, sf):
+    """Two runs, the second with more issue dates, and a third that finds nothing to do."""
+    path, rows = fresh_folder(spark, "ensembles"), _submitted(spark, sf)
+    for known in (rows.filter(F.col("reference_datetime") <= SLICE_DATE), rows, rows):
+        E.store_pending(known, ENSEMBLE, path, n=ENSEMBLE_SIZE, omit=OMITTED)
+    stored = E.stored_ensembles(spark, path)
+    return rounded(
+        stored.select(
+            "reference_datetime", "site_id", F.to_date("datetime").alias("datetime"), "variable", F.col("parameter").cast("int").alias("parameter"), "prediction"
+        )
+    )
+
+
+def _back(spark, path):
+    """A stored score table; folder names are text."""
+    rows = spark.read.parquet(path)
+    return rows.withColumns({"reference_datetime": F.col("reference_datetime").cast("string"), "datetime": F.to_date("datetime")})
+
+
+def _as_stored(rows):
+    return rows.withColumn("datetime", F.col("datetime").cast("timestamp"))
+
+
+@query
+def incremental_scores(spark, sf):
+    """Members of the same forecasts arrive in two batches, the second is delivered twice."""
+    folder, targets = fresh_folder(spark, "counted"), _as_stored(B.observations(spark, sf))
+    rows = _as_stored(B.unnumbered(spark, sf))
+    low = F.coalesce(F.col("prediction") < 4.0, F.lit(True))
+    for batch, part in (("low", rows.filter(low)), ("high", rows.filter(~low)), ("high", rows.filter(~low))):
+        counted.score_batch(part, targets, f"{folder}/store", f"{folder}/scores", batch, SUBMITTED, logs=False)
+    return rounded(_back(spark, f"{folder}/scores").select(*E.SUBMISSION, "datetime", "m", "crps"))
+
+
+@query
+def late_scores(spark, sf):
+    """Scores with the observations of a first week, and again when the others have arrived."""
+    folder, targets = fresh_folder(spark, "late"), _as_stored(B.observations(spark, sf))
+    early = F.col("datetime") < F.lit(LATE_FROM).cast("timestamp")
+    store, scores = f"{folder}/store", f"{folder}/scores"
+    counted.score_batch(_as_stored(B.unnumbered(spark, sf)), targets.filter(early), store, scores, "all", SUBMITTED, logs=False)
+    counted.score_late(spark, store, targets.filter(~early), targets, scores, SUBMITTED, logs=False)
+    return rounded(_back(spark, scores).select(*E.SUBMISSION, "datetime", "observation", "crps"))

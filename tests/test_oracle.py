@@ -33,6 +33,13 @@ COMPARED = (
     "flag_totals",
     "pending_dates",
     "overlap_period_curves",
+    "crps_profile",
+    "incremental_ensemble",
+    "incremental_scores",
+    "late_scores",
+    "sound_forecasts",
+    "stored_scores",
+    "structure_report",
 )
 
 

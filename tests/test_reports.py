@@ -122,9 +122,29 @@ def test_box_summary_finds_outliers(spark):
 def test_common_period_uses_complete_rows(spark):
     rows = [("A", day(1), 1.0), ("A", day(9), 1.0), ("B", day(3), 1.0), ("B", day(7), 1.0), ("B", day(12), None)]
     df = spark.createDataFrame(rows, "site_id string, datetime timestamp, skill_crps double")
-    period = K.common_period(df)
+    sums = K.daily_sums(df, ["site_id"])
+    period = K.common_period(sums)
     assert tuple(period.first()) == (day(3), day(7))
-    assert K.within_period(df, period).count() == 2
+    assert K.within_period(sums, period).count() == 2
+    later = df.withColumn("datetime", F.expr("datetime + interval 30 days"))
+    both = df.withColumn("variable", F.lit("temperature")).unionByName(later.withColumn("variable", F.lit("oxygen")))
+    sums = K.daily_sums(both, ["site_id"])
+    found = {r.variable: (r.first_date, r.last_date) for r in K.common_period(sums).collect()}
+    assert found == {"temperature": (day(3), day(7)), "oxygen": (day(33), day(37))}
+    assert K.within_period(sums, K.common_period(sums)).count() == 4
+    assert {r.variable: r.m for r in K.mean_of_sums(sums, [], "m").collect()} == {"temperature": 1.0, "oxygen": 1.0}
+
+
+def test_variables_have_leaders_of_their_own(spark):
+    rows = [row("climatology", 2.0), row("warm", 1.0), row("airy", 3.0)]
+    rows += [row("climatology", 2.0, variable="oxygen"), row("warm", 3.0, variable="oxygen"), row("airy", 1.0, variable="oxygen")]
+    sk = K.skill(spark.createDataFrame(rows, SCORES))
+    assert {(r.variable, r.model_id) for r in K.better_than_baseline(sk).collect()} == {("temperature", "warm"), ("oxygen", "airy")}
+    assert {(r.variable, r.mean_crps) for r in K.leader_mean_by(sk, ["horizon"]).collect()} == {("temperature", -1.0), ("oxygen", -1.0)}
+    assert {(r.variable, r.model_id) for r in K.of_models(sk, K.better_than_baseline(sk), "left_anti").collect()} == {("temperature", "airy"), ("oxygen", "warm")}
+    models = spark.createDataFrame([(m, m, "ML") for m in ("climatology", "persistenceRW", "warm", "airy")], "model_id string, manuscript_name string, model_type string")
+    board = {(r.variable, r.model_id) for r in K.leaderboard_with_baselines(sk, models).collect()}
+    assert board == {(v, m) for v, lead in (("temperature", "warm"), ("oxygen", "airy")) for m in (lead, "climatology", "persistenceRW")}
 
 
 def test_top_n_keeps_ties_and_drops_nulls(spark):
