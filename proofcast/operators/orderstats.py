@@ -40,15 +40,18 @@ def merged_counts(counts: DataFrame, keys: Sequence[str], value: str, weight: st
     )
 
 
-def bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def bin_offsets(counts: DataFrame, keys: Sequence[str], lowest: str | None = None) -> DataFrame:
     """Per group and bin: values before it, values in it, values in the group.
 
     The frame has one row per group and non-empty bin, so its windows run over
-    counts, never over data. The null bin comes last and is not part of _n.
+    counts, never over data, and share one shuffle. The null bin comes last and is
+    not part of _n. `lowest` names a column for the group's smallest value.
     """
-    sizes = counts.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_in_bin"))
+    sizes = counts.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_in_bin"), F.min("_x").alias("_low"))
     whole = Window.partitionBy(*keys)
+    extra = [F.min("_low").over(whole).alias(lowest)] if lowest else []
     return sizes.select(
+        *extra,
         *keys,
         "_bin",
         "_in_bin",

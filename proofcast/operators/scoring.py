@@ -114,15 +114,10 @@ def _placed(counts: DataFrame, targets: DataFrame, keys: Sequence[str]) -> tuple
     of the forecast, from which deviations are taken without cancelling.
     """
     cell = F.struct(*keys, "_bin")
-    low = counts.groupBy(*keys, "_bin").agg(F.min("_x").alias("_low")).select(cell.alias("_cell"), "_low")
-    lowest = F.min("_low").over(Window.partitionBy(*keys))
     bins = (
-        bin_offsets(counts, keys)
-        .withColumn("_cell", cell)
-        .join(low, "_cell")
-        .withColumn("_base", lowest)
+        bin_offsets(counts, keys, lowest="_base")
         .join(one_observation(targets, target_keys := present(counts, TARGET_KEYS)), target_keys, "left")
-        .select("_cell", "_offset", "_n", "_base", "observation")
+        .select(cell.alias("_cell"), "_offset", "_n", "_base", "observation")
     )
     order = Window.partitionBy("_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     values = counts.select(cell.alias("_cell"), "_x", "_w").join(bins, "_cell")
@@ -179,11 +174,13 @@ def score_counted(counts: DataFrame, targets: DataFrame, interval: float = 0.8,
         cells = sized.withColumn(
             "_bw", F.expr(f"CASE WHEN sd IS NOT NULL AND _nearest IS NOT NULL THEN nullif({BANDWIDTH}, 0.0D) END")
         )
-        widths = cells.select(F.struct(*keys).alias("_forecast"), "_bw", "_nearest").filter("_bw IS NOT NULL")
+        widths = cells.select(F.struct(*keys).alias("_forecast"), "_bw", "_nearest", "observation").filter("_bw IS NOT NULL")
         forecast = F.struct(*[F.col(f"_cell.{k}").alias(k) for k in keys])
         widths = bins.select("_cell", forecast.alias("_forecast")).join(widths, "_forecast").drop("_forecast")
+        # places don't matter here, so the counted values meet the widths as they are
         sums = (
-            values.join(widths, "_cell")
+            counts.select(F.struct(*keys, "_bin").alias("_cell"), "_x", "_w")
+            .join(widths, "_cell")
             .select(*own, "_x", "_w", "_bw", "_nearest", "observation")
             .groupBy(*keys)
             .agg(F.expr(f"{KERNELS} AS _kernels"))

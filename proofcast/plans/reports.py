@@ -343,14 +343,15 @@ def skill_by_class_site(spark, sf):
 
 @query
 def skill_boxplot(spark, sf):
-    means = K.by_class_and_site(skill_rows(spark, sf), B.models(spark, sf))
+    means = fixed(K.by_class_and_site(skill_rows(spark, sf), B.models(spark, sf)), "means")
     return rounded(K.box_summary(means, ["variable", "model_type", "site_id"], "mean_skill"))
 
 
 @query
 def crps_profile(spark, sf):
-    scores = B.scores(spark, sf).filter(F.col("crps").isNotNull())
-    best = R.top_n(K.mean_by(skill_rows(spark, sf), ["model_id"]), "mean_crps", BEST, "min", within=["variable"])
+    scores = fixed(B.scores(spark, sf), "scores")
+    best = R.top_n(K.mean_by(K.skill(scores), ["model_id"]), "mean_crps", BEST, "min", within=["variable"])
+    scores = scores.filter(F.col("crps").isNotNull())
     classes = B.models(spark, sf).select("model_id", "model_type").join(best.select("variable", "model_id"), "model_id")
     rows = scores.select("variable", "model_id", "site_id", "crps").join(classes, ["variable", "model_id"])
     probs = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -513,7 +514,7 @@ def driver_skill(spark, sf):
 @query
 def median_skill_by_model(spark, sf):
     rows = skill_rows(spark, sf, orientation="gain", skip=())
-    rows = rows.filter(F.col("model_id") != "fARIMA")
+    rows = fixed(rows.filter(F.col("model_id") != "fARIMA").select("variable", "model_id", "skill_crps"), "skill")
     medians = exact_quantiles(rows, ["variable", "model_id"], "skill_crps", {"median_crps": 0.5})
     return rounded(R.top_n(medians, "median_crps", BEST, "max", within=["variable"]))
 
