@@ -25,7 +25,7 @@ from proofcast.llm.common import cut
 from proofcast.session import fresh_folder
 
 PIECE = 1 << 16
-MANIFEST = "_files.json"
+MANIFEST = "_files"
 SCHEMA = "record_id string, record_type string, refers_to string, target_uri string, payload_bytes bigint, payload_digest string, payload binary"
 #: Fixed by the WARC 1.1 standard.
 VERSION = b"WARC/1.1"
@@ -153,9 +153,15 @@ class Archive(InputPartition):
     name: str
 
 
+def _manifests(store, folder: str) -> list[str]:
+    """Paths of the lists that commits have left, one for each."""
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith(MANIFEST))
+
+
 class WarcWriter(DataSourceWriter):
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, overwrite: bool = False):
+        self.uri, self.overwrite = uri, overwrite
 
     def write(self, rows: Iterator) -> Done:
         """A file of this attempt's own name, so attempts never meet."""
@@ -175,11 +181,25 @@ class WarcWriter(DataSourceWriter):
         store, folder = fs.FileSystem.from_uri(self.uri)
         store.create_dir(folder, recursive=True)
         names = sorted(m.name for m in messages if m is not None and m.name)
-        with store.open_output_stream(f"{folder}/{MANIFEST}", compression=None) as out:
+        before = _manifests(store, folder) if self.overwrite else []
+        # a list is written under another name first: readers see it whole or not at all
+        draft, path = f"{folder}/.{uuid4().hex}", f"{folder}/{MANIFEST}-{uuid4().hex}.json"
+        with store.open_output_stream(draft, compression=None) as out:
             out.write(json.dumps(names).encode())
+        store.move(draft, path)
+        for old in before:
+            with store.open_input_stream(old, compression=None) as listed:
+                gone = json.loads(listed.read())
+            store.delete_file(old)
+            for name in gone:
+                store.delete_file(f"{folder}/{name}")
 
     def abort(self, messages: list[Done]) -> None:
-        """Nothing to undo: without the manifest no file counts."""
+        """Files of tasks that ended go; those of lost tasks are in no list and never count."""
+        store, folder = fs.FileSystem.from_uri(self.uri)
+        for m in messages:
+            if m is not None and m.name:
+                store.delete_file(f"{folder}/{m.name}")
 
 
 class WarcReader(DataSourceReader):
@@ -188,8 +208,14 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Archive]:
         store, folder = fs.FileSystem.from_uri(self.uri)
-        with store.open_input_stream(f"{folder}/{MANIFEST}", compression=None) as listed:
-            return [Archive(name) for name in json.loads(listed.read())] or [Archive("")]
+        lists = _manifests(store, folder)
+        if not lists:
+            raise FileNotFoundError(f"{self.uri} holds no archive")
+        names = []
+        for path in lists:
+            with store.open_input_stream(path, compression=None) as listed:
+                names += json.loads(listed.read())
+        return [Archive(name) for name in names] or [Archive("")]
 
     def read(self, partition: Archive) -> Iterator[tuple]:
         if partition.name:
@@ -212,7 +238,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def captures(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url", least_bytes: int = 100) -> DataFrame:
@@ -246,9 +272,10 @@ def captures(pages: DataFrame, html: str = "html", page_id: str = "page_id", url
     )
 
 
-def write_warc(rows: DataFrame, path: str) -> None:
+def write_warc(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Add records to an archive folder, or replace what it holds (`overwrite`)."""
     rows.sparkSession.dataSource.register(WarcSource)
-    rows.write.format("warc").mode("append").save(path)
+    rows.write.format("warc").mode(mode).save(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofcast.llm import warc
 
@@ -88,3 +89,32 @@ def test_files_without_a_commit_do_not_count(spark, tmp_path):
     with open(os.path.join(folder, "part-lost.warc.gz"), "wb") as lost:
         lost.write(b"half a reco")
     assert warc.read_warc(spark, f"file://{folder}").count() == 1
+
+
+def row(n):
+    return (f"urn:page:{n}", "response", None, "u", 1, hashlib.sha256(b"a").hexdigest(), bytearray(b"a"))
+
+
+def ids(spark, uri):
+    return sorted(r["record_id"] for r in warc.read_warc(spark, uri).collect())
+
+
+def test_commits_add_up_and_overwriting_replaces(spark, tmp_path):
+    uri = f"file://{tmp_path}/archive"
+    frame = lambda *n: spark.createDataFrame([row(k) for k in n], warc.SCHEMA)
+    warc.write_warc(frame(1, 2), uri)
+    warc.write_warc(frame(3), uri)
+    assert ids(spark, uri) == ["urn:page:1", "urn:page:2", "urn:page:3"]
+    warc.write_warc(frame(4), uri, mode="overwrite")
+    assert ids(spark, uri) == ["urn:page:4"]
+    assert sum(n.endswith(".warc.gz") for n in os.listdir(tmp_path / "archive")) == 1
+
+
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
+    uri = f"file://{tmp_path}/archive"
+    warc.write_warc(spark.createDataFrame([row(1)], warc.SCHEMA), uri)
+    bad = spark.createDataFrame([row(k) for k in range(40)], warc.SCHEMA).repartition(4)
+    broken = bad.withColumn("payload_digest", F.when(F.col("record_id") == "urn:page:7", F.raise_error(F.lit("lost"))).otherwise(F.col("payload_digest")))
+    with pytest.raises(Exception, match="lost"):
+        warc.write_warc(broken, uri)
+    assert ids(spark, uri) == ["urn:page:1"]
