@@ -10,6 +10,7 @@ unless enough words in a row are the item's own.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,10 @@ UNITS = frozenset(
     "meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters dollar dollars cent cents euro euros percent degree degrees".split()
 )
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th|[a-z]{1,2})?")
+# Numbers in words; "one" is a pronoun too often to be one.
+SMALL = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+SPELT = frozenset([*SMALL, *TENS, "zero", "hundred", "thousand", "million", "billion", "dozen", *(f"{t}-{u}" for t in TENS for u in ("one", *SMALL[:8]))])
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 SLOTS = (NUMBER, NAME, UNIT)
@@ -49,7 +54,7 @@ def template(word: str) -> tuple[str, str]:
     if not core:
         return "", ""
     low = core.lower()
-    if _NUMBER.fullmatch(low):
+    if low in SPELT or _NUMBER.fullmatch(low):
         return NUMBER, low
     if low in UNITS:
         return UNIT, low
@@ -241,9 +246,10 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "
                 if y - x >= least:
                     out.append((id_, item, offset + own[x], y - x, of, True))
                     settled.add(offset)
-        for offset in sorted(parts):
-            near = [o for o in parts if offset <= o <= offset + SHIFT]
-            if len(near) < 2 or any(abs(offset - o) <= 2 * SHIFT for o in settled):
+        ordered = sorted(parts)
+        for k, offset in enumerate(ordered):
+            near = ordered[k : bisect_right(ordered, offset + SHIFT, k)]
+            if len(near) < 2 or any(offset + x in settled for x in range(-2 * SHIFT, 2 * SHIFT + 1)):
                 continue
             n, consistent, exact = _covered([parts[o] for o in near])
             if n >= least and consistent:

@@ -1,6 +1,7 @@
 """Decontamination: exact and re-parameterised items, and what must stay."""
 
 import random
+import time
 
 from proofcast.llm.decontaminate import NAME, NUMBER, UNIT, keep_clean, leaks, template
 
@@ -83,3 +84,17 @@ def test_empty_tables(docs_of, spark):
     assert leaks(docs_of([(1, QUESTION)]), none).count() == 0
     assert leaks(docs_of([]), items(spark)).count() == 0
     assert keep_clean(docs_of([(1, QUESTION)]), none).count() == 1
+
+
+def test_numbers_in_words_are_numbers(docs_of, spark):
+    assert [template(w)[0] for w in ("Forty", "nine,", "twenty-one", "one", "tense")] == [NUMBER, NUMBER, NUMBER, "one", "tense"]
+    spelt = OTHER.replace("40 km", "forty miles").replace("9 apples", "nine apples")
+    row = leaks(docs_of([(1, f"{filler(20)} {spelt} {filler(20)}")]), items(spark)).first()
+    assert row["item_id"] == 1 and not row["exact"] and row["n_words"] == row["item_words"]
+
+
+def test_a_phrase_repeated_very_often_is_walked_once(docs_of, spark):
+    phrase = " ".join(QUESTION.split()[2:11])
+    started = time.monotonic()
+    found = leaks(docs_of([(1, " x ".join([phrase] * 20_000)), (2, f"{phrase} {QUESTION}")]), items(spark)).collect()
+    assert {r["doc_id"] for r in found} == {2} and time.monotonic() - started < 60
