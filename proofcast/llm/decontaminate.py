@@ -71,17 +71,27 @@ class Templates:
     """Codes of words, remembered for the task."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.known: dict[str, int] = {}
+        self.table = np.empty((1 << 12, 3), np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        at = len(self.known)
+        if at + len(words) > len(self.table):
+            wider = np.empty((2 * (at + len(words)), 3), np.int64)
+            wider[:at] = self.table[:at]
+            self.table = wider
+        for n, word in enumerate(words, at):
+            form, value = template(word)
+            self.table[n] = _code(form), _code(value), -1 if not form else int(form not in SLOTS)
+            self.known[word] = n
 
     def of(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Words that count, the codes of each one's template and of itself, and whether it is a literal."""
         words = (text or "").split()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        for word in set(words).difference(self.known):
-            form, value = template(word)
-            self.known[word] = (_code(form), _code(value), -1 if not form else int(form not in SLOTS))
-        all_ = np.array([self.known[w] for w in words], np.int64).reshape(-1, 3)
+        self._learn(list(set(words).difference(self.known)))
+        all_ = self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
         real = all_[:, 2] >= 0
         if not real.all():
             words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
