@@ -50,11 +50,12 @@ SLOTS = (NUMBER, NAME, UNIT)
 
 def template(word: str) -> tuple[str, str]:
     """The placeholder, or the word in lower case, and the word's value; empty for bare marks."""
-    core = _EDGE.sub("", word)
+    letters = word.isalpha()
+    core = word if letters else _EDGE.sub("", word)
     if not core:
         return "", ""
     low = core.lower()
-    if low in SPELT or _NUMBER.fullmatch(low):
+    if low in SPELT or not letters and _NUMBER.fullmatch(low):
         return NUMBER, low
     if low in UNITS:
         return UNIT, low
@@ -82,7 +83,8 @@ class Templates:
             self.table = wider
         for n, word in enumerate(words, at):
             form, value = template(word)
-            self.table[n] = _code(form), _code(value), -1 if not form else int(form not in SLOTS)
+            own = _code(value)
+            self.table[n] = own if form == value else _code(form), own, -1 if not form else int(form not in SLOTS)
             self.known[word] = n
 
     def of(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
