@@ -30,6 +30,95 @@ ROWS = 8192
 NONE = 1 << 62
 
 
+# The Unicode versions that the published vocabulary is used with.
+# Letters and numbers are those of Unicode 16; these it has beyond Unicode 15.1.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+    (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+    (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+    (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+    (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+)
+# Lower case is that of Unicode 17; these it has beyond Unicode 15.1: first, last, first of the lower ones.
+LOWER_17 = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B),
+    (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+# Composed forms are those of Unicode 9; these later marks neither move nor compose.
+LATER_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C),
+    (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27),
+    (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070),
+    (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E),
+    (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99),
+    (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1),
+    (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+
+
+class Letters:
+    """Letters, numbers, lower case and composed forms of fixed Unicode versions.
+
+    The Python modules follow versions of their own. `odd` marks the code points
+    for which they would act otherwise; texts without such go to them as they are.
+    """
+
+    #: One of each class, for the expression that finds words.
+    STAND_INS = {"L": "\u014b", "N": "\u00b2", "": "!"}
+
+    def __init__(self):
+        everything = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        kind = {c: k for c in everything if (k := unicodedata.category(c)[0]) in "LN"}
+        for ranges, name in ((LETTERS_16, "L"), (NUMBERS_16, "N")):
+            kind.update((chr(c), name) for a, b in ranges for c in range(a, b + 1))
+        whole = "".join(everything)
+        seen = dict.fromkeys(regex.findall(r"\p{L}", whole), "L") | dict.fromkeys(regex.findall(r"\p{N}", whole), "N")
+        differ = (c for c in seen.keys() | kind.keys() if seen.get(c) != kind.get(c))
+        #: Code points that the expression takes for another class: one it takes for theirs.
+        self.stand_in = {ord(c): self.STAND_INS[kind.get(c, "")] for c in differ}
+        self.lower = {a + i: low + i for a, b, low in LOWER_17 for i in range(b - a + 1)}
+        marks = {c for a, b in LATER_MARKS for c in range(a, b + 1)}
+        self.later = regex.compile("([" + "".join(map(chr, sorted(marks))) + "])")
+        self.odd = np.zeros(0x110000, bool)
+        self.odd[[*self.stand_in, *self.lower, *marks]] = True
+
+    def plain(self, text: str) -> bool:
+        """Whether the Python modules treat each code point of a text as wanted."""
+        return text.isascii() or not self.odd[np.frombuffer(text.encode("utf-32-le"), "<u4")].any()
+
+    def normalise(self, text: str) -> str:
+        """`normalise` for any text."""
+        parts = self.later.split(text)
+        parts[::2] = [normalise(part) for part in parts[::2]]
+        return "".join(parts).translate(self.lower)
+
+    def words(self, pattern: regex.Pattern, text: str) -> list[str]:
+        """`pattern.findall(text)` by the fixed classes."""
+        return [text[m.start() : m.end()] for m in pattern.finditer(text.translate(self.stand_in))]
+
+
+def normalise(text: str) -> str:
+    """Composed form, letters in lower case one by one.
+
+    The file also turns blanks into one space; words never hold a blank, so
+    that step changes nothing and is left out.
+    """
+    text = unicodedata.normalize("NFC", text)
+    # a whole text's lower() would give the last sigma of a word its own form
+    return text.lower() if "Σ" not in text else "σ".join(part.lower() for part in text.split("Σ"))
+
+
+@lru_cache(maxsize=1)
+def letters() -> Letters:
+    """One copy for each Python worker."""
+    return Letters()
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in vocabularies of this kind."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -182,12 +271,13 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens: dict[int, str] = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.letters = letters()
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        letters = byte_letters()
-        self.inner = [self.vocab.get(letters[b], -1) for b in range(256)]
-        self.last = [self.vocab.get(letters[b] + self.end, -1) for b in range(256)]
+        printed = byte_letters()
+        self.inner = [self.vocab.get(printed[b], -1) for b in range(256)]
+        self.last = [self.vocab.get(printed[b] + self.end, -1) for b in range(256)]
         self.known: dict[str, bytes] = {}
 
     def start(self, word: str) -> list[int]:
@@ -223,27 +313,22 @@ class WordBPE:
                     self.known[word] = ids[begin:end]
                     begin = end
 
-    @staticmethod
-    def normalise(text: str) -> str:
-        """Composed form, letters in lower case one by one.
-
-        The file also turns blanks into one space; words never hold a blank, so
-        that step changes nothing and is left out.
-        """
-        text = unicodedata.normalize("NFC", text)
-        # a whole text's lower() would give the last sigma of a word its own form
-        return text.lower() if "Σ" not in text else "σ".join(part.lower() for part in text.split("Σ"))
+    def parts(self, text: str) -> list[str]:
+        """Words in lower case of a text without special tokens."""
+        if self.letters.plain(text):
+            return self.pattern.findall(normalise(text))
+        return self.letters.words(self.pattern, self.letters.normalise(text))
 
     def split(self, text: str) -> list[str]:
         """Words in lower case; special tokens keep their own form."""
         if not self.marks:
-            return self.words(self.normalise(text))
+            return self.parts(text)
         words: list[str] = []
         for k, part in enumerate(self.marks.split(text)):
             if k % 2:
                 words.append(part)
             else:
-                words += self.words(self.normalise(part))
+                words += self.parts(part)
         return words
 
     def packed_many(self, texts: Iterable[str]) -> Iterator[bytes]:

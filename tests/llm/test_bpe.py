@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from proofcast.llm.bpe import PairTable, WordBPE, decoded, encoded, merge, merge_many, round_trip
+from proofcast.llm.bpe import LATER_MARKS, LETTERS_16, LOWER_17, NUMBERS_16, PairTable, WordBPE, byte_letters, decoded, encoded, merge, merge_many, round_trip
 from proofcast.llm.queries import tokenizer_path
 
 np = pytest.importorskip("numpy")
@@ -64,6 +64,27 @@ def test_same_ids_and_text_as_the_library(library):
         assert bpe.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+CODE_POINTS = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+@pytest.mark.parametrize("form", ["{}", "a{}b", "a\u0315{}\u0334", "{}\u0307 1{}2!{}?"])
+def test_every_code_point_as_the_library_splits_it(library, form):
+    bpe, printed = WordBPE(tokenizer_path()), byte_letters()
+    for at in range(0, len(CODE_POINTS), 1024):
+        text = " ".join(form.replace("{}", chr(c)) for c in CODE_POINTS[at : at + 1024])
+        want = [word for word, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+        assert ["".join(printed[b] for b in word.encode()) for word in bpe.split(text)] == want
+
+
+def test_ids_of_code_points_that_modules_know_differently(library):
+    bpe = WordBPE(tokenizer_path())
+    ranges = [(r[0], r[1]) for r in (*LETTERS_16, *NUMBERS_16, *LOWER_17, *LATER_MARKS)]
+    texts = [f"x{chr(a)} {chr(b)}y {chr(a)}\u0301{chr(b)}\u0323 It{chr(a)}'s" for a, b in ranges]
+    texts += ["\U00011935\U00011930 \U00011938\u0301", "\u0558a \U0003fc16b"]
+    for text in texts:
+        assert bpe.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_columns(docs_of, library):
     path = tokenizer_path()
     df = docs_of(list(enumerate(TEXTS))).withColumn("ids", encoded(F.col("text"), path))
