@@ -5,10 +5,15 @@ single one. Windows of the resulting templates, and windows of the words
 themselves in lower case, are hash-joined with those of the items. The values in
 the slots of what lines up must then map consistently from item to document,
 unless enough words in a row are the item's own.
+
+Items that differ only in such values are one class: windows that they share are
+joined once, for the smallest item, and others only where a document has the
+values of that item.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -118,7 +123,8 @@ def windows(codes: np.ndarray, literal: np.ndarray | None, size: int) -> tuple[n
 
 
 #: `size` is negative for windows of words, which have words for forms and forms for values; `places` has the first word of each part of a window, and the word behind it.
-WINDOWS = "id bigint, hash bigint, size int, words int, forms array<string>, slot_values array<string>, places array<int>"
+#: `common` says that all items of a class have the window.
+WINDOWS = "id bigint, hash bigint, size int, words int, forms array<string>, slot_values array<string>, places array<int>, common boolean"
 
 
 def _emit(ids: pd.Series, texts: pd.Series, sizes: list[int] | None, allowed: np.ndarray | None, memory: Templates) -> pd.DataFrame:
@@ -145,11 +151,45 @@ def _emit(ids: pd.Series, texts: pd.Series, sizes: list[int] | None, allowed: np
                     values = [" ".join(values[x - places[0] : y - places[0]]) for x, y in zip(places, places[1:], strict=False)]
                 else:
                     forms, values = values, [f for f, _ in pairs]
-                for k, v in zip(out, (id_, h, size, len(words), forms, values, places), strict=True):
+                common = size > 0 or not any(f in SLOTS for f in values)
+                for k, v in zip(out, (id_, h, size, len(words), forms, values, places, common), strict=True):
                     out[k].append(v)
     return pd.DataFrame(out)
 
 
+def _class_keys(text: str | None) -> tuple[str, str]:
+    """Digests of an item's templates, each value by the place where its slot type first has it, and of its words."""
+    forms: list[str] = []
+    values: list[str] = []
+    first: dict[tuple[str, str], int] = {}
+    for form, value in map(template, (text or "").split()):
+        if form:
+            forms.append(f"{form}{first.setdefault((form, value), len(first))}" if form in SLOTS else form)
+            values.append(value)
+    shape, own = (hashlib.md5(" ".join(x).encode("utf-8", "surrogatepass")).hexdigest() for x in (forms, values))
+    return shape, own
+
+
+def item_classes(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """item_id, class_id (smallest item_id of the class), same_as (smallest item_id with the same words).
+
+    Items are one class if they differ only in numbers, names and units, and the
+    same value comes back at the same places. Rows without an id are left out; of
+    rows that repeat an id with other texts each counts. Null texts are empty ones.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = [_class_keys(t) for t in b["text"].tolist()]
+            yield pd.DataFrame({"item_id": b["item_id"], "shape": [k for k, _ in keys], "own": [k for _, k in keys]})
+
+    rows = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{text}`").alias("text"))
+    keyed = cut(rows.where("item_id is not null").distinct().mapInPandas(run, "item_id bigint, shape string, own string"), "item-classes")
+    same = keyed.groupBy("shape", "own").agg(F.min("item_id").alias("same_as"))
+    classes = same.groupBy("shape").agg(F.min("same_as").alias("class_id"))
+    return keyed.join(same, ["shape", "own"]).join(classes, "shape").select("item_id", "class_id", "same_as").distinct()
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory = Templates()
@@ -217,15 +257,45 @@ def _covered(parts: list[dict[int, tuple[int, int, tuple | None]]]) -> tuple[int
     return len(covered), all(len(v) == 1 for v in values.values()), all(v == {value} for (_, value), v in values.items())
 
 
+def _copies(id_: int, item: int, of: int, rows: pd.DataFrame) -> list[tuple]:
+    """Rows of `leaks` for one document and item."""
+    least, parts = min(LEAST_WORDS, of), _lined(rows)
+    out, settled = [], set()
+    for offset, part in sorted(parts.items()):
+        n, consistent, exact = _covered([part])
+        if n >= least and consistent:
+            out.append((id_, item, offset + min(part), n, of, exact))
+            settled.add(offset)
+            continue
+        own = sorted({i + k for i, (size, _, slot) in part.items() if slot is None or slot[1] == slot[2] for k in range(size)})
+        cuts = [0, *(k for k in range(1, len(own)) if own[k] != own[k - 1] + 1), len(own)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y - x >= least:
+                out.append((id_, item, offset + own[x], y - x, of, True))
+                settled.add(offset)
+    ordered = sorted(parts)
+    for k, offset in enumerate(ordered):
+        near = ordered[k : bisect_right(ordered, offset + SHIFT, k)]
+        if len(near) < 2 or any(offset + x in settled for x in range(-2 * SHIFT, 2 * SHIFT + 1)):
+            continue
+        n, consistent, exact = _covered([parts[o] for o in near])
+        if n >= least and consistent:
+            out.append((id_, item, min(o + min(parts[o]) for o in near), n, of, exact))
+            settled.update(near)
+    return out
+
+
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """Aligned copies: doc_id, item_id, start (word of the document), n_words, item_words, exact.
 
-    One row for each item and place where at least 13 of the item's words, or all
+    One row for each class of items (`item_classes`) and place where at least 13 of the item's words, or all
     of a shorter one, line up with a document and slot values map consistently: a
     value of the item always to one value of the document. Where they do not, so
     many words in a row that are the item's own make a row, whatever stands beside
     them. Parts of an item that are up to SHIFT words further or less far apart
-    count together. `exact` says that all values are the item's own. Items of
+    count together. `exact` says that all values are the item's own; a row that
+    isn't exact names the smallest item of the class, and of items with the same
+    words only the smallest is named. Items of
     placeholders only match word for word; null and empty texts and rows without
     an id match nothing; repeated rows repeat nothing; empty tables give no rows.
 
@@ -234,48 +304,41 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "
     at one offset are at most twice as many as the item has words.
     """
     entries = items.select(F.col(f"`{item_id}`").cast("bigint").alias("id"), F.col(f"`{item_text}`").alias("text")).where("id is not null")
-    found = cut(item_windows(entries.distinct()), "item-windows")
+    classes = item_classes(items, item_text, item_id)
+    leads = classes.where("item_id = same_as").select(F.col("item_id").alias("id"), "class_id")
+    windowed = item_windows(entries.distinct()).join(leads, "id").where("id = class_id or not common")
+    found = cut(windowed, "item-windows")
     sizes = sorted(r["size"] for r in found.select("size").distinct().collect())
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
     seen = document_windows(rows, sizes, _filter(found))
-    ours = found.select("hash", "size", F.col("id").alias("item_id"), F.col("words").alias("item_words"), F.col("forms").alias("item_forms"), F.col("slot_values").alias("item_values"), F.col("places").alias("item_places"))
-    same = seen.join(ours, ["hash", "size"]).where("forms = item_forms")
-    lined = same.select("id", "item_id", "item_words", "size", "item_forms", "item_values", "slot_values", "item_places", "places")
+    ours = found.select("hash", "size", "class_id", "common", F.col("id").alias("item_id"), F.col("words").alias("item_words"), F.col("forms").alias("item_forms"), F.col("slot_values").alias("item_values"), F.col("places").alias("item_places"))
+    same = seen.drop("common").join(ours, ["hash", "size"]).where("forms = item_forms")
+    lined = same.select("id", "class_id", "item_id", "common", "item_words", "size", "item_forms", "item_values", "slot_values", "item_places", "places")
 
     def use(rows: pd.DataFrame) -> list[tuple]:
-        id_, item, of = (int(rows[c].iloc[0]) for c in ("id", "item_id", "item_words"))
-        least, parts = min(LEAST_WORDS, of), _lined(rows)
-        out, settled = [], set()
-        for offset, part in sorted(parts.items()):
-            n, consistent, exact = _covered([part])
-            if n >= least and consistent:
-                out.append((id_, item, offset + min(part), n, of, exact))
-                settled.add(offset)
-                continue
-            own = sorted({i + k for i, (size, _, slot) in part.items() if slot is None or slot[1] == slot[2] for k in range(size)})
-            cuts = [0, *(k for k in range(1, len(own)) if own[k] != own[k - 1] + 1), len(own)]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if y - x >= least:
-                    out.append((id_, item, offset + own[x], y - x, of, True))
-                    settled.add(offset)
-        ordered = sorted(parts)
-        for k, offset in enumerate(ordered):
-            near = ordered[k : bisect_right(ordered, offset + SHIFT, k)]
-            if len(near) < 2 or any(offset + x in settled for x in range(-2 * SHIFT, 2 * SHIFT + 1)):
-                continue
-            n, consistent, exact = _covered([parts[o] for o in near])
-            if n >= least and consistent:
-                out.append((id_, item, min(o + min(parts[o]) for o in near), n, of, exact))
-                settled.update(near)
-        return out
+        id_, lead, of = (int(rows[c].iloc[0]) for c in ("id", "class_id", "item_words"))
+        out = _copies(id_, lead, of, rows[rows["item_id"] == lead])
+        others = sorted(set(rows["item_id"].tolist()) - {lead})
+        if not others:
+            return out
+        common = rows[(rows["item_id"] == lead) & rows["common"]].copy()
+        # the values in these are another item's: no word of a document is taken for them
+        common["item_values"] = [[f"\0{v}" for v in x] if size > 0 else x for x, size in zip(common["item_values"], common["size"], strict=True)]
+        known = {row[2:] for row in out}
+        named = []
+        for item in others:
+            found = _copies(id_, item, of, pd.concat([common, rows[rows["item_id"] == item]]))
+            named += [row for row in found if row[5] and row[2:] not in known]
+        starts = {row[2] for row in named}
+        return [row for row in out if row[5] or row[2] not in starts] + named
 
     columns = ["doc_id", "item_id", "start", "n_words", "item_words", "exact"]
     schema = "doc_id bigint, item_id bigint, start int, n_words int, item_words int, exact boolean"
-    keys = ["id", "item_id", "item_words"]
+    keys = ["id", "class_id", "item_words"]
     return lined.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_groups(keys, use, columns), schema)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents without a leak, with all their columns; rows without an id stay."""
     found = leaks(docs, items, text, doc_id).select(F.col("doc_id").alias("__leaky")).distinct()
-    return docs.join(found, docs[doc_id].cast("bigint") == found["__leaky"], "left_anti")
+    return docs.join(found, F.col(f"`{doc_id}`").cast("bigint") == F.col("__leaky"), "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proofcast.llm.bpe import round_trip
 from proofcast.llm.common import held_out, table
-from proofcast.llm.decontaminate import leaks
+from proofcast.llm.decontaminate import item_classes, leaks
 from proofcast.llm.embedding_dedup import embedding_classes
 from proofcast.llm.exact_dedup import exact_dedup
 from proofcast.llm.langid import fit_languages, predict
@@ -69,8 +69,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, with the item and the words that line up."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item, with the item, its class and the words that line up."""
+    items = table(spark, sf_dir, "benchmark")
+    found = leaks(table(spark, sf_dir, "documents"), items)
+    return found.join(item_classes(items).select("item_id", "class_id").distinct(), "item_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 import time
 
-from proofcast.llm.decontaminate import NAME, NUMBER, UNIT, keep_clean, leaks, template
+from proofcast.llm.decontaminate import NAME, NUMBER, UNIT, item_classes, keep_clean, leaks, template
 
 QUESTION = "Alice walks 12 miles to the market and buys 5 apples for 3 dollars each, then Bob walks 12 miles back home with half of them."
 OTHER = "Maria walks 40 km to the market and buys 9 apples for 7 euros each, then Peter walks 40 km back home with half of them."
@@ -98,3 +98,19 @@ def test_a_phrase_repeated_very_often_is_walked_once(docs_of, spark):
     started = time.monotonic()
     found = leaks(docs_of([(1, " x ".join([phrase] * 20_000)), (2, f"{phrase} {QUESTION}")]), items(spark)).collect()
     assert {r["doc_id"] for r in found} == {2} and time.monotonic() - started < 60
+
+
+def test_items_of_one_template_are_one_class(docs_of, spark):
+    text = "A farmer has {} red apples in a large basket and gives {} of them to the children at the school gate today"
+    entries = spark.createDataFrame([(k, text.format(100 + k, 300 + k)) for k in range(60)] + [(90, text.format(7, 7)), (91, text.format(105, 305))], "item_id bigint, text string")
+    classes = {r["item_id"]: (r["class_id"], r["same_as"]) for r in item_classes(entries).collect()}
+    assert classes == {k: (0, k) for k in range(60)} | {90: (90, 90), 91: (0, 5)}
+    docs = [(k, f"{filler(9)} {text.format(500 + k, 700 + k)} {filler(9)}") for k in range(50)]
+    docs += [(50, f"{filler(9)} {text.format(107, 307)}"), (51, text.format(8, 8)), (52, text.format(107, 308)), (53, text.format(100, 300))]
+    got = sorted((r["doc_id"], r["item_id"], r["exact"]) for r in leaks(docs_of(docs), entries).collect())
+    want = [(k, 0, False) for k in range(50)] + [(50, 7, True), (51, 0, False), (51, 90, False), (53, 0, True)]
+    assert [g for g in got if g[0] != 52] == want
+    # values of two items: a copy of the class, and word for word of the one that holds more of it
+    assert {(0, False)} <= {g[1:] for g in got if g[0] == 52} or (52, 8, True) in got
+    dotted = docs_of(docs).withColumnRenamed("doc_id", "doc.id")
+    assert keep_clean(dotted, entries, doc_id="doc.id").count() == 0
