@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofcast.functions import columns as C
+from proofcast.functions.families import FAMILIES, PARAMETERS, by_family
 from proofcast.functions.frames import join_null_safe, present
-from proofcast.operators.scoring import normal_parameters, normalise_family
+from proofcast.operators.scoring import named_parameters, normalise_family
 from proofcast.operators.validation import validation_report
 from proofcast.sources import schemas
 from proofcast.sources.published import commit, read_published, state
@@ -46,6 +47,14 @@ def relevant(
     return rows.filter(C.not_one_of("model_id", left_out)) if left_out else rows
 
 
+def _unknown_parameter():
+    """Whether a row of a registered family holds a parameter that the family doesn't have."""
+    out = F.lit(False)
+    for name, kind in FAMILIES.items():
+        out = out | ((F.col("family") == name) & ~F.col("parameter").cast("string").isin(list(kind.parameters)))
+    return F.coalesce(out, F.lit(False))
+
+
 def submissions(rows: DataFrame, h: int) -> DataFrame:
     """Usable submissions: a model, issue date, variable and site without gaps.
 
@@ -53,16 +62,18 @@ def submissions(rows: DataFrame, h: int) -> DataFrame:
     time; what is left must reach into the horizon. Families that give no members
     do not count.
     """
+    # rows without names of parameters are all members
+    stray = _unknown_parameter() if "parameter" in rows.columns else F.lit(False)
     return (
-        rows.filter(F.col("family").isin("sample", "normal"))
+        rows.filter(F.col("family").isin("sample", "normal", *FAMILIES))
         .groupBy(*SUBMISSION)
         .agg(
-            F.max(F.col("prediction").isNull()).alias("_gap"),
+            F.max(F.col("prediction").isNull() | stray).alias("_gap"),
             F.max(C.lead_days() <= h).alias("_in_reach"),
-            F.max(F.col("family") == "normal").alias("_normal"),
+            F.max(F.col("family") != "sample").alias("_drawn"),
         )
         .filter(~F.col("_gap") & F.col("_in_reach"))
-        .select(*SUBMISSION, "_normal")
+        .select(*SUBMISSION, "_drawn")
     )
 
 
@@ -82,24 +93,35 @@ def load_forecast(
     )
 
 
-def _draw(seed: int, parameter: str = "parameter"):
-    return C.standard_normal(
-        C.draw_key(seed, *[F.col(k) for k in (*SUBMISSION, "datetime")], F.col(parameter))
-    )
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Parameters of forecasts that are given by parameters, a column for each name."""
+    given = rows.filter(F.col("family").isin("normal", *FAMILIES))
+    return named_parameters(given, [*SUBMISSION, "datetime", "family"], ("mu", "sigma", *PARAMETERS))
+
+
+def _drawn_value(seed: int):
+    """The value of draw `parameter` of a forecast's family."""
+    key = C.draw_key(seed, *[F.col(k) for k in (*SUBMISSION, "datetime")], F.col("parameter"))
+    normal = F.col("mu") + F.col("sigma") * C.standard_normal(key)
+    return F.when(F.col("family") == "normal", normal).otherwise(by_family(lambda f, a, b: f.draw(a, b, key)))
 
 
 def normal_to_ensemble(forecasts: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """Normal forecasts as ensembles of reproducible draws; others unchanged."""
+    """Forecasts given by parameters as ensembles of reproducible draws; others unchanged.
+
+    Normal forecasts and those of a registered family are drawn from; ensembles
+    and families that nothing is known of keep their rows.
+    """
     rows = normalise_family(forecasts)
     names = [*SUBMISSION, "datetime", "family", "parameter", "prediction"]
     drawn = (
-        normal_parameters(rows.filter(F.col("family") == "normal"), [*SUBMISSION, "datetime"])
+        _drawn(rows)
         .withColumn("parameter", F.explode(F.sequence(F.lit(1), F.lit(draws))))
         .withColumn("parameter", F.col("parameter").cast("string"))
-        .withColumn("prediction", F.col("mu") + F.col("sigma") * _draw(seed))
+        .withColumn("prediction", _drawn_value(seed))
         .withColumn("family", F.lit("ensemble"))
     )
-    kept = rows.filter(F.col("family") == "sample").withColumn("parameter", F.col("parameter").cast("string"))
+    kept = rows.filter(C.not_one_of("family", ("normal", *FAMILIES))).withColumn("parameter", F.col("parameter").cast("string"))
     return kept.select(*names).unionByName(drawn.select(*names))
 
 
@@ -131,20 +153,17 @@ def _sampled_members(rows: DataFrame, quota: DataFrame, n: int, seed: int) -> Da
 
 
 def _sampled_draws(rows: DataFrame, quota: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Draws from normal submissions: the names first, then their values per date."""
+    """Draws from submissions given by parameters: the names first, then their values per date."""
     by_digest = Window.partitionBy(*SUBMISSION).orderBy("_digest", "parameter")
     names = (
-        quota.filter("_normal")
+        quota.filter("_drawn")
         .withColumn("parameter", F.explode(F.sequence(F.lit(1), F.lit(draws))))
         .withColumn("parameter", F.col("parameter").cast("string"))
         .withColumn("_digest", _digest(seed))
         .withColumn("_place", F.row_number().over(by_digest))
         .filter(F.col("_place") <= F.col("sample"))
     )
-    normal = normal_parameters(rows.filter(F.col("family") == "normal"), [*SUBMISSION, "datetime"])
-    return join_null_safe(normal, names, SUBMISSION).withColumn(
-        "prediction", F.col("mu") + F.col("sigma") * _draw(seed)
-    )
+    return join_null_safe(_drawn(rows), names, SUBMISSION).withColumn("prediction", _drawn_value(seed))
 
 
 def sample_members(
@@ -153,7 +172,7 @@ def sample_members(
     """Take each model's quota of members without replacement, all dates of each.
 
     Members are ordered by a digest of their name, a reproducible shuffle. A
-    submission is either an ensemble or normal.
+    submission is either an ensemble or given by parameters.
     """
     usable = submissions(rows, h)
     quota = join_null_safe(usable, quotas(usable, n), SITE)

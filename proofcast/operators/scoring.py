@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofcast.functions import columns as C
+from proofcast.functions.families import PARAMETERS, by_family
 from proofcast.functions.frames import bind_rows, present
 from proofcast.operators.orderstats import between_picks, bin_offsets, distinct_counts, interpolate, pick, quantile_picks
 
 CELL = ("model_id", "reference_datetime", "site_id", "datetime", "family", "variable")
-#: Families with a score; forecasts of others keep a row without one.
+#: Families with a way of their own; the others meet in `score_others`.
 SCORED = ("sample", "normal")
 TARGET_KEYS = ("site_id", "datetime", "variable")
 
@@ -91,8 +92,13 @@ def normal_parameters(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     A parameter that is given twice with different values is null, so such a
     forecast has no score.
     """
+    return named_parameters(forecasts, keys, ("mu", "sigma"))
+
+
+def named_parameters(forecasts: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Long rows of some parameters as a column for each, one row per forecast; null where rows disagree."""
     return forecasts.groupBy(*keys).agg(
-        *[_agreed(F.when(F.col("parameter") == n, F.col("prediction")), n) for n in ("mu", "sigma")]
+        *[_agreed(F.when(F.col("parameter").cast("string") == n, F.col("prediction")), n) for n in names]
     )
 
 
@@ -250,16 +256,34 @@ def score(
     if families is None or "normal" in families:
         parts.append(score_normals(forecasts.filter(F.col("family") == "normal"), targets, interval))
     if families is None:
-        parts.append(unscored(forecasts, targets))
+        parts.append(score_others(forecasts, targets, interval))
+    elif others := [f for f in families if f not in SCORED]:
+        parts.append(score_others(forecasts.filter(F.col("family").isin(others)), targets, interval))
     return bind_rows(*parts)
 
 
-def unscored(forecasts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Forecasts of families without a score, beside their observation."""
+def score_others(forecasts: DataFrame, targets: DataFrame, interval: float = 0.8) -> DataFrame:
+    """Forecasts that are neither ensembles nor normal, one row for each.
+
+    Those of a registered family (`functions.families`) are scored by its closed
+    forms. Others, and those whose parameters are missing, disagree or make no
+    distribution, keep a row beside their observation, without scores. All meet
+    in one aggregate.
+    """
     other = forecasts.filter(C.not_one_of("family", SCORED))
-    target_keys = present(forecasts, TARGET_KEYS)
-    named = other.select(*present(forecasts, CELL)).distinct()
-    return named.join(one_observation(targets, target_keys), target_keys, "left")
+    keys, target_keys = present(forecasts, CELL), present(forecasts, TARGET_KEYS)
+    observed = named_parameters(other, keys, PARAMETERS).join(one_observation(targets, target_keys), target_keys, "left")
+    y = F.col("observation")
+    quantiles = [by_family(lambda f, a, b, p=p: f.quantile(a, b, p)).alias(n) for n, p in _probabilities(interval).items()]
+    return observed.select(
+        *keys,
+        "observation",
+        by_family(lambda f, a, b: f.crps(y, a, b)).alias("crps"),
+        by_family(lambda f, a, b: f.logs(y, a, b)).alias("logs"),
+        by_family(lambda f, a, b: f.mean(a, b)).alias("mean"),
+        by_family(lambda f, a, b: f.sd(a, b)).alias("sd"),
+        *quantiles,
+    )
 
 
 def rescored_layout(scores: DataFrame) -> DataFrame:
