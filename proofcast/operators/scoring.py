@@ -2,9 +2,11 @@
 
 A forecast is one model, issue date, site, valid date and variable. Each value
 gets its place among the members; every figure is then a sum or a pick over
-(value, place). Places come from ordered bins of counted values, one way for
-forecasts of any size: no task sorts more than one bin of one forecast. The
-observation joins the bins, not the members.
+(value, place). Members are dealt by their target, once: places, observation and
+sums meet where the members are, and what compares models needs no further
+shuffle. Targets of more members than a task should sort get their places from
+ordered bins of counted values instead: no task sorts more than one bin of one
+forecast, and the observation joins the bins.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from proofcast.functions import columns as C
 from proofcast.functions.families import PARAMETERS, by_family
 from proofcast.functions.frames import bind_rows, present
-from proofcast.operators.orderstats import between_picks, bin_offsets, distinct_counts, interpolate, pick, quantile_picks
+from proofcast.operators.orderstats import between_picks, bin_offsets, interpolate, merged_counts, pick, quantile_picks
 
 CELL = ("model_id", "reference_datetime", "site_id", "datetime", "family", "variable")
 #: Families with a way of their own; the others meet in `score_others`.
@@ -28,6 +30,9 @@ TARGET_KEYS = ("site_id", "datetime", "variable")
 SUMMARY = ("mean", "median", "sd", "quantile97.5", "quantile02.5", "quantile90", "quantile10")
 SCORES = ("crps", "logs")
 
+#: Members of one target that a task sorts together, and the groups of targets
+#: they are counted by; a group with more is scored by bins.
+GATHERED, GROUPS = 1_000_000, 1 << 16
 
 QUARTILES = {"_q25": 0.25, "_q75": 0.75}
 
@@ -42,6 +47,22 @@ KERNELS = (
 LOGS = f"ln(m * _bw / _kernels) + 0.5D * (_nearest / _bw) * (_nearest / _bw) + {0.5 * math.log(2.0 * math.pi)}D"
 
 
+# Sums over the members of a forecast, from its smallest value, and what follows from them.
+SUM_1 = "sum(_w * (_x - _base))"
+SUM_2 = "sum(_w * (_x - _base) * (_x - _base))"
+NEAREST = "min(abs(_x - observation))"
+
+
+def deviation(s1: str, s2: str, n: str) -> str:
+    """SQL: standard deviation from two sums."""
+    return f"CASE WHEN {n} > 1 THEN sqrt(greatest(0.0D, ({s2} - {s1} * {s1} / {n}) / ({n} - 1))) END"
+
+
+def width(sd: str, nearest: str) -> str:
+    """SQL: bandwidth of a forecast's kernels; null where members don't spread or nothing is observed."""
+    return f"CASE WHEN {sd} IS NOT NULL AND {nearest} IS NOT NULL THEN nullif({BANDWIDTH}, 0.0D) END"
+
+
 def _probabilities(interval: float) -> dict[str, float]:
     tail = round((1.0 - interval) / 2.0, 12)
     return {
@@ -139,25 +160,68 @@ def score_samples(
 ) -> DataFrame:
     """Summaries and scores of ensemble forecasts, one row for each forecast."""
     keys = present(forecasts, CELL)
-    return score_counted(distinct_counts(forecasts, keys, "prediction"), targets, interval, logs)
+    members = forecasts.select(*keys, F.col("prediction").alias("_x"), F.lit(1).cast("bigint").alias("_w"))
+    return score_members(members, targets, interval, logs)
 
 
-def score_counted(counts: DataFrame, targets: DataFrame, interval: float = 0.8, logs: bool = True) -> DataFrame:
-    """Summaries and scores of ensemble forecasts given as counted values (`distinct_counts`).
+def score_members(members: DataFrame, targets: DataFrame, interval: float = 0.8, logs: bool = True) -> DataFrame:
+    """Summaries and scores of ensemble forecasts given as values (_x), each _w times, in one row or several.
 
-    Null members do not count; a forecast that has no others keeps its row, with
-    m = 0 and null scores. Log scores need the bandwidth first, which meets the
-    values bin by bin, so a forecast that holds much of the data is never joined
-    or summed in one task.
+    Members are first counted by groups of targets, a pass over the keys alone;
+    the numbers of crowded groups, at most GROUPS, are all that is collected.
     """
-    keys = present(counts, CELL)
+    keys, own = present(members, CELL), present(members, TARGET_KEYS)
+    group = F.pmod(F.xxhash64(*own), F.lit(GROUPS))
+    sizes = members.groupBy(group.alias("_group")).agg(F.count(F.lit(1)).alias("_size"))
+    crowded = [r["_group"] for r in sizes.filter(F.col("_size") > GATHERED).select("_group").collect()]
+    if not crowded:
+        return _score_gathered(members, targets, interval, logs)
+    apart = group.isin(crowded)
+    counts = merged_counts(members.filter(apart), keys, "_x", "_w")
+    return bind_rows(
+        _score_gathered(members.filter(~apart), targets, interval, logs),
+        score_counted(counts, targets, interval, logs),
+    )
+
+
+def _score_gathered(members: DataFrame, targets: DataFrame, interval: float, logs: bool) -> DataFrame:
+    """Scores of members that are dealt by their target; what follows needs no other shuffle of them.
+
+    Equal values need no counting first: every figure adds up over them.
+    """
+    keys, own = present(members, CELL), present(members, TARGET_KEYS)
     probs = _probabilities(interval)
-    values, bins = _placed(counts, targets, keys)
-    own = [F.col(f"_cell.{k}").alias(k) for k in keys]
-    gap = "(_x - _base)"
-    cells = (
-        values.select(*own, "_x", "_w", "_before", "_n", "_base", "observation")
-        .groupBy(*keys)
+    by_value = Window.partitionBy(*own, *[k for k in keys if k not in own]).orderBy(F.col("_x").asc_nulls_last())
+    whole = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = by_value.rowsBetween(Window.unboundedPreceding, -1)
+    placed = members.repartition(*own).withColumns(
+        {
+            "_before": F.coalesce(F.sum("_w").over(before), F.lit(0)),
+            "_n": F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.col("_w"))).over(whole), F.lit(0)),
+            "_base": F.min("_x").over(whole),
+        }
+    )
+    # the observations are dealt alike
+    values = placed.join(one_observation(targets.repartition(*own), own), own, "left")
+    if not logs:
+        return _figures(_summed(values, keys, probs), keys, probs, "CAST(NULL AS DOUBLE)")
+    quartiles = {q[1:]: p for q, p in QUARTILES.items()}
+    picks = {
+        f"_{place}_{name}": F.expr(pick(p, place)).over(whole) for name, p in quartiles.items() for place in ("floor", "ceil")
+    }
+    sums = {"_sum1": F.expr(SUM_1).over(whole), "_sum2": F.expr(SUM_2).over(whole), "_near": F.expr(NEAREST).over(whole)}
+    spread = {"_sd": F.expr(deviation("_sum1", "_sum2", "_n"))} | {q: F.expr(interpolate(q[1:], p, "_n")) for q, p in QUARTILES.items()}
+    # a member beside its forecast's figures
+    values = values.withColumns(picks | sums).withColumns(spread).withColumn("_bw", F.expr(width("_sd", "_near")))
+    values = values.withColumn("_nearest", F.col("_near"))
+    more = [F.max("_bw").alias("_bw"), F.expr(f"{KERNELS} AS _kernels")]
+    return _figures(_summed(values, keys, probs, more), keys, probs, LOGS)
+
+
+def _summed(values: DataFrame, keys: Sequence[str], probs: dict[str, float], more: Sequence[Column] = ()) -> DataFrame:
+    """Sums and picks over the placed values of every forecast, one row for each."""
+    return (
+        values.groupBy(*keys)
         .agg(
             F.max("observation").alias("observation"),
             F.max("_n").alias("m"),
@@ -166,20 +230,49 @@ def score_counted(counts: DataFrame, targets: DataFrame, interval: float = 0.8,
                 " * (CASE WHEN observation < _x THEN _n ELSE 0 END - _before - _w / 2.0D)) AS _crps"
             ),
             F.max("_base").alias("_base"),
-            F.expr(f"sum(_w * {gap}) AS _s1"),
-            F.expr(f"sum(_w * {gap} * {gap}) AS _s2"),
-            F.expr("min(abs(_x - observation)) AS _nearest"),
-            *quantile_picks(probs | ({q[1:]: p for q, p in QUARTILES.items()} if logs else {})),
+            F.expr(f"{SUM_1} AS _s1"),
+            F.expr(f"{SUM_2} AS _s2"),
+            F.expr(f"{NEAREST} AS _nearest"),
+            *quantile_picks(probs),
+            *more,
         )
-        .withColumn("sd", F.expr("CASE WHEN m > 1 THEN sqrt(greatest(0.0D, (_s2 - _s1 * _s1 / m) / (m - 1))) END"))
+        .withColumn("sd", F.expr(deviation("_s1", "_s2", "m")))
+    )
+
+
+def _figures(cells: DataFrame, keys: Sequence[str], probs: dict[str, float], logs: str) -> DataFrame:
+    """The columns of a score table from the sums of every forecast."""
+    return cells.select(
+        *keys,
+        "observation",
+        F.expr("2.0D * _crps / (CAST(m AS DOUBLE) * nullif(m, 0)) AS crps"),
+        F.expr(f"{logs} AS logs"),
+        F.expr("_base + _s1 / nullif(m, 0) AS mean"),
+        "sd",
+        *between_picks(probs, "m"),
+        "m",
     )
+
+
+def score_counted(counts: DataFrame, targets: DataFrame, interval: float = 0.8, logs: bool = True) -> DataFrame:
+    """Summaries and scores of ensemble forecasts given as counted values (`distinct_counts`).
+
+    Null members do not count; a forecast that has no others keeps its row, with
+    m = 0 and null scores. Log scores need the bandwidth first, which meets the
+    values bin by bin, so a forecast that holds much of the data is never joined
+    or summed in one task.
+    """
+    keys = present(counts, CELL)
+    probs = _probabilities(interval)
+    values, bins = _placed(counts, targets, keys)
+    own = [F.col(f"_cell.{k}").alias(k) for k in keys]
+    picks = probs | ({q[1:]: p for q, p in QUARTILES.items()} if logs else {})
+    cells = _summed(values.select(*own, "_x", "_w", "_before", "_n", "_base", "observation"), keys, picks)
     kernels = "CAST(NULL AS DOUBLE)"
     if logs:
         quartiles = {q: F.expr(interpolate(q[1:], p, "m")) for q, p in QUARTILES.items()}
         sized = cells.withColumns({**quartiles, "_sd": F.col("sd"), "_n": F.col("m")})
-        cells = sized.withColumn(
-            "_bw", F.expr(f"CASE WHEN sd IS NOT NULL AND _nearest IS NOT NULL THEN nullif({BANDWIDTH}, 0.0D) END")
-        )
+        cells = sized.withColumn("_bw", F.expr(width("sd", "_nearest")))
         widths = cells.select(F.struct(*keys).alias("_forecast"), "_bw", "_nearest", "observation").filter("_bw IS NOT NULL")
         forecast = F.struct(*[F.col(f"_cell.{k}").alias(k) for k in keys])
         widths = bins.select("_cell", forecast.alias("_forecast")).join(widths, "_forecast").drop("_forecast")
@@ -194,16 +287,7 @@ def score_counted(counts: DataFrame, targets: DataFrame, interval: float = 0.8,
         )
         cells = cells.withColumn("_forecast", F.struct(*keys)).join(sums, "_forecast", "left")
         kernels = LOGS
-    return cells.select(
-        *keys,
-        "observation",
-        F.expr("2.0D * _crps / (CAST(m AS DOUBLE) * nullif(m, 0)) AS crps"),
-        F.expr(f"{kernels} AS logs"),
-        F.expr("_base + _s1 / nullif(m, 0) AS mean"),
-        "sd",
-        *between_picks(probs, "m"),
-        "m",
-    )
+    return _figures(cells, keys, probs, kernels)
 
 
 def score_normals(forecasts: DataFrame, targets: DataFrame, interval: float = 0.8) -> DataFrame:

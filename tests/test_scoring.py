@@ -109,6 +109,32 @@ def test_members_never_join_targets(spark, tables):
     assert len(joins) == 1 and "prediction" not in joins[0]
 
 
+def test_crowded_targets_give_the_same_scores(spark, tables, monkeypatch):
+    forecasts, targets, _ = tables
+    nowhere = spark.createDataFrame([("hot", "2023-01-01", None, None, "temperature", "sample", "1", 2.0)], FORECAST)
+    rows = forecasts.filter(F.col("family") != "normal").unionByName(nowhere)
+
+    def found():
+        scored = S.score(rows, targets).orderBy("model_id", F.col("site_id").asc_nulls_last()).collect()
+        return [{n: pytest.approx(v, rel=1e-9) if isinstance(v, float) else v for n, v in r.asDict().items()} for r in scored]
+
+    whole = found()
+    monkeypatch.setattr(S, "GATHERED", 100)  # BARC is crowded, SUGG is not
+    some = found()
+    monkeypatch.setattr(S, "GATHERED", 0)
+    assert len(whole) == 7 and found() == some == whole
+
+
+def test_scores_and_skill_shuffle_the_members_once(spark, tables):
+    from proofcast.operators.skill import skill
+
+    forecasts, targets, _ = tables
+    scored = S.score(forecasts, targets, families=("sample",))
+    plan = skill(scored, "a", skip=())._jdf.queryExecution().executedPlan().toString()
+    # members once; observations once
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_large_sample_approaches_the_normal_score(spark):
     rng = np.random.default_rng(8)
     data = rows("s", [float(v) for v in rng.normal(10, 2, 20_000)])
