@@ -24,7 +24,7 @@ from proofcast.operators.reliability import reliability
 from proofcast.operators.reshape import day_spine, expand_sites
 from proofcast.operators.validation import quantile_report, structure_report, validation_report
 from proofcast.plans import bindings as B
-from proofcast.session import fixed, fresh_folder
+from proofcast.session import fixed, fresh_folder, listed_together
 from proofcast.sources import readers, writers
 from proofcast.sources.readers import available_forecasts, scan_scores
 from proofcast.sources.writers import snapshot
@@ -704,7 +704,7 @@ def _mme(spark, sf):
 
 @query
 def multi_model_ensemble(spark, sf):
-    mme = _mme(spark, sf)
+    mme = fixed(_mme(spark, sf), "ensemble")
     observed = S.score(mme, B.observations(spark, sf), families=("sample",))
     return rounded(
         observed.select(*E.SUBMISSION, "datetime", "m", "mean", "median", "crps")
@@ -899,7 +899,8 @@ def incremental_ensemble(spark, sf):
 
 def _back(spark, path):
     """A stored score table; folder names are text."""
-    rows = spark.read.parquet(path)
+    with listed_together(spark):
+        rows = spark.read.parquet(path)
     return rows.withColumns({"reference_datetime": F.col("reference_datetime").cast("string"), "datetime": F.to_date("datetime")})
 
 
