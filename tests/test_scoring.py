@@ -125,6 +125,14 @@ def test_crowded_targets_give_the_same_scores(spark, tables, monkeypatch):
     assert len(whole) == 7 and found() == some == whole
 
 
+def test_members_are_dealt_to_tasks_by_their_number(spark, tables, monkeypatch):
+    df, targets, members = tables
+    monkeypatch.setattr(S, "DEALT", 10)
+    tasks = -(-df.count() // 10)
+    plan = S.score_samples(df, targets)._jdf.queryExecution().executedPlan().toString()
+    assert tasks > 8 and plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2  # members and observations alike
+
+
 def test_scores_and_skill_shuffle_the_members_once(spark, tables):
     from proofcast.operators.skill import skill
 
