@@ -99,11 +99,21 @@ def _drawn(rows: DataFrame) -> DataFrame:
     return named_parameters(given, [*SUBMISSION, "datetime", "family"], ("mu", "sigma", *PARAMETERS))
 
 
-def _drawn_value(seed: int):
-    """The value of draw `parameter` of a forecast's family."""
-    key = C.draw_key(seed, *[F.col(k) for k in (*SUBMISSION, "datetime")], F.col("parameter"))
-    normal = F.col("mu") + F.col("sigma") * C.standard_normal(key)
-    return F.when(F.col("family") == "normal", normal).otherwise(by_family(lambda f, a, b: f.draw(a, b, key)))
+def _drawn_key(seed: int):
+    """What all draws of a forecast have in common in their digests' text."""
+    return F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in (*SUBMISSION, "datetime")])
+
+
+def _with_values(rows: DataFrame) -> DataFrame:
+    """The value of draw `parameter` of a forecast's family, from the text of its key.
+
+    The digest is a column of its own, so that it is worked out once however often
+    the families' expressions use it.
+    """
+    digest = F.col("_digest")
+    normal = F.col("mu") + F.col("sigma") * C.standard_normal(digest)
+    value = F.when(F.col("family") == "normal", normal).otherwise(by_family(lambda f, a, b: f.draw(a, b, digest)))
+    return rows.withColumn("_digest", F.md5(F.concat_ws("|", "_key", "parameter"))).withColumn("prediction", value)
 
 
 def normal_to_ensemble(forecasts: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
@@ -114,13 +124,9 @@ def normal_to_ensemble(forecasts: DataFrame, draws: int = DRAWS, seed: int = SEE
     """
     rows = normalise_family(forecasts)
     names = [*SUBMISSION, "datetime", "family", "parameter", "prediction"]
-    drawn = (
-        _drawn(rows)
-        .withColumn("parameter", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("parameter", F.col("parameter").cast("string"))
-        .withColumn("prediction", _drawn_value(seed))
-        .withColumn("family", F.lit("ensemble"))
-    )
+    named = _drawn(rows).withColumn("_key", _drawn_key(seed))
+    each = named.withColumn("parameter", F.explode(F.sequence(F.lit(1), F.lit(draws)).cast("array<string>")))
+    drawn = _with_values(each).withColumn("family", F.lit("ensemble"))
     kept = rows.filter(C.not_one_of("family", ("normal", *FAMILIES))).withColumn("parameter", F.col("parameter").cast("string"))
     return kept.select(*names).unionByName(drawn.select(*names))
 
@@ -163,7 +169,8 @@ def _sampled_draws(rows: DataFrame, quota: DataFrame, draws: int, seed: int) ->
         .withColumn("_place", F.row_number().over(by_digest))
         .filter(F.col("_place") <= F.col("sample"))
     )
-    return join_null_safe(_drawn(rows), names, SUBMISSION).withColumn("prediction", _drawn_value(seed))
+    given = _drawn(rows).withColumn("_key", _drawn_key(seed))
+    return _with_values(join_null_safe(given, names.drop("_digest"), SUBMISSION))
 
 
 def sample_members(
@@ -223,14 +230,17 @@ def pending_dates(candidates: DataFrame, done: DataFrame) -> DataFrame:
     return candidates.join(finished, "reference_datetime", "left_anti")
 
 
+def _issued(forecasts: DataFrame) -> DataFrame:
+    return forecasts.select(F.to_date("reference_datetime").alias("reference_datetime")).distinct()
+
+
 def build_pending(forecasts: DataFrame, stored: DataFrame, name: str, **options) -> DataFrame:
     """Ensembles for the issue dates that have forecasts but no stored ensemble.
 
     `stored` is a frame with the issue dates (reference_datetime) done so far;
     `options` are those of `build_mme`. With nothing pending there are no rows.
     """
-    issued = forecasts.select(F.to_date("reference_datetime").alias("reference_datetime")).distinct()
-    return build_mme(forecasts, name, issue_dates=pending_dates(issued, stored), **options)
+    return build_mme(forecasts, name, issue_dates=pending_dates(_issued(forecasts), stored), **options)
 
 
 def stored_ensembles(spark: SparkSession, path: str) -> DataFrame:
@@ -250,6 +260,8 @@ def store_pending(forecasts: DataFrame, name: str, path: str, **options) -> bool
     spark = forecasts.sparkSession
     seen = state(spark, path)[0]
     done = stored_ensembles(spark, path).filter(F.col("model_id") == name).select("reference_datetime")
+    if seen and pending_dates(_issued(forecasts), done).isEmpty():
+        return False
     built = build_pending(forecasts, done, name, **options).withColumn("date", F.to_date("datetime"))
 
     def check(rows: DataFrame) -> None:

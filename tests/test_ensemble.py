@@ -1,4 +1,6 @@
 import datetime as dt
+import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,17 @@ def test_normal_forecasts_become_a_hundred_draws(forecasts):
     assert out.prediction.std() == pytest.approx(0.5, abs=0.1)
 
 
+def test_a_draw_has_one_digest(spark):
+    rows = [("m", "2023-01-01", "BARC", dt.datetime(2023, 1, 2), "oxygen", "normal", n, v) for n, v in (("mu", 3.0), ("sigma", 0.5))]
+    drawn = E.normal_to_ensemble(spark.createDataFrame(rows, FORECAST))
+    plan = drawn.select("prediction")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    digest = hashlib.md5(f"{E.SEED}|2023-01-01|oxygen|BARC|m|2023-01-02 00:00:00|7".encode()).hexdigest()
+    u1, u2 = int(digest[:8], 16), int(digest[8:16], 16)
+    want = 3.0 + 0.5 * math.sqrt(-2 * math.log((u1 + 1) / 4294967297)) * math.cos(2 * math.pi * u2 / 4294967296)
+    assert drawn.filter("parameter = '7'").first()["prediction"] == pytest.approx(want)
+
+
 def test_pending_dates(spark):
     want = spark.createDataFrame([(dt.date(2023, 1, d),) for d in (1, 2, 3)], "reference_datetime date")
     done = spark.createDataFrame([("2023-01-02",)], "reference_datetime string")
@@ -157,6 +170,18 @@ def test_a_run_that_fails_before_publishing_shows_nothing(spark, two_weeks, tmp_
     assert E.stored_ensembles(spark, path).count() == 8
 
 
+def test_nothing_is_built_where_nothing_is_pending(spark, two_weeks, tmp_path, monkeypatch):
+    _, df = two_weeks
+    path = str(tmp_path / "ensembles")
+    assert E.store_pending(df, "mme", path, n=4)
+
+    def built(*args, **options):
+        raise AssertionError("built again")
+
+    monkeypatch.setattr(E, "build_pending", built)
+    assert not E.store_pending(df, "mme", path, n=4)
+
+
 def test_two_runs_at_once_publish_once(spark, two_weeks, tmp_path):
     _, df = two_weeks
     path = str(tmp_path / "ensembles")
