@@ -349,7 +349,8 @@ def skill_boxplot(spark, sf):
 
 @query
 def crps_profile(spark, sf):
-    scores = fixed(B.scores(spark, sf), "scores")
+    # only what is read again is worked out and stored
+    scores = fixed(B.scores(spark, sf).select(*E.SUBMISSION, "datetime", "crps"), "scores")
     best = R.top_n(K.mean_by(K.skill(scores), ["model_id"]), "mean_crps", BEST, "min", within=["variable"])
     scores = scores.filter(F.col("crps").isNotNull())
     classes = B.models(spark, sf).select("model_id", "model_type").join(best.select("variable", "model_id"), "model_id")
