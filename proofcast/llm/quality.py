@@ -77,8 +77,8 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.array(forms, np.int64)[ids] if n else np.zeros(0, np.int64)
 
 
-def profile(text: str | None) -> tuple[np.ndarray, list[int]]:
-    """Hashed features (bucket of each, repeats included) and the voters' votes."""
+def profile(text: str | None, taught: bool = True) -> tuple[np.ndarray, list[int]]:
+    """Hashed features (bucket of each, repeats included) and the voters' votes; no features unless `taught`."""
     text = text or ""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_TABLE), np.uint8)
     ids, forms = _words(text)
@@ -103,6 +103,8 @@ def profile(text: str | None) -> tuple[np.ndarray, list[int]]:
         "same_lines": 1 - len(set(lines)) / len(lines) if len(lines) >= 4 else None,
     }
     votes = [NONE if (s := shares[v]) is None else GOOD if s <= low else BAD if s >= high else NONE for v, low, high in VOTERS]
+    if not taught:
+        return np.zeros(0, np.int64), votes
     state = forms * 3 + again
     features = [_mixed(state, 1), _mixed(again, 3)]
     if len(state) > 1:
@@ -208,7 +210,7 @@ def _pattern(text: Column) -> Column:
     @F.pandas_udf("int")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([pattern_of(profile(t)[1]) for t in batch], dtype="int32")
+            yield pd.Series([pattern_of(profile(t, taught=False)[1]) for t in batch], dtype="int32")
 
     return of(text)
 
