@@ -156,3 +156,52 @@ def test_recall_of_changed_passages(docs_of, share, least):
         docs += [(2 * t, " ".join(prose(30) + one + prose(30))), (2 * t + 1, " ".join(prose(30) + changed_words(one, share, rng) + prose(30)))]
     pairs = {(r["doc_id"], r["other_id"]) for r in s.passages(docs_of(docs)).collect()}
     assert sum((2 * t + 1, 2 * t) in pairs for t in range(100)) >= 100 * least
+
+
+def test_an_earlier_holder_of_less_than_a_passage_hides_none(docs_of):
+    """The first document of each triple holds 45 of the 50 words that the others share."""
+    rng, docs = random.Random(11), []
+    noise = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    for t in range(30):
+        passage = noise(50)
+        docs += [(3 * t + k, " ".join(noise(40) + passage[:n] + noise(40))) for k, n in enumerate((45, 50, 50))]
+    pairs = {(r["doc_id"], r["other_id"]) for r in s.passages(docs_of(docs)).collect()}
+    assert {(3 * t + 2, 3 * t + 1) for t in range(30)} <= pairs
+
+
+def variants():
+    """Four groups of five documents, each with the words of another twelfth of a common passage changed."""
+    rng, docs = random.Random(12), []
+    noise = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    for g in range(4):
+        passage = noise(72)
+        for v in range(5):
+            words = [rng.choice(VOCAB) if 12 * v <= i < 12 * v + 12 and i % 3 == 0 else w for i, w in enumerate(passage)]
+            docs.append((5 * g + v, " ".join(noise(40) + words + noise(40))))
+    return docs
+
+
+@pytest.mark.parametrize("crowd", [4096, 2])
+def test_all_variants_of_a_passage_meet(docs_of, monkeypatch, crowd):
+    monkeypatch.setattr(s, "CROWD", crowd)
+    pairs = {(r["doc_id"], r["other_id"]) for r in s.passages(docs_of(variants())).collect()}
+    assert pairs == {(5 * g + v, 5 * g + u) for g in range(4) for v in range(5) for u in range(v)}
+
+
+def test_copies_are_reported_beside_the_first(docs_of):
+    rng = random.Random(13)
+    text = " ".join(rng.choice(VOCAB) for _ in range(60))
+    other = " ".join(rng.choice(VOCAB) for _ in range(30)) + " " + text
+    docs = [(9, text), (4, text), (7, text), (7, text), (5, other), (6, "short"), (8, "short")]
+    rows = s.passages(docs_of(docs)).collect()
+    assert sorted((r["doc_id"], r["other_id"], r["start"], r["other_start"], r["n_words"], r["share"]) for r in rows) == [
+        (5, 4, 30, 0, 60, 1.0), (7, 4, 0, 0, 60, 1.0), (9, 4, 0, 0, 60, 1.0),
+    ]
+
+
+def test_a_passage_copied_whole_is_not_expanded(docs_of):
+    rng = random.Random(14)
+    noise = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    passage = noise(90)
+    rows = s.passages(docs_of([(i, " ".join(noise(30) + passage + noise(30))) for i in range(12)])).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in rows} == {(i, 0) for i in range(1, 12)}
