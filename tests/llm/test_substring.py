@@ -205,3 +205,27 @@ def test_a_passage_copied_whole_is_not_expanded(docs_of):
     passage = noise(90)
     rows = s.passages(docs_of([(i, " ".join(noise(30) + passage + noise(30))) for i in range(12)])).collect()
     assert {(r["doc_id"], r["other_id"]) for r in rows} == {(i, 0) for i in range(1, 12)}
+
+
+def test_seeds_that_one_document_holds_are_not_stored(docs_of):
+    """Only shared seeds and a row for each document's digest go on; what stands around a seed is dealt out once."""
+    rng = random.Random(15)
+    noise = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    passage = noise(60)
+    docs = docs_of([(i, " ".join(noise(300) + (passage if i < 2 else []) + noise(300))) for i in range(8)])
+    rows = docs.selectExpr("doc_id AS id", "text")
+    every, kept = s.seeds(rows).collect(), s.held(s.seeds(rows)).collect()
+    holders = {}
+    for r in every:
+        holders.setdefault(r["seed"], set()).add(r["id"])
+    assert {(r["seed"], r["id"], r["pos"]) for r in kept} == {(r["seed"], r["id"], r["pos"]) for r in every if r["pos"] < 0 or len(holders[r["seed"]]) > 1}
+    assert 8 < len(kept) < len(every) / 5 and {r["blocks"] for r in kept} == {1}
+
+
+def test_rows_of_a_key_meet_whatever_the_batches():
+    rows = s.pd.DataFrame({"a": [1, 1, 1, 2, 3, 3], "b": [1, 1, 2, 2, 2, 2], "x": list("uvwxyz")})
+    use = lambda a, b, x: [(a[0], b[0], "".join(x))]
+    for size in range(1, 7):
+        batches = (rows.iloc[n : n + size] for n in range(0, 6, size))
+        out = s.pd.concat(s._listed(["a", "b"], use, ["a", "b", "x"])(batches))
+        assert out.to_numpy().tolist() == [[1, 1, "uv"], [1, 2, "w"], [2, 2, "x"], [3, 2, "yz"]]
